@@ -92,7 +92,7 @@ def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
 # the generated prose lacks (retweet mark, mention, link, hashtag, possessive,
 # contraction, fraction, html literal and tag, picture link, station name).
 NOISY_PREFIX = ("RT @acct http://x.y/z #tag the driver's seat, don't wait 2½ {html}"
-                "<b>at</b> kl sentral pic.twitter.com/q1 ")
+                "<b>at</b> kl sentral pic.twitter.com/q1 xnak xpress ")
 
 
 def noisy(spark: SparkSession, sf_dir: str) -> DataFrame:
