@@ -37,3 +37,22 @@ def word_alternation(keys) -> str:
 
 def substring_alternation(terms, quote: bool = True) -> str:
     return "|".join(escape(t) if quote else t for t in terms)
+
+
+# Linear-time equivalents of lexicons.LAUGH_PATTERNS (same matches).
+#
+# Each reference pattern is a whole-word match (\b on both sides, letters
+# only) of a repeated group with optional parts, e.g.
+# (?:[aeiou]{0,2}h{1,2}[aeiou]{0,2}){2,}h?.  A vowel run between two h's can
+# be shared out between neighbouring repetitions in several ways, so a
+# backtracking engine explores exponentially many splits when a long
+# "hahaha..." word fails at its end.  The words matched are exactly: at
+# least two h's (l's, k's), leading/trailing runs of at most two vowels,
+# runs between of at most four (for k: each gap one of the group's tails).
+# Written that way each character has one place to go.
+_KSEG = r"(?:[aeiou]{0,2}h{1,2}[aeiou]{0,2}|[aeiou]{0,4})"
+LAUGH_LINEAR = [
+    r"\b[aeiou]{0,2}h(?:[aeiou]{0,4}h)+[aeiou]{0,2}\b",
+    r"\bo{0,2}l(?:o{0,4}l)+o{0,2}\b",
+    rf"\bk(?:{_KSEG}k)+{_KSEG}\b",
+]

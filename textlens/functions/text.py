@@ -13,7 +13,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import lexicons as L
-from .patterns import NOT_WS_RUN, TOKEN, W, WS, WS_RUN, escape, word_alternation
+from .patterns import LAUGH_LINEAR, NOT_WS_RUN, TOKEN, W, WS, WS_RUN, escape, word_alternation
 
 
 def _c(c) -> Column:
@@ -169,7 +169,7 @@ def txt_printable(c) -> Column:
 
 
 def txt_laughter(c) -> Column:
-    for p in L.LAUGH_PATTERNS:
+    for p in LAUGH_LINEAR:
         c = _rx(c, p, "laugh")
     return txt_regex_tokens(c)
 

@@ -154,25 +154,35 @@ def spell_candidates(tokens: DataFrame, dictionary: DataFrame, max_dist: int = 2
     """(tok, term, dist, freq): dictionary terms within ``max_dist`` edits.
 
     Symmetric deletes: both sides expand to their delete keys (at most
-    1 + 7 + 21 per word), an equi-join on the key proposes pairs, and the
-    full Levenshtein distance confirms them.  Only distinct tokens enter."""
+    1 + 7 + 21 per word), an equi-join on the key proposes pairs (pruned by
+    length difference), and the full Levenshtein distance confirms them.
+    Only distinct tokens enter."""
     tk = tokens.select("tok").distinct().select("tok", F.explode(deletes(F.col("tok"), max_dist, prefix)).alias("k"))
     dk = dictionary.select("term", "freq", F.explode(deletes(F.col("term"), max_dist, prefix)).alias("k"))
-    pairs = tk.join(dk, "k").select("tok", "term", "freq").distinct()
+    cond = (tk["k"] == dk["k"]) & (F.abs(F.length(tk["tok"]) - F.length(dk["term"])) <= max_dist)
+    pairs = tk.join(dk, cond).select("tok", "term", "freq").distinct()
     d = F.levenshtein("tok", "term", max_dist)
     return pairs.withColumn("dist", d).filter((F.col("dist") >= 0) & (F.col("dist") <= max_dist))
 
 
 def spell_best(tokens: DataFrame, dictionary: DataFrame, max_dist: int = 2, prefix: int = 7) -> DataFrame:
     """(tok, best, dist): the closest term, then the most frequent, then the
-    smallest; tokens with no candidate map to themselves (dist NULL)."""
-    cand = spell_candidates(tokens, dictionary, max_dist, prefix)
+    smallest; tokens with no candidate map to themselves (dist NULL).
+
+    A token that is itself a dictionary term is its own closest term
+    (distance 0), so only out-of-dictionary tokens enter the delete join."""
+    base = tokens.select("tok").distinct()
+    terms = dictionary.select(F.col("term").alias("tok"))
+    known = base.join(terms, "tok", "left_semi").select("tok", F.col("tok").alias("best"),
+                                                         F.lit(0).cast("int").alias("dist"))
+    oov = base.join(terms, "tok", "left_anti")
+    cand = spell_candidates(oov, dictionary, max_dist, prefix)
     best = cand.groupBy("tok").agg(
         F.min_by(F.struct("term", "dist"),
                  F.struct("dist", (-F.col("freq")).alias("nf"), "term")).alias("b"))
-    base = tokens.select("tok").distinct()
-    return (base.join(best, "tok", "left")
+    rest = (oov.join(best, "tok", "left")
             .select("tok", F.coalesce(F.col("b.term"), F.col("tok")).alias("best"), F.col("b.dist").alias("dist")))
+    return known.unionByName(rest)
 
 
 # -------------------------------------------------------------- normaliser --
@@ -258,7 +268,8 @@ def stem_table(tokens: DataFrame, roots: DataFrame) -> DataFrame:
     for suf in MALAY_SUFFIXES:
         cands.append(F.struct(F.lit(i).alias("i"), strip(F.col("tok"), "", suf).alias("c")))
         i += 1
-    ex = t.select("tok", F.explode(F.array(*cands)).alias("x")).select("tok", "x.i", "x.c").filter(F.col("c").isNotNull())
+    live = F.filter(F.array(*cands), lambda x: x["c"].isNotNull())
+    ex = t.select("tok", F.explode(live).alias("x")).select("tok", "x.i", "x.c")
     ok = ex.join(roots.select(F.col("term").alias("c")).distinct(), "c", "left_semi")
     best = ok.groupBy("tok").agg(F.min_by("c", F.col("i")).alias("stem"))
     return t.join(best, "tok", "left").select("tok", F.coalesce("stem", "tok").alias("stem"))

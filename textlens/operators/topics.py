@@ -200,6 +200,60 @@ def window_sets(tokens: Column, topwords, window: int) -> Column:
                        lambda i: F.array_intersect(F.slice(tokens, i + 1, window), tw))
 
 
+def window_counts(texts: DataFrame, tokens: str, topwords, window: int) -> DataFrame:
+    """(a, b, n): over all sliding windows of all texts, the number of
+    windows holding word a (rows a = b), holding both a and b (a < b), and
+    the number of windows (a, b NULL).
+
+    Per document the presence of each top word in each window comes from a
+    cumulative sum over positions (numpy, inside Arrow batches), and pair
+    counts from one boolean matrix product; Spark sums the per-document
+    counts with a partial aggregation."""
+    import numpy as np
+    import pandas as pd
+    top = sorted(set(topwords))
+    schema = "a string, b string, n long"
+
+    def run(batches):
+        topset = set(top)
+        for pdf in batches:
+            out_a, out_b, out_n = [], [], []
+            total = 0
+            for toks in pdf[tokens]:
+                toks = [] if toks is None else list(toks)
+                n_tok = len(toks)
+                n_win = max(n_tok - window + 1, 1)
+                total += n_win
+                pos = {}
+                for i, t in enumerate(toks):
+                    if t in topset:
+                        pos.setdefault(t, []).append(i)
+                if not pos:
+                    continue
+                words = sorted(pos)
+                starts = np.arange(n_win)
+                ends = np.minimum(starts + window, n_tok)
+                pres = np.zeros((len(words), n_win), dtype=np.int64)
+                for j, w in enumerate(words):
+                    ind = np.zeros(n_tok, dtype=np.int64)
+                    ind[pos[w]] = 1
+                    cs = np.concatenate(([0], np.cumsum(ind)))
+                    pres[j] = (cs[ends] - cs[starts]) > 0
+                co = pres @ pres.T
+                for j in range(len(words)):
+                    for k in range(j, len(words)):
+                        if co[j, k]:
+                            out_a.append(words[j])
+                            out_b.append(words[k])
+                            out_n.append(int(co[j, k]))
+            out_a.append(None)
+            out_b.append(None)
+            out_n.append(total)
+            yield pd.DataFrame({"a": out_a, "b": out_b, "n": out_n})
+    per_doc = texts.select(tokens).mapInPandas(run, schema)
+    return per_doc.groupBy("a", "b").agg(F.sum("n").alias("n"))
+
+
 def coherence_cv(texts: DataFrame, tokens: str, topics: DataFrame, window: int = L.COHERENCE_WINDOW) -> DataFrame:
     """c_v coherence per topic: (topic, coherence).
 
@@ -209,18 +263,11 @@ def coherence_cv(texts: DataFrame, tokens: str, topics: DataFrame, window: int =
     with the topic's summed vector; the per-topic value is the mean over
     words (Roeder et al. 2015)."""
     tw = [r["term"] for r in topics.select("term").distinct().collect()]
-    win = texts.select(F.explode(window_sets(F.col(tokens), tw, window)).alias("ws"))
-    win = win.cache()
-    total = win.count()
-    hits = win.filter(F.size("ws") > 0)
-    single = hits.select(F.explode("ws").alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n_w"))
-    pairs = (hits.select(F.explode(F.transform(
-        F.sequence(F.lit(1), F.size("ws")),
-        lambda i: F.transform(F.slice("ws", i + 1, F.size("ws")),
-                              lambda b: F.struct(F.element_at("ws", i).alias("a"), b.alias("b"))))).alias("ps"))
-        .select(F.explode("ps").alias("p"))
-        .select(F.least("p.a", "p.b").alias("a"), F.greatest("p.a", "p.b").alias("b"))
-        .groupBy("a", "b").agg(F.count(F.lit(1)).alias("n_ab")))
+    counts = window_counts(texts, tokens, tw, window).cache()
+    total = counts.filter(F.col("a").isNull()).first()["n"]
+    single = counts.filter(F.col("a").isNotNull() & (F.col("a") == F.col("b"))).select(
+        F.col("a").alias("w"), F.col("n").alias("n_w"))
+    pairs = counts.filter(F.col("a") < F.col("b")).select("a", "b", F.col("n").alias("n_ab"))
     t1 = topics.select("topic", F.col("term").alias("wi"))
     t2 = topics.select("topic", F.col("term").alias("wj"))
     ww = t1.join(t2, "topic")  # |topic|^2 rows per topic, bounded by the top-N setting
@@ -239,9 +286,7 @@ def coherence_cv(texts: DataFrame, tokens: str, topics: DataFrame, window: int =
     per_word = mj.groupBy("topic", "wi").agg(
         (F.sum(F.col("v") * F.col("s")) / (F.sqrt(F.sum(F.col("v") ** 2)) * F.sqrt(F.sum(F.col("s") ** 2))))
         .alias("cos"))
-    out = per_word.groupBy("topic").agg(F.avg("cos").alias("coherence"))
-    win.unpersist()
-    return out
+    return per_word.groupBy("topic").agg(F.avg("cos").alias("coherence"))
 
 
 def topics_from_model(model: LDAModel, vocab, topn: int = L.COHERENCE_TOPN) -> DataFrame:

@@ -85,3 +85,14 @@ _one("tok_count", "tweets", lambda c: K.tok_count(S.ascii_clean(c)).cast("long")
 _one("tok_sentences", "tweets", lambda c: K.tok_join(K.tok_sentences(c)),
      lambda e: O.join(f"flatten(list_transform(string_split({O.rx(e, '([.!?])[' + O.WS + ']+', chr(92) + '1' + chr(10))}, "
                       f"chr(10)), lambda s: {O.tokens('s')}))"))
+
+
+# ------------------------------------------------------------ streaming ----
+
+@register("stream_clean_preprocess", V(f"SELECT row_id, {O.clean_preprocess('text')} AS textclean FROM tweets", "tweets"))
+def stream_clean_preprocess(spark, sf):
+    """preprocess() applied by a Structured Streaming query over the posts'
+    parquet files; the sink is read back as a table."""
+    from ..streaming.clean_stream import clean_stream, run_to_parquet
+    out = run_to_parquet(clean_stream(spark, sf))
+    return spark.read.parquet(out).select("row_id", "textclean")

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from .. import lexicons as L
 from ..functions import tokens as K
 from ..operators import linguistics as G
+from ..session import cut_lineage
 from ..sources import tables as TB
 from . import oracle as O
 from . import stages as S
@@ -28,8 +29,10 @@ MIN_COUNT = 5
 # ------------------------------------------------------------ corpus ----
 
 def corpus(spark, sf, view="tweets"):
+    """Cleaned, tokenised posts, checkpointed once: every token table of a
+    query derives from it without re-running the cleaning chain."""
     t = getattr(TB, view)(spark, sf)
-    return t.select("row_id", "lang", "text", K.tok_words(S.ascii_clean("text")).alias("toks"))
+    return cut_lineage(t.select("row_id", "lang", "text", K.tok_words(S.ascii_clean("text")).alias("toks")))
 
 
 def models(spark, sf, c=None):

@@ -15,7 +15,7 @@ from .. import lexicons as L
 from ..functions import text as T
 from ..functions import tokens as K
 from ..operators import topics as TP
-from ..session import scratch_path
+from ..session import cut_lineage, scratch_path
 from ..sources import files as FS
 from ..sources import tables as TB
 from . import oracle as O
@@ -33,7 +33,7 @@ def topic_corpus(spark, sf):
     c = K.tok_mask_terms(c)
     c = K.tok_stopwords_extra(c, LEX)
     c = T.txt_mask_phrases(c, LEX.stations)
-    return t.select("row_id", K.tok_split_ws(c).alias("toks"))
+    return cut_lineage(t.select("row_id", K.tok_split_ws(c).alias("toks")))
 
 
 def topic_corpus_sql():
@@ -82,13 +82,35 @@ def _bigrammed(spark, sf):
     return c.select("row_id", TP.phrase_apply(F.col("toks"), phrases).alias("toks")), phrases
 
 
-@register("phrase_apply")
+def _ph_sql(src, pre):
+    """CTEs for unigram/pair counts and learned phrases over corpus ``src``."""
+    return [f"{pre}uni AS (SELECT w, count(*) AS n FROM (SELECT unnest(toks) AS w FROM {src}) GROUP BY w)",
+            f"{pre}pairs AS (SELECT p.a AS a, p.b AS b, count(*) AS n_ab FROM (SELECT unnest(list_transform("
+            f"range(1, len(toks)), lambda i: {{'a': toks[i], 'b': toks[i + 1]}})) AS p FROM {src}) GROUP BY 1, 2)",
+            f"{pre}v AS (SELECT (SELECT count(*) FROM {pre}uni) + (SELECT count(*) FROM {pre}pairs) AS V)",
+            f"{pre}phrases AS (SELECT p.a, p.b, p.n_ab, (p.n_ab - {L.PHRASE_MIN_COUNT}) * v.V / (ua.n * ub.n) AS score "
+            f"FROM {pre}pairs p JOIN {pre}uni ua ON p.a = ua.w JOIN {pre}uni ub ON p.b = ub.w, {pre}v v "
+            f"WHERE (p.n_ab - {L.PHRASE_MIN_COUNT}) * v.V / (ua.n * ub.n) > {L.PHRASE_THRESHOLD})"]
+
+
+BIGRAMS_SQL = _ph_sql("corpus", "b_") + [
+    "ph AS (SELECT coalesce(list(a || chr(1) || b), []::VARCHAR[]) AS phr FROM b_phrases)",
+    "bg AS (SELECT row_id, list_transform([list_reduce(toks, lambda acc, x: CASE WHEN acc.prev IS NOT NULL "
+    "AND list_contains(phr, acc.prev || chr(1) || x) THEN {'out': list_append(acc.out, acc.prev || '_' || x), 'prev': NULL} "
+    "ELSE {'out': CASE WHEN acc.prev IS NOT NULL THEN list_append(acc.out, acc.prev) ELSE acc.out END, 'prev': x} END, "
+    "{'out': []::VARCHAR[], 'prev': NULL::VARCHAR})], lambda r: CASE WHEN r.prev IS NOT NULL THEN list_append(r.out, r.prev) "
+    "ELSE r.out END)[1] AS toks FROM corpus, ph)"]
+
+
+@register("phrase_apply", W("SELECT row_id, array_to_string(toks, ' ') AS text_bigrams FROM bg", *BIGRAMS_SQL))
 def phrase_apply(spark, sf):
     b, _ = _bigrammed(spark, sf)
     return b.select("row_id", F.array_join("toks", " ").alias("text_bigrams"))
 
 
-@register("phrase_fit_tri")
+@register("phrase_fit_tri", W(
+    f"SELECT a, b, CAST(n_ab AS BIGINT) AS n_ab, round(score, {R6}) AS score FROM t_phrases",
+    *(BIGRAMS_SQL + _ph_sql("bg", "t_"))))
 def phrase_fit_tri(spark, sf):
     b, _ = _bigrammed(spark, sf)
     ph = TP.phrase_fit(b, "toks", threshold=L.PHRASE_THRESHOLD)
@@ -133,7 +155,7 @@ def bag_of_words(spark, sf):
 
 # -------------------------------------------------------------------- LDA --
 
-QUERY_PASSES = 2  # passes for the registered checks; the tuned setting is L.LDA_TUNED_EN
+QUERY_PASSES = 1  # passes for the registered checks; the tuned setting is L.LDA_TUNED_EN
 
 
 def _features(spark, sf):
@@ -290,7 +312,7 @@ def fixed_topic_corpus(spark, sf):
     """All posts, standardised and stop words removed (topics: languages)."""
     t = TB.tweets(spark, sf)
     c = K.tok_stopwords(S.ascii_clean("text"), LEX)
-    return t.select("row_id", "lang", K.tok_split_ws(c).alias("toks"))
+    return cut_lineage(t.select("row_id", "lang", K.tok_split_ws(c).alias("toks")))
 
 
 def fixed_topics(c, topn=10):

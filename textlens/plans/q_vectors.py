@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from .. import lexicons as L
 from ..functions import tokens as K
 from ..operators import vectors as VX
+from ..session import cut_lineage
 from ..sources import tables as TB
 from . import oracle as O
 from . import stages as S
@@ -23,7 +24,7 @@ R6 = 6
 
 
 def corpus(spark, sf):
-    return TB.tweets(spark, sf).select("row_id", K.tok_words(S.ascii_clean("text")).alias("toks"))
+    return cut_lineage(TB.tweets(spark, sf).select("row_id", K.tok_words(S.ascii_clean("text")).alias("toks")))
 
 
 def vectors(spark, sf, c=None):

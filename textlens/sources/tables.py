@@ -61,7 +61,10 @@ def spread(df: DataFrame, key: str = "row_id") -> DataFrame:
     target = sc.defaultParallelism
     if df.rdd.getNumPartitions() >= target:
         return df
-    return df.repartition(target, key)
+    # Checkpointed so that Catalyst cannot push later (expensive, inlined)
+    # text predicates below the repartition into the single scan task.
+    from ..session import cut_lineage
+    return cut_lineage(df.repartition(target, key))
 
 
 # ---------------------------------------------------------------- views ----
