@@ -145,10 +145,15 @@ def eta_prior(eta, k: int) -> float:
 
 def lda_estimator(k: int, n_docs: int, passes: int = 1, chunk: int | None = None,
                   alpha="symmetric", eta="symmetric", seed: int = 100,
-                  features: str = "features") -> LDA:
+                  features: str = "features", min_batch_fraction: float = 0.01) -> LDA:
     """Online LDA; one pass visits every document once in chunks of
-    ``chunk`` documents (sub-sampling rate chunk/N)."""
-    rate = 1.0 if not chunk or chunk >= n_docs else chunk / n_docs
+    ``chunk`` documents (sub-sampling rate chunk/N).
+
+    Every online iteration is a distributed job that samples the corpus, so
+    the mini-batch is never below ``min_batch_fraction`` of the corpus (at
+    most 1/min_batch_fraction iterations per pass): a fixed 100-document
+    chunk would mean millions of iterations on a very large corpus."""
+    rate = 1.0 if not chunk or chunk >= n_docs else max(chunk / n_docs, min_batch_fraction)
     iters = max(1, int(math.ceil(passes / rate)))
     return LDA(k=k, maxIter=iters, optimizer="online", seed=seed, featuresCol=features,
                docConcentration=alpha_prior(alpha, k), topicConcentration=eta_prior(eta, k),

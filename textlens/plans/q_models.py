@@ -205,8 +205,7 @@ def lex_keep_words(spark, sf):
     pl = scratch_path(spark, "lk_list")
     pp = scratch_path(spark, "lk_pairs")
     d = TB.table(spark, sf, "documents").dropna(subset=["source"])
-    line = d.select("source").distinct().agg(F.array_join(F.array_sort(F.collect_list("source")), ", ").alias("value"))
-    line.write.mode("overwrite").text(pl)
+    FS.write_list_lexicon(d, "source", pl)
     FS.write_lines_in_order(d.select("doc_id", F.concat_ws(", ", "source", "lang").alias("line")), "line", "doc_id", pp, 4)
     stations = FS.read_list_lexicon(spark, pl).select(F.col("term"))
     pairs = FS.read_pair_lexicon(spark, pp)

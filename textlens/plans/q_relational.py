@@ -51,17 +51,12 @@ def src_records(spark, sf):
     return FS.read_records(spark, p, _parse_datatype_string(TWEET_SCHEMA))
 
 
-@register("lex_list", (
-    "SELECT CAST(row_number() OVER (ORDER BY source) - 1 AS BIGINT) AS pos, source AS term "
-    "FROM (SELECT DISTINCT source FROM documents WHERE source IS NOT NULL)"))
+@register("lex_list", "SELECT DISTINCT source AS term FROM documents WHERE source IS NOT NULL")
 def lex_list(spark, sf):
-    """A list lexicon (one ", "-separated line) derived from the sources."""
+    """A list lexicon (", "-separated) written from the sources and read back."""
     p = scratch_path(spark, "lex_list")
-    srcs = TB.table(spark, sf, "documents").select("source").dropna().distinct()
-    line = srcs.agg(F.array_join(F.array_sort(F.collect_list("source")), ", ").alias("value"))
-    line.write.mode("overwrite").text(p)
-    lex = FS.read_list_lexicon(spark, p)
-    return lex.select(F.col("pos").cast("long").alias("pos"), "term")
+    FS.write_list_lexicon(TB.table(spark, sf, "documents"), "source", p)
+    return FS.read_list_lexicon(spark, p).select("term").distinct()
 
 
 @register("lex_pairs", (
