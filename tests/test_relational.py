@@ -48,3 +48,23 @@ def test_union_periods_order(spark):
     u = R.union_periods([a, b])
     out = R.dedupe_keep_last(u, "t", ["batch_no", "row_id"]).first()
     assert (out["batch_no"], out["row_id"]) == (1, 0)
+
+
+def test_list_lexicon_round_trip_many_lines(spark):
+    from textlens.session import scratch_path
+    from textlens.sources import files as FS
+    words = spark.createDataFrame([(f"w{i}",) for i in range(250)] + [(None,)], "w string")
+    p = scratch_path(spark, "lex_test")
+    FS.write_list_lexicon(words, "w", p, max_terms=40)  # several lines / files
+    back = sorted(r[0] for r in FS.read_list_lexicon(spark, p).select("term").collect())
+    assert back == sorted(f"w{i}" for i in range(250))
+
+
+def test_pair_lexicon_first_position_last_value(spark):
+    from textlens.session import scratch_path
+    from textlens.sources import files as FS
+    rows = spark.createDataFrame([(1, "a, x"), (2, "b, y"), (3, "a, z")], "o long, line string")
+    p = scratch_path(spark, "pairs_test")
+    FS.write_lines_in_order(rows, "line", "o", p, n_files=2)
+    got = {r["key"]: r["val"] for r in FS.read_pair_lexicon(spark, p).collect()}
+    assert got == {"a": "z", "b": "y"}

@@ -56,3 +56,13 @@ def test_lemma_rules(spark):
     vocab = spark.createDataFrame([("station", 1), ("wait", 1), ("box", 1)], "term string, freq long")
     got = {r["tok"]: r["lemma"] for r in G.lemma_table(toks, vocab).collect()}
     assert got == {"stations": "station", "waiting": "wait", "boxes": "box"}
+
+
+def test_language_model_learns_scripts(spark):
+    rows = [(w, "en") for w in ["the", "there", "this", "that", "then", "they", "other", "weather"]] + \
+           [(w, "fr") for w in ["eau", "beaux", "château", "gâteau", "oiseau", "peau", "bureau", "niveau"]]
+    table = spark.createDataFrame(rows, "tok string, lang string")
+    m = G.language_model(table, min_df=1)
+    test = spark.createDataFrame([("these",), ("rideau",)], "tok string")
+    got = {r["tok"]: r["lang_pred"] for r in m.transform(test).collect()}
+    assert got == {"these": "en", "rideau": "fr"}

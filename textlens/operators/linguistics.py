@@ -319,3 +319,44 @@ def split_prefix_table(tokens: DataFrame, lang_table: DataFrame, special, englis
         & (F.length("tok") > 1)
     out = F.when(split, F.array(F.lit("x"), F.substring("tok", 2, 1 << 20))).otherwise(F.array("tok"))
     return t.select("tok", out.alias("out"))
+
+
+# ------------------------------------------------- char n-gram language model --
+
+def char_ngrams(tok: Column, n_max: int = 3) -> Column:
+    """Character 1..n_max-grams of ``<token>`` (boundary marks included)."""
+    padded = F.concat(F.lit("<"), tok, F.lit(">"))
+    parts = []
+    for n in range(1, n_max + 1):
+        last = F.greatest(F.length(padded) - n + 1, F.lit(1))
+        parts.append(F.transform(F.sequence(F.lit(1), last), lambda i, n=n: F.substring(padded, i, n)))
+    return F.concat(*parts)
+
+
+def language_model(lang_table: DataFrame, counts: DataFrame | None = None, n_max: int = 3,
+                   min_df: int = 2, vocab_size: int = 1 << 18):
+    """Multinomial naive Bayes over character n-grams, trained on the
+    corpus token -> language table (a learned per-token detector that also
+    labels tokens never seen in the corpus).  Returns a fitted PipelineModel
+    mapping ``tok`` to ``lang_pred``."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.classification import NaiveBayes
+    from pyspark.ml.feature import CountVectorizer, IndexToString, SQLTransformer, StringIndexer
+    grams = SQLTransformer(statement=f"SELECT *, {_ngram_sql(n_max)} AS grams FROM __THIS__")
+    idx = StringIndexer(inputCol="lang", outputCol="label", stringOrderType="alphabetAsc")
+    cv = CountVectorizer(inputCol="grams", outputCol="features", minDF=min_df, vocabSize=vocab_size)
+    nb = NaiveBayes(modelType="multinomial", smoothing=1.0)
+    pipe = Pipeline(stages=[grams, idx, cv, nb])
+    model = pipe.fit(lang_table.select("tok", "lang"))
+    labels = model.stages[1].labels
+    back = IndexToString(inputCol="prediction", outputCol="lang_pred", labels=labels)
+    from pyspark.ml import PipelineModel
+    return PipelineModel(stages=[model.stages[0], model.stages[2], model.stages[3], back])
+
+
+def _ngram_sql(n_max: int) -> str:
+    parts = []
+    for n in range(1, n_max + 1):
+        parts.append(f"transform(sequence(1, greatest(length(concat('<', tok, '>')) - {n} + 1, 1)), "
+                     f"i -> substring(concat('<', tok, '>'), i, {n}))")
+    return "concat(" + ", ".join(parts) + ")"

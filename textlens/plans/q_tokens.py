@@ -297,3 +297,13 @@ def tok_split_prefix(spark, sf):
     table = G.split_prefix_table(n.select(F.explode("toks").alias("tok")), lang, LEX.special_words())
     out = G.resolve_tokens(n, "toks", table, "split")
     return out.select("row_id", F.array_join("split", " ").alias("t"))
+
+
+@register("lang_model")
+def lang_model(spark, sf):
+    """Character n-gram naive Bayes trained on the corpus token-language
+    table; predicts a language for every distinct token (rows-only)."""
+    c = corpus(spark, sf)
+    table = cut_lineage(G.token_language_table(c, "toks"))
+    model = G.language_model(table)
+    return model.transform(table).select("tok", "lang", "lang_pred")
