@@ -36,7 +36,7 @@ def get_session(master: str | None = None, app: str = "textlens",
     b = SparkSession.builder.master(master or f"local[{cpus}]").appName(app)
     conf = dict(DEFAULTS)
     conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions or int(cpus))
-    conf.setdefault("spark.driver.memory", "16g")
+    conf.setdefault("spark.driver.memory", _driver_memory())
     conf.update(extra or {})
     for k, v in conf.items():
         b = b.config(k, v)
@@ -46,6 +46,18 @@ def get_session(master: str | None = None, app: str = "textlens",
     return spark
 
 
+def _driver_memory(cap_gb: int = 16) -> str:
+    """Local mode: the driver JVM is the whole cluster; use about 60% of the
+    machine's memory, at most ``cap_gb``."""
+    try:
+        with open("/proc/meminfo") as f:
+            kb = next(int(line.split()[1]) for line in f if line.startswith("MemTotal"))
+        gb = max(1, min(cap_gb, int(kb / 1024 / 1024 * 0.6)))
+    except (OSError, StopIteration, ValueError):
+        gb = 4
+    return f"{gb}g"
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by the cluster.
 
