@@ -56,3 +56,20 @@ def test_lda_distribution_sums_to_one(spark):
     d = TP.topic_distribution(m.transform(feats))
     sums = [r[0] for r in d.select(F.aggregate("LDAtotal", F.lit(0.0), lambda a, x: a + x["prob"])).collect()]
     assert all(abs(s - 1) < 1e-6 for s in sums)
+
+
+def test_roc_curve_drops_collinear_points(spark):
+    import numpy as np
+    rng = np.random.default_rng(3)
+    scores = rng.integers(0, 40, size=300).astype(float)
+    labels = (rng.random(300) < 0.4).astype(int)
+    df = spark.createDataFrame([(int(l), float(s)) for l, s in zip(labels, scores)], "label int, score double")
+    got = [(r["threshold"], round(r["fpr"], 12), round(r["tpr"], 12)) for r in CL.roc_curve(df).orderBy("fpr", "tpr", F.desc("threshold")).collect()]
+    # brute force of the drop-intermediate rule
+    th = sorted(set(scores), reverse=True)
+    fps = np.array([sum(1 for s, l in zip(scores, labels) if s >= t and l == 0) for t in th])
+    tps = np.array([sum(1 for s, l in zip(scores, labels) if s >= t and l == 1) for t in th])
+    keep = np.where(np.r_[True, np.logical_or(np.diff(fps, 2), np.diff(tps, 2)), True])[0]
+    exp = [(float("inf"), 0.0, 0.0)] + [(th[i], round(fps[i] / fps[-1], 12), round(tps[i] / tps[-1], 12)) for i in keep]
+    exp = sorted(exp, key=lambda x: (x[1], x[2], -x[0]))
+    assert got == exp

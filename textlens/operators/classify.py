@@ -44,11 +44,19 @@ def quantile_bucket(df: DataFrame, col: str, n_buckets: int = 64) -> Column:
     boundaries fetched to the driver; a bounded list)."""
     qs = [i / n_buckets for i in range(1, n_buckets)]
     bounds = df.agg(F.percentile_approx(col, qs, 10000)).first()[0] or []
-    arr = F.array(*[F.lit(float(b)) for b in sorted(set(bounds))])
-    return F.size(F.filter(arr, lambda b: b < F.col(col).cast("double")))
-
-
-def running_totals(df: DataFrame, order_col: str, cols, descending: bool = False, n_buckets: int = 64) -> DataFrame:
+    x = F.col(col).cast("double")
+    # number of boundaries below x, as plain comparisons (no lambda capturing x)
+    terms = [F.when(x > F.lit(float(b)), 1).otherwise(0) for b in sorted(set(bounds))]
+    if not terms:
+        return F.lit(0)
+    out = terms[0]
+    for t in terms[1:]:
+        out = out + t
+    return out
+
+
+def running_totals(df: DataFrame, order_col: str, cols, descending: bool = False, n_buckets: int = 64,
+                   keep_bucket: bool = False) -> DataFrame:
     """Inclusive running sums of ``cols`` in ``order_col`` order (one row
     per distinct order value expected)."""
     d = df.withColumn("_key", -F.col(order_col) if descending else F.col(order_col))
@@ -61,7 +69,8 @@ def running_totals(df: DataFrame, order_col: str, cols, descending: bool = False
     r = d.join(F.broadcast(offs), "_b")
     for c in cols:
         r = r.withColumn(f"cum_{c}", F.col(f"_o_{c}") + F.sum(c).over(within))
-    return r.drop("_b", "_key", *[f"_o_{c}" for c in cols])
+    r = r.drop(*[f"_o_{c}" for c in cols])
+    return r if keep_bucket else r.drop("_b", "_key")
 
 
 # ---------------------------------------------------------------- labels --
@@ -248,13 +257,31 @@ def confusion_matrix(df: DataFrame, classes, label: str = "label", pred: str = "
     return m.select(label, *[F.coalesce(F.col(str(c)), F.lit(0)).cast("long").alias(nm) for c, nm in zip(classes, names)])
 
 
-def roc_curve(df: DataFrame, label: str = "label", score: str = "score") -> DataFrame:
-    """(threshold, fpr, tpr) at every distinct score, descending, plus the
-    (inf, 0, 0) start; scores are pre-aggregated first."""
+def roc_curve(df: DataFrame, label: str = "label", score: str = "score",
+              drop_intermediate: bool = True) -> DataFrame:
+    """(threshold, fpr, tpr) at the distinct scores, descending, after the
+    (inf, 0, 0) start.  With ``drop_intermediate`` a threshold is kept only
+    where the curve bends (its step to the next threshold differs from its
+    own step), plus the first and the last -- the usual default.  Scores are
+    pre-aggregated; running sums and the "next point" come from ordered
+    buckets, never one global window."""
     agg = df.groupBy(score).agg(F.sum(F.col(label).cast("long")).alias("pos"),
                                 F.sum((1 - F.col(label)).cast("long")).alias("neg"))
     tot = df.agg(F.sum(F.col(label).cast("long")).alias("P"), F.sum((1 - F.col(label)).cast("long")).alias("N")).first()
-    r = running_totals(agg, score, ["pos", "neg"], descending=True)
+    r = running_totals(agg, score, ["pos", "neg"], descending=True, keep_bucket=True)
+    if drop_intermediate:
+        within = Window.partitionBy("_b").orderBy("_key")
+        r = r.withColumn("_npos", F.lead("pos").over(within)).withColumn("_nneg", F.lead("neg").over(within))
+        firsts = r.groupBy("_b").agg(F.min_by(F.struct("pos", "neg"), F.col("_key")).alias("f"))
+        wb = Window.orderBy("_b")  # over <= n_buckets rows
+        firsts = firsts.select("_b", F.lead("f").over(wb).alias("nf"))
+        r = r.join(F.broadcast(firsts), "_b", "left")
+        npos = F.coalesce(F.col("_npos"), F.col("nf.pos"))
+        nneg = F.coalesce(F.col("_nneg"), F.col("nf.neg"))
+        first_key = r.agg(F.min("_key")).first()[0]
+        keep = (npos.isNull() | (F.col("_key") == F.lit(first_key))
+                | (npos != F.col("pos")) | (nneg != F.col("neg")))
+        r = r.filter(keep)
     curve = r.select(F.col(score).cast("double").alias("threshold"),
                      (F.col("cum_neg") / F.lit(float(tot["N"]))).alias("fpr"),
                      (F.col("cum_pos") / F.lit(float(tot["P"]))).alias("tpr"))

@@ -162,10 +162,13 @@ def confusion_matrix(spark, sf):
 
 
 @register("roc_curve", "WITH " + SCORED_SQL + ", g AS (SELECT score, sum(label) AS pos, sum(1 - label) AS neg FROM sc GROUP BY score), "
-          "t AS (SELECT sum(label) AS P, sum(1 - label) AS N FROM sc) "
+          "t AS (SELECT sum(label) AS P, sum(1 - label) AS N FROM sc), "
+          "c AS (SELECT score, pos, neg, sum(neg) OVER w AS cn, sum(pos) OVER w AS cp, lead(pos) OVER w2 AS npos, "
+          "lead(neg) OVER w2 AS nneg, row_number() OVER w2 AS rn FROM g "
+          "WINDOW w AS (ORDER BY score DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), w2 AS (ORDER BY score DESC)) "
           f"SELECT 'inf'::DOUBLE AS threshold, 0.0::DOUBLE AS fpr, 0.0::DOUBLE AS tpr UNION ALL "
-          f"SELECT score, round(sum(neg) OVER w / t.N, {R6}), round(sum(pos) OVER w / t.P, {R6}) FROM g, t "
-          "WINDOW w AS (ORDER BY score DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)")
+          f"SELECT score, round(cn / t.N, {R6}), round(cp / t.P, {R6}) FROM c, t "
+          "WHERE rn = 1 OR npos IS NULL OR npos <> pos OR nneg <> neg")
 def roc_curve(spark, sf):
     c = CL.roc_curve(scored(spark, sf))
     return c.select("threshold", F.round("fpr", R6).alias("fpr"), F.round("tpr", R6).alias("tpr"))
