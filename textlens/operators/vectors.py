@@ -91,3 +91,18 @@ def nearest_terms(vectors: DataFrame, query_word: str, k: int = L.NEAREST_TOPN,
     q = F.array(*[F.lit(float(x)) for x in row[0]])
     c = vectors.filter(F.col(word) != query_word).select(word, cosine(F.col(vec), q).alias("similarity"))
     return c.orderBy(F.desc("similarity"), word).limit(k)
+
+
+class CleanTokenizer(Transformer, HasInputCol, HasOutputCol):
+    """Pipeline stage: raw text -> cleaned word tokens (preprocess, squeeze,
+    printable, word tokenizer), all native column expressions."""
+
+    def __init__(self, inputCol: str = "text", outputCol: str = "toks"):
+        super().__init__()
+        self._set(inputCol=inputCol, outputCol=outputCol)
+
+    def _transform(self, dataset: DataFrame) -> DataFrame:
+        from ..functions import text as T
+        from ..functions import tokens as K
+        c = T.txt_printable(T.txt_squeeze_runs(T.clean_preprocess(F.col(self.getInputCol()))))
+        return dataset.withColumn(self.getOutputCol(), K.tok_words(c))

@@ -401,17 +401,14 @@ def cv_scores(spark, sf, folds=3):
 
 @register("score_text_model")
 def score_text_model(spark, sf):
-    """Vectoriser + classifier as one fitted Pipeline that scores raw posts."""
+    """Tokenizer + mean word vector + classifier as one fitted Pipeline that
+    scores raw post text."""
     from pyspark.ml import Pipeline
-    from pyspark.ml.feature import SQLTransformer
-    from ..plans import stages as S
-    from ..functions import tokens as K
     ev = events(spark, sf).withColumn("label", F.col("label").cast("double"))
     lab = TB.labelled(spark, sf).select("row_id", "text").join(ev.select("row_id", "label"), "row_id")
     vec = vectors(spark, sf)
-    tok = SQLTransformer(statement="SELECT *, text AS raw FROM __THIS__")
-    prep = lab.withColumn("toks", K.tok_words(S.ascii_clean("text")))
-    emb = VX.MeanEmbedding(vec, DIM, inputCol="toks", outputCol="features")
-    pipe = Pipeline(stages=[tok, emb, CL.rf(trees=10, depth=5)])
-    model = pipe.fit(prep)
-    return model.transform(prep).select("row_id", "prediction")
+    stages = [VX.CleanTokenizer("text", "toks"), VX.MeanEmbedding(vec, DIM, inputCol="toks", outputCol="features"),
+              CL.rf(trees=10, depth=5)]
+    model = Pipeline(stages=stages).fit(lab)
+    raw = TB.labelled(spark, sf).select("row_id", "text")  # raw text in, predictions out
+    return model.transform(raw).select("row_id", "prediction")
