@@ -13,7 +13,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import lexicons as L
-from .patterns import LAUGH_LINEAR, NOT_WS_RUN, TOKEN, W, WS, WS_RUN, escape, word_alternation
+from .patterns import LAUGH_LINEAR, NOT_WS_RUN, TOKEN, W, WS, escape, word_alternation
 
 
 def _c(c) -> Column:

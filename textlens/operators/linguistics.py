@@ -301,14 +301,15 @@ def correct_table(tokens: DataFrame, lang_table: DataFrame, proper: DataFrame,
 def stem_lemma_table(tokens: DataFrame, lang_table: DataFrame, vocabulary_en: DataFrame,
                      roots: DataFrame, standard, english: str = "en") -> DataFrame:
     """(tok, out) for stem_lemma(): standard words kept; English -> lemma;
-    else -> Malay stem."""
+    else -> Malay stem.  Lemmas are computed for English tokens only and
+    stems for the others."""
     t = tokens.select("tok").distinct().join(lang_table, "tok", "left")
-    lm = lemma_table(t.select("tok"), vocabulary_en)
-    st = stem_table(t.select("tok"), roots)
-    j = t.join(lm, "tok", "left").join(st, "tok", "left")
-    out = (F.when(F.col("tok").isin(list(standard)), F.col("tok"))
-           .when(F.col("lang") == english, F.col("lemma")).otherwise(F.col("stem")))
-    return j.select("tok", out.alias("out"))
+    std = F.col("tok").isin(list(standard))
+    is_en = F.coalesce(F.col("lang") == english, F.lit(False))
+    kept = t.filter(std).select("tok", F.col("tok").alias("out"))
+    lm = lemma_table(t.filter(~std & is_en).select("tok"), vocabulary_en).select("tok", F.col("lemma").alias("out"))
+    st = stem_table(t.filter(~std & ~is_en).select("tok"), roots).select("tok", F.col("stem").alias("out"))
+    return kept.unionByName(lm).unionByName(st)
 
 
 def split_prefix_table(tokens: DataFrame, lang_table: DataFrame, special, english: str = "en") -> DataFrame:
