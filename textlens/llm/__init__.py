@@ -9,7 +9,7 @@ from __future__ import annotations
 
 def _registry():
     """Import the query modules (here, so that tasks load only what they use)."""
-    from . import decontaminate, mixing, ngram_join, quality_rules  # noqa: F401
+    from . import decontaminate, mixing, ngram_join, quality_rules, token_index  # noqa: F401
     from .common import REGISTRY
     return REGISTRY
 

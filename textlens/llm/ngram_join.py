@@ -5,17 +5,17 @@ link when the Jaccard similarity of their sets reaches a threshold t.
 
 1. Documents with equal sets form one class, found by a hash of the set;
    everything after works on classes.
-2. A set of s shingles can only link with sets that share ceil(t * s) of its
-   shingles.  DivideSkip therefore leaves the T - 1 = ceil(t * s) - 1 longest
-   inverted lists aside and merges only the s - T + 1 short ones: whoever
-   links with the set is met there.  The order "frequent shingles last, then
-   by hash" picks the same short lists on both sides of a pair; frequent ones
-   are those that one batch of documents holds in more than a given share,
-   found over all documents.  The order steers the cost only, never the
-   result.
-3. Postings of the short lists are counted by key; lists of one class are
-   gone.  A star for each remaining list gives a graph whose components hold
-   every linked pair.  They are the blocks of the search.
+2. A set of s shingles can only link with sets that share T = ceil(t * s) of
+   its shingles.  DivideSkip therefore leaves the T - 1 longest inverted lists
+   aside and merges only the p = s - T + 1 short ones: whoever links with the
+   set is met there, if all sets order their lists alike.  The order is:
+   lists of one class, then by length, then by hash.  Lengths are counted, over
+   all documents, for the shingles whose hash is below SAMPLE of its range;
+   the others come last, by hash.  So each class posts its shingles below that
+   mark (and further ones in the rare case that these are fewer than p).
+   Lists of one class need no merging, and a set with p of them is done.
+3. A star for each short list gives a graph whose components hold every linked
+   pair.  They are the blocks of the search.
 4. The sets of a block's classes meet in one task, where the short lists are
    merged by a heap and the long ones probed by binary search until the
    required overlap is reached or out of reach.  Blocks above a size are split
@@ -39,7 +39,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import as_bytes, grouped, mix, register, slices, table, window_hashes, word_hashes, written
@@ -48,10 +48,13 @@ from .components import components
 SHINGLE = 5
 #: The similarity, in percent.
 PERCENT = 80
-#: A shingle is frequent if it is in this share of the documents, and in FREQUENT_LEAST.
-FREQUENT_SHARE, FREQUENT_LEAST = 1 / 1000, 16
+#: The share of the range of hashes for which lengths of lists are counted;
+#: more than 1 - PERCENT / 100, so that it gives most sets all their short lists.
+SAMPLE = 0.3
 #: Shingles of the sets that a chunk holds (8 bytes each), and its classes.
-CHUNK_SHINGLES, CHUNK_CLASSES = 2_000_000, 8_000
+CHUNK_SHINGLES, CHUNK_CLASSES = 4_000_000, 20_000
+#: Members of blocks up to which their table is broadcast (some 40 bytes each).
+BROADCAST_ROWS = 500_000
 PIVOTS = 8
 
 
@@ -79,36 +82,14 @@ def class_id(own: np.ndarray) -> int:
     return int(mix(np.asarray([total], np.uint64)).view(np.int64)[0])
 
 
-def frequent_shingles(docs: DataFrame, size: int = SHINGLE) -> np.ndarray:
-    """Shingles in ``FREQUENT_SHARE`` of the documents or more, sorted.  There
-    are at most (shingles a document) / FREQUENT_SHARE of them, as their
-    counts add up to no more than all postings."""
+def short_count(size: int, percent: int = PERCENT) -> int:
+    return size - need(size, percent) + 1
 
-    def count(batches):
-        for whole in batches:
-            for batch in slices(whole, "text"):
-                sets = [shingles(x, size) for x in as_bytes(batch.column("text"))]
-                keys, n = np.unique(np.concatenate(sets), return_counts=True)
-                often = n >= max(3, math.ceil(FREQUENT_SHARE * len(sets)))
-                keys, n = keys[often].view(np.int64), n[often]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([None, *keys.tolist()], pa.int64()), pa.array([len(sets), *n.tolist()], pa.int64())], names=["key", "n"])
-
-    counts = written(docs.select("text").mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")), "frequent")
-    total = counts.where("key is null").agg(F.sum("n")).first()[0] or 0
-    least = max(FREQUENT_LEAST, FREQUENT_SHARE * total)
-    keys = counts.where(F.col("key").isNotNull() & (F.col("n") >= least)).select("key").toArrow().column("key").to_numpy()
-    return np.sort(keys.view(np.uint64))
 
-
-def short_lists(own: np.ndarray, frequent: np.ndarray, percent: int = PERCENT) -> np.ndarray:
-    """The shingles whose lists are merged: all but the T - 1 last in the order."""
-    count = len(own) - need(len(own), percent) + 1
-    if len(frequent):
-        at = np.minimum(np.searchsorted(frequent, own), len(frequent) - 1)
-        often = frequent[at] == own
-        own = np.concatenate([own[~often], own[often]])
-    return own[:count]
+def posted(own: np.ndarray, percent: int = PERCENT) -> np.ndarray:
+    """The shingles that a class posts: those below the mark, at least p."""
+    below = int(np.searchsorted(own, np.uint64(SAMPLE * 2 ** 64)))
+    return own[:max(below, short_count(len(own), percent))]
 
 
 class Links:
@@ -206,34 +187,52 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", size: int = SHINGLE
     ``id_col`` and ``text``): the size of its set, and the smallest id that it
     reaches by links."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col("text").alias("text"))
-    spark = rows.sparkSession
-    frequent = spark.sparkContext.broadcast(frequent_shingles(rows, size))
+    kind = dict(rows.dtypes)["doc_id"]
 
     def describe(batches):
         for whole in batches:
             for batch in slices(whole, "text"):
-                out, seen = {"n": [], "node": [], "keys": []}, set()
+                n, node, below = [], [], []
                 for text in as_bytes(batch.column("text")):
                     own = shingles(text, size)
-                    node = class_id(own) if len(own) else None
-                    out["n"].append(len(own))
-                    out["node"].append(node)
-                    out["keys"].append(short_lists(own, frequent.value, percent).view(np.int64) if len(own) and node not in seen else None)
-                    seen.add(node)
+                    n.append(len(own))
+                    node.append(class_id(own) if len(own) else None)
+                    below.append(int(np.searchsorted(own, np.uint64(SAMPLE * 2 ** 64))))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id"), pa.array(out["n"], pa.int64()), pa.array(out["node"], pa.int64()),
-                     pa.array(out["keys"], pa.list_(pa.int64()))], names=["doc_id", "n", "node", "keys"])
+                    [batch.column("doc_id"), *(pa.array(x, pa.int64()) for x in (n, node, below))], names=["doc_id", "n", "node", "below"])
 
-    kind = dict(rows.dtypes)["doc_id"]
-    described = written(rows.mapInArrow(describe, f"doc_id {kind}, n long, node long, keys array<long>"), "shingles")
-    # short lists with two classes or more; a list's star has its smallest class in the middle
-    postings = described.where(F.col("keys").isNotNull()).select("node", F.explode("keys").alias("key")).repartition("key")
-    lists = postings.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("key", "low")
-    stars = postings.join(lists, "key").where("node <> low").select(F.col("node").alias("u"), F.col("low").alias("v"))
-    blocks = components(stars, "blocks").select("node", F.col("root").alias("block"))
-    # one document stands for each class; large blocks are cut in chunks
+    def post(batches):
+        for whole in batches:
+            for batch in slices(whole, "text"):
+                found = {}
+                for text in as_bytes(batch.column("text")):
+                    own = shingles(text, size)
+                    if len(own):
+                        found[class_id(own)] = posted(own, percent)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.repeat(np.fromiter(found, np.int64, len(found)), [len(x) for x in found.values()])),
+                     pa.array(np.concatenate([np.zeros(0, np.uint64), *found.values()]).view(np.int64))], names=["node", "key"])
+
+    described = written(rows.mapInArrow(describe, f"doc_id {kind}, n long, node long, below long"), "described")
+    # one document stands for each class
     classes = (described.where(F.col("node").isNotNull() & F.col("doc_id").isNotNull())
-               .groupBy("node").agg(F.min("doc_id").alias("first"), F.max("n").alias("n")))
+               .groupBy("node").agg(F.min("doc_id").alias("first"), F.max("n").alias("n"), F.max("below").alias("below")))
+    postings = rows.select("text").mapInArrow(post, "node long, key long").repartition("key")
+    lists = postings.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("length")).where("low <> high")
+    counted = (F.col("key") >= 0) & (F.col("key") < int(SAMPLE * 2 ** 64))  # the others count as longest
+    shared = written(postings.join(lists, "key").select("node", "key", F.when(counted, F.col("length")).alias("length"))
+                     .repartition("node").distinct(), "shared")
+    per_node = Window.partitionBy("node")
+    ranked = (shared.withColumn("turn", F.row_number().over(per_node.orderBy(F.col("length").asc_nulls_last(), "key")))
+              .withColumn("counted", F.count("length").over(per_node)))
+    alone = F.col("below") - F.col("counted")  # lists of one class
+    short = F.col("n") - F.ceil(F.lit(percent) * F.col("n") / 100) + 1
+    merged = (ranked.join(classes.select("node", "n", "below"), "node")
+              .where(F.col("length").isNull() | (F.col("turn") <= short - alone)).select("node", "key"))
+    ends = merged.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("key", "low")
+    stars = merged.join(ends, "key").where("node <> low").select(F.col("node").alias("u"), F.col("low").alias("v"))
+    blocks = components(stars, "blocks").select("node", F.col("root").alias("block"))
+    # large blocks are cut in chunks
     members = blocks.join(classes, "node")
     sized = members.groupBy("block").agg(F.greatest(F.ceil(F.sum("n") / F.lit(CHUNK_SHINGLES)),
                                                     F.ceil(F.count("*") / F.lit(CHUNK_CLASSES))).cast("int").alias("chunks"))
@@ -263,7 +262,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", size: int = SHINGLE
             edges = search([np.frombuffer(by[x], np.uint64) for x in nodes], percent)
             yield pa.RecordBatch.from_pydict({"u": [nodes[a] for a, _ in edges], "v": [nodes[b] for _, b in edges]}, schema=schema)
 
-    edges = (rows.join(placed, F.col("doc_id") == F.col("first")).select("text", "node", "block", "chunks", "chunk")
+    few = placed.count() <= BROADCAST_ROWS
+    edges = (rows.join(F.broadcast(placed) if few else placed, F.col("doc_id") == F.col("first")).select("text", "node", "block", "chunks", "chunk")
              .mapInArrow(sets, "task string, node long, own binary")
              .repartition("task").sortWithinPartitions("task", "node").mapInArrow(find, "u long, v long"))
     roots = components(edges, "links")

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, LongType, StructField, StructType
 
-from .common import as_bytes, labelled_sample, mix, register, slices, table, window_hashes, word_hashes
+from .common import as_bytes, free_name, labelled_sample, mix, register, slices, table, window_hashes, word_hashes
 
 BITS = 16
 MIN_WORDS = 20
@@ -208,6 +208,13 @@ def score_quality(docs: DataFrame, model: QualityModel, keep: float = KEEP_PROBA
     return docs.mapInArrow(score, schema)
 
 
+def keep_good(docs: DataFrame, model: QualityModel) -> DataFrame:
+    """The rows of ``docs`` that are kept, with their own columns only."""
+    text, row = free_name(docs, "text_"), free_name(docs, "row_")
+    packed = docs.select(F.struct("*").alias(row), F.col("text").alias(text)).withColumnRenamed(text, "text")
+    return score_quality(packed, model).where("kept").select(f"{row}.*")
+
+
 @register("op2_quality_rules")
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
