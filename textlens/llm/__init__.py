@@ -9,7 +9,7 @@ from __future__ import annotations
 
 def _registry():
     """Import the query modules (here, so that tasks load only what they use)."""
-    from . import (decontaminate, html_extract, licenses, mixing, ngram_join, quality_gam, quality_rules,  # noqa: F401
+    from . import (chat_format, decontaminate, html_extract, licenses, mixing, ngram_join, quality_gam, quality_rules,  # noqa: F401
                    token_index)
     from .common import REGISTRY
     return REGISTRY
