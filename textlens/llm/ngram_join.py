@@ -16,14 +16,15 @@ link when the Jaccard similarity of their sets reaches a threshold t.
    Lists of one class need no merging, and a set with p of them is done.
 3. A star for each short list gives a graph whose components hold every linked
    pair.  They are the blocks of the search.
-4. The sets of a block's classes meet in one task, where the short lists are
-   merged by a heap and the long ones probed by binary search until the
-   required overlap is reached or out of reach.  Blocks above a size are split
-   in chunks, and each pair of chunks meets in a task of its own, so no task
-   holds more than two chunks and no pair is lost.  A task first compares its
-   classes with a few pivots and then searches for those outside the largest
-   component only: pairs inside of it add nothing.  It returns a spanning
-   forest of the links it found, not all pairs.
+4. The sets of a block's classes meet in one task.  There the short lists are
+   merged (by a heap; long merges are counted in an array, to the same result)
+   and the long ones probed by binary search for the sets met, as long as the
+   required overlap is in reach; where probing takes more steps than reading
+   the long lists, these are read.  Blocks above a size are split in chunks,
+   and each pair of chunks meets in a task of its own, so no task holds more
+   than two chunks and no pair is lost.  A task returns a spanning forest of
+   the links it found, not all pairs, and passes over sets of a component that
+   holds more than half of its sets: all others are searched.
 5. Components of these links, by alternating stars, give each document the
    smallest id that it reaches.
 
@@ -35,7 +36,6 @@ one document each; a null id never names a component.
 from __future__ import annotations
 
 import heapq
-import math
 
 import numpy as np
 import pyarrow as pa
@@ -52,10 +52,9 @@ PERCENT = 80
 #: more than 1 - PERCENT / 100, so that it gives most sets all their short lists.
 SAMPLE = 0.3
 #: Shingles of the sets that a chunk holds (8 bytes each), and its classes.
-CHUNK_SHINGLES, CHUNK_CLASSES = 4_000_000, 20_000
+CHUNK_SHINGLES, CHUNK_CLASSES = 4_000_000, 8_000
 #: Members of blocks up to which their table is broadcast (some 40 bytes each).
 BROADCAST_ROWS = 500_000
-PIVOTS = 8
 
 
 def shingles(text: bytes | None, size: int = SHINGLE) -> np.ndarray:
@@ -92,94 +91,72 @@ def posted(own: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     return own[:max(below, short_count(len(own), percent))]
 
 
-class Links:
-    """Union-find over the classes of a task; keeps the links that joined two."""
-
-    def __init__(self, n: int):
-        self.parent = list(range(n))
-        self.edges: list[tuple[int, int]] = []
-
-    def root(self, x: int) -> int:
-        while self.parent[x] != x:
-            self.parent[x] = self.parent[self.parent[x]]
-            x = self.parent[x]
-        return x
-
-    def join(self, a: int, b: int) -> None:
-        x, y = self.root(a), self.root(b)
-        if x != y:
-            self.parent[max(x, y)] = min(x, y)
-            self.edges.append((a, b))
-
-
 def linked(overlap, a, b, percent: int = PERCENT):
     return 100 * overlap >= percent * (a + b - overlap)
 
 
+def merged_counts(lists: list[np.ndarray], n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The sets on some inverted lists, and on how many each: by a heap for
+    short lists, by counting into an array where that takes fewer steps."""
+    if sum(map(len, lists)) > max(64, n // 8):
+        counts = np.bincount(np.concatenate(lists), minlength=n)
+        found = np.flatnonzero(counts)
+        return found, counts[found]
+    sets, counts = [], []
+    for y in heapq.merge(*[x.tolist() for x in lists]):
+        if sets and sets[-1] == y:
+            counts[-1] += 1
+        else:
+            sets.append(y)
+            counts.append(1)
+    return np.asarray(sets, np.int64), np.asarray(counts, np.int64)
+
+
 def search(sets: list[np.ndarray], percent: int = PERCENT) -> list[tuple[int, int]]:
     """A spanning forest of all links between the given sets."""
     n = len(sets)
-    links = Links(n)
     sizes = np.asarray([len(s) for s in sets], np.int64)
     values, every = np.unique(np.concatenate(sets), return_inverse=True)
-    owner = np.repeat(np.arange(n), sizes)
     starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-
-    def of(x):
-        return every[starts[x]:starts[x] + sizes[x]]
-
-    def largest():
-        roots = np.asarray([links.root(x) for x in range(n)])
-        ids, members = np.unique(roots, return_counts=True)
-        return roots, ids[members.argmax()]
-
-    done = np.zeros(n, bool)
-    flags = np.zeros(len(values), bool)
-    for turn in range(PIVOTS):  # pivots: one set against all
-        roots, top = largest()
-        rest = np.flatnonzero(~done if turn == 0 else ~done & (roots != top))
-        if not len(rest):
-            break
-        pivot = int(rest[np.argsort(sizes[rest], kind="stable")[len(rest) // 2]])
-        flags[of(pivot)] = True
-        overlap = np.add.reduceat(flags[every].astype(np.int64), starts)
-        flags[of(pivot)] = False
-        found = np.flatnonzero(linked(overlap, sizes, sizes[pivot], percent))
-        for y in found.tolist():
-            links.join(pivot, y)
-        done[pivot] = True
-        if len(found) < 2 and turn:
-            break
-    roots, top = largest()
-    rest = np.flatnonzero(~done & (roots != top))
-    if not len(rest):
-        return links.edges
-    # inverted lists, each sorted by set: postings of value v at bounds[v]:bounds[v + 1]
+    # inverted lists, each sorted by set: those of value v are posting[bounds[v]:bounds[v + 1]]
     order = np.argsort(every, kind="stable")
-    posting = owner[order]
-    bounds = np.searchsorted(every[order], np.arange(len(values) + 1))
+    posting = np.repeat(np.arange(n), sizes)[order]
+    length = np.bincount(every, minlength=len(values))
+    bounds = np.concatenate([[0], np.cumsum(length)])
     codes = every[order] * n + posting
-    length = np.diff(bounds)
-    for x in rest.tolist():
-        mine = of(x)
+    group = np.arange(n)  # the component of each set
+    members = np.ones(n, np.int64)
+    edges = []
+    for x in range(n):
+        if 2 * members[group[x]] > n:
+            continue  # links between two sets of such a component add nothing, and all others are searched
+        mine = every[starts[x]:starts[x] + sizes[x]]
         mine = mine[np.argsort(length[mine], kind="stable")]
         t = need(len(mine), percent)
         short, long = mine[:len(mine) - t + 1], mine[len(mine) - t + 1:]
-        heap = [posting[bounds[v]:bounds[v + 1]].tolist() for v in short.tolist() if length[v] > 1]
-        met, count = -1, 0
-        for y in [*heapq.merge(*heap), n]:
-            if y == met:
-                count += 1
-                continue
-            if met >= 0 and met != x and links.root(met) != links.root(x):
-                required = math.ceil(percent * (sizes[x] + sizes[met]) / (100 + percent) - 1e-9)
-                if count + len(long) >= required:
-                    probe = long * n + met  # is the set in each long list?
-                    at = np.minimum(np.searchsorted(codes, probe), len(codes) - 1)
-                    if linked(count + int((codes[at] == probe).sum()), int(sizes[x]), int(sizes[met]), percent):
-                        links.join(x, met)
-            met, count = y, 1
-    return links.edges
+        short = short[length[short] > 1]
+        if not len(short):
+            continue
+        met, count = merged_counts([posting[bounds[v]:bounds[v + 1]] for v in short.tolist()], n)
+        required = -(-percent * (sizes[x] + sizes[met]) // (100 + percent))
+        open_ = (group[met] != group[x]) & (count + len(long) >= required)
+        met, count = met[open_], count[open_]
+        if not len(met):
+            continue
+        if 8 * len(met) * len(long) <= length[long].sum():  # is the set on each long list?
+            probe = (long[None, :] * n + met[:, None]).ravel()
+            at = np.minimum(np.searchsorted(codes, probe), len(codes) - 1)
+            count = count + (codes[at] == probe).reshape(len(met), len(long)).sum(1)
+        else:
+            both = np.bincount(np.concatenate([posting[bounds[v]:bounds[v + 1]] for v in long.tolist()]), minlength=n)
+            count = count + both[met]
+        for y in met[linked(count, sizes[x], sizes[met], percent)].tolist():
+            if group[y] != group[x]:
+                edges.append((x, y))
+                small, large = sorted((group[x], group[y]), key=lambda g: members[g])
+                members[large] += members[small]
+                group[group == small] = large
+    return edges
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
