@@ -13,7 +13,7 @@ import math
 
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, RandomForestClassifier
-from pyspark.ml.feature import CountVectorizer, PolynomialExpansion, RegexTokenizer, StringIndexer
+from pyspark.ml.feature import Bucketizer, CountVectorizer, PolynomialExpansion, RegexTokenizer, StringIndexer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -39,31 +39,36 @@ def bucketed_rank(df: DataFrame, bucket: Column, order, partition=(), name: str
     return r.drop("_b", "_off")
 
 
-def quantile_bucket(df: DataFrame, col: str, n_buckets: int = 64) -> Column:
-    """Monotone bucket of ``col`` by approximate quantiles (n_buckets-1
-    boundaries fetched to the driver; a bounded list)."""
-    qs = [i / n_buckets for i in range(1, n_buckets)]
-    bounds = df.agg(F.percentile_approx(col, qs, 10000)).first()[0] or []
-    x = F.col(col).cast("double")
-    # number of boundaries below x, as plain comparisons (no lambda capturing x)
-    terms = [F.when(x > F.lit(float(b)), 1).otherwise(0) for b in sorted(set(bounds))]
-    if not terms:
-        return F.lit(0)
-    out = terms[0]
-    for t in terms[1:]:
-        out = out + t
-    return out
+#: Rows that one bucket of a rank or running sum should hold.
+BUCKET_ROWS = 100_000
 
 
-def running_totals(df: DataFrame, order_col: str, cols, descending: bool = False, n_buckets: int = 64,
+def bucket_count(rows: int) -> int:
+    """Buckets for so many rows: their number grows with the table."""
+    return max(8, -(-rows // BUCKET_ROWS))
+
+
+def with_quantile_bucket(df: DataFrame, col: str, out: str = "_b") -> DataFrame:
+    """``df`` with a bucket of ``col``, monotone in it, by approximate
+    quantiles: one boundary for each ``BUCKET_ROWS`` rows reaches the driver,
+    and each row finds its bucket by binary search."""
+    n = bucket_count(df.count())
+    bounds = df.agg(F.percentile_approx(col, [i / n for i in range(1, n)], max(10_000, 10 * n))).first()[0] or []
+    splits = [-math.inf, *sorted({float(b) for b in bounds}), math.inf]
+    tmp = f"{out}_x"
+    d = df.withColumn(tmp, F.col(col).cast("double"))
+    d = Bucketizer(splits=splits, inputCol=tmp, outputCol=out, handleInvalid="keep").transform(d)
+    return d.withColumn(out, F.col(out).cast("int")).drop(tmp)
+
+
+def running_totals(df: DataFrame, order_col: str, cols, descending: bool = False,
                    keep_bucket: bool = False) -> DataFrame:
     """Inclusive running sums of ``cols`` in ``order_col`` order (one row
     per distinct order value expected)."""
     d = df.withColumn("_key", -F.col(order_col) if descending else F.col(order_col))
-    b = quantile_bucket(d, "_key", n_buckets)
-    d = d.withColumn("_b", b)
+    d = with_quantile_bucket(d, "_key")
     tot = d.groupBy("_b").agg(*[F.sum(c).alias(f"_t_{c}") for c in cols])
-    w = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)  # over <= n_buckets rows
+    w = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)  # over one row per bucket
     offs = tot.select("_b", *[F.coalesce(F.sum(f"_t_{c}").over(w), F.lit(0)).alias(f"_o_{c}") for c in cols])
     within = Window.partitionBy("_b").orderBy("_key").rowsBetween(Window.unboundedPreceding, 0)
     r = d.join(F.broadcast(offs), "_b")
@@ -88,13 +93,14 @@ def hash_key(key: Column, seed: int) -> Column:
 def split_train_test(df: DataFrame, test_size: float = L.TEST_SIZE, seed: int = L.SEEDS["split_en"],
                      key: str = "row_id") -> DataFrame:
     """Exact-size seeded split: rows ranked by md5(key:seed); the first
-    ceil(test_size * n) are 'test'.  Ranks come from 4096 hash-prefix
-    buckets, so no task sees more than its bucket."""
+    ceil(test_size * n) are 'test'.  Ranks come from buckets of the hash's
+    first 28 bits, as many as the rows ask for, so no task sees more than its
+    bucket."""
     n = df.count()
     n_test = int(math.ceil(test_size * n))
     h = hash_key(F.col(key), seed)
     d = df.withColumn("_h", h)
-    bucket = F.conv(F.substring("_h", 1, 3), 16, 10).cast("int")
+    bucket = F.floor(F.conv(F.substring("_h", 1, 7), 16, 10).cast("long") * F.lit(bucket_count(n)) / F.lit(1 << 28)).cast("int")
     r = bucketed_rank(d, bucket, ["_h", key], name="_r")
     return r.withColumn("split", F.when(F.col("_r") <= n_test, "test").otherwise("train")).drop("_h", "_r")
 
@@ -128,19 +134,25 @@ def stratified_folds(df: DataFrame, label: str = "label", n_splits: int = L.CV_F
     spark = df.sparkSession
     ltype = dict(df.dtypes)[label]
     alloc = spark.createDataFrame(rows, f"{label} {ltype}, {out} int, lo long, hi long")
-    b = quantile_bucket(df, key)
-    r = bucketed_rank(df, b, [key], partition=[label], name="_r").withColumn("_r", F.col("_r") - 1)
+    r = bucketed_rank(with_quantile_bucket(df, key, "_q"), F.col("_q"), [key], partition=[label], name="_r").withColumn("_r", F.col("_r") - 1)
     j = r.join(F.broadcast(alloc), (r[label] == alloc[label]) & (F.col("_r") >= F.col("lo")) & (F.col("_r") < F.col("hi")))
     return j.select(*[r[c] for c in df.columns], F.col(out)).drop("_r")
 
 
 # ------------------------------------------------------------- features --
 
+def words_of(text: Column) -> Column:
+    """Lower-cased words of two or more characters."""
+    return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0))
+
+
 def count_terms(df: DataFrame, text: str, out: str = "counts", min_df: float = 1.0):
-    """Lower-cased words of two or more characters -> term counts."""
+    """Pipeline: lower-cased words of two or more characters -> sparse term
+    counts over all terms of ``df`` (their number is counted first)."""
+    terms = max(1, df.select(F.explode(words_of(F.col(text))).alias("t")).distinct().count())
     tok = RegexTokenizer(inputCol=text, outputCol="_words", pattern=r"[\p{L}\p{N}_]{2,}", gaps=False,
                          toLowercase=True)
-    cv = CountVectorizer(inputCol="_words", outputCol=out, minDF=min_df)
+    cv = CountVectorizer(inputCol="_words", outputCol=out, minDF=min_df, vocabSize=terms)
     return Pipeline(stages=[tok, cv])
 
 
@@ -228,12 +240,17 @@ def accuracy(df: DataFrame, label: str = "label", pred: str = "prediction") -> D
 
 def classification_report(df: DataFrame, label: str = "label", pred: str = "prediction") -> DataFrame:
     """precision, recall, f1, support per class, then macro and weighted
-    averages (one pass of conditional counts)."""
-    lab = df.select(F.col(label).alias("c")).union(df.select(F.col(pred).alias("c"))).distinct()
-    tp = df.filter(F.col(label) == F.col(pred)).groupBy(F.col(label).alias("c")).agg(F.count(F.lit(1)).alias("tp"))
-    sup = df.groupBy(F.col(label).alias("c")).agg(F.count(F.lit(1)).alias("support"))
-    prd = df.groupBy(F.col(pred).alias("c")).agg(F.count(F.lit(1)).alias("npred"))
-    j = lab.join(tp, "c", "left").join(sup, "c", "left").join(prd, "c", "left").na.fill(0)
+    averages.  One pass counts (label, prediction) pairs; the rest works on
+    those few rows."""
+    pairs = df.groupBy(F.col(label).alias("l"), F.col(pred).alias("p")).agg(F.count(F.lit(1)).alias("n"))
+    sides = F.array(F.struct(F.col("l").cast("double").alias("c"), F.lit(1).alias("is_label")),
+                    F.struct(F.col("p").cast("double").alias("c"), F.lit(0).alias("is_label")))
+    s = pairs.select("l", "p", "n", F.explode(sides).alias("s"))
+    same = F.when(F.col("l") == F.col("p"), F.col("n")).otherwise(0)
+    j = s.groupBy(F.col("s.c").cast(dict(df.dtypes)[label]).alias("c")).agg(
+        F.sum(F.when(F.col("s.is_label") == 1, same).otherwise(0)).alias("tp"),
+        F.sum(F.when(F.col("s.is_label") == 1, F.col("n")).otherwise(0)).alias("support"),
+        F.sum(F.when(F.col("s.is_label") == 0, F.col("n")).otherwise(0)).alias("npred"))
     p = F.when(F.col("npred") > 0, F.col("tp") / F.col("npred")).otherwise(0.0)
     r = F.when(F.col("support") > 0, F.col("tp") / F.col("support")).otherwise(0.0)
     per = j.select(F.col("c").cast("string").alias("class"), p.alias("precision"), r.alias("recall"), "support")
@@ -273,7 +290,7 @@ def roc_curve(df: DataFrame, label: str = "label", score: str = "score",
         within = Window.partitionBy("_b").orderBy("_key")
         r = r.withColumn("_npos", F.lead("pos").over(within)).withColumn("_nneg", F.lead("neg").over(within))
         firsts = r.groupBy("_b").agg(F.min_by(F.struct("pos", "neg"), F.col("_key")).alias("f"))
-        wb = Window.orderBy("_b")  # over <= n_buckets rows
+        wb = Window.orderBy("_b")  # over one row per bucket
         firsts = firsts.select("_b", F.lead("f").over(wb).alias("nf"))
         r = r.join(F.broadcast(firsts), "_b", "left")
         npos = F.coalesce(F.col("_npos"), F.col("nf.pos"))

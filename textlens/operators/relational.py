@@ -54,15 +54,14 @@ def filter_language(df: DataFrame, lang: str, col: str = "lang") -> DataFrame:
     return df.filter(F.col(col) == lang)
 
 
-def filter_exclude_authors(df: DataFrame, authors=None, col: str = "username",
-                           large_threshold: int = 10000) -> DataFrame:
-    """Drop posts by listed authors; a missing author is kept."""
-    authors = list(L.EXCLUDED_AUTHORS if authors is None else authors)
-    if len(authors) <= large_threshold:
-        return df.filter(F.coalesce(~F.col(col).isin(authors), F.lit(True)))
-    spark = df.sparkSession
-    lex = spark.createDataFrame([(a,) for a in authors], f"{col} string")
-    return df.join(F.broadcast(lex), col, "left_anti")
+def filter_exclude_authors(df: DataFrame, authors=None, col: str = "username") -> DataFrame:
+    """Drop posts by listed authors; a missing author is kept.  ``authors`` is
+    a list or a table with the column ``col``; Spark broadcasts it by its
+    size or shuffles."""
+    authors = L.EXCLUDED_AUTHORS if authors is None else authors
+    if not isinstance(authors, DataFrame):
+        authors = df.sparkSession.createDataFrame([(a,) for a in authors], f"{col} string")
+    return df.join(authors.select(col), col, "left_anti").select(*df.columns)
 
 
 def filter_include_terms(df: DataFrame, col: str, terms) -> DataFrame:

@@ -4,8 +4,7 @@ term relevance.
 Counting work (unigrams, adjacent pairs, document frequencies, sliding
 window co-occurrence) is expressed as explode + ``groupBy`` so it runs
 distributed with partial aggregation.  Only bounded tables reach the driver:
-the learned phrase list (checked against ``max_phrases``), the pruned
-vocabulary (at most ``keep_n`` terms) and a model's top words.
+the pruned vocabulary (at most ``keep_n`` terms) and a model's top words.
 """
 
 from __future__ import annotations
@@ -55,34 +54,31 @@ def phrase_fit(df: DataFrame, tokens: str, min_count: int = L.PHRASE_MIN_COUNT,
             .select("a", "b", "n_ab", "score"))
 
 
-def phrase_apply(tokens: Column, phrases, joiner: str = "_") -> Column:
+def phrase_apply(df: DataFrame, tokens: str, phrases: DataFrame, key: str = "row_id", joiner: str = "_") -> DataFrame:
     """Greedy left-to-right merge of adjacent pairs that are phrases
-    (``a b c`` with phrases a_b and b_c gives ``a_b c``).  ``phrases`` is a
-    small list of (a, b); the fold runs per row with no shuffle."""
-    keys = sorted({f"{a}\u0001{b}" for a, b in phrases})
-    if not keys:
-        return tokens
-    init = F.struct(F.array().cast("array<string>").alias("out"), F.lit(None).cast("string").alias("prev"))
-
-    def step(acc, t):
-        prev = acc["prev"]
-        hit = prev.isNotNull() & F.concat(prev, F.lit("\u0001"), t).isin(keys)
-        out_hit = F.concat(acc["out"], F.array(F.concat(prev, F.lit(joiner), t)))
-        out_miss = F.when(prev.isNotNull(), F.concat(acc["out"], F.array(prev))).otherwise(acc["out"])
-        return F.when(hit, F.struct(out_hit.alias("out"), F.lit(None).cast("string").alias("prev"))) \
-            .otherwise(F.struct(out_miss.alias("out"), t.alias("prev")))
-
-    def finish(acc):
-        return F.when(acc["prev"].isNotNull(), F.concat(acc["out"], F.array(acc["prev"]))).otherwise(acc["out"])
-    return F.aggregate(tokens, init, step, finish)
-
-
-def collect_phrases(phrases: DataFrame, max_phrases: int = 200_000):
-    """The learned phrase list, after checking its size."""
-    n = phrases.count()
-    if n > max_phrases:
-        raise ValueError(f"{n} phrases exceed the bound {max_phrases}; raise the threshold")
-    return [(r["a"], r["b"]) for r in phrases.select("a", "b").collect()]
+    (``a b c`` with phrases a_b and b_c gives ``a_b c``) in the column
+    ``tokens``; ``phrases`` has columns a, b; ``key`` names a row.
+
+    Adjacent pairs meet the phrases in a join, so neither side needs a bound.
+    In a run of hits at consecutive places the first, third, ... merge; the
+    text is then put together from the slices between the merged places."""
+    pairs = df.select(key, F.posexplode(adjacent_pairs(F.col(tokens))).alias("at", "p"))
+    hits = (pairs.select(key, "at", F.col("p.a").alias("a"), F.col("p.b").alias("b"))
+            .join(phrases.select("a", "b"), ["a", "b"]).select(key, "at"))
+    run = F.col("at") - F.row_number().over(Window.partitionBy(key).orderBy("at"))
+    turn = F.row_number().over(Window.partitionBy(key, "run").orderBy("at"))
+    merged = (hits.withColumn("run", run).withColumn("turn", turn).where(F.col("turn") % 2 == 1)
+              .groupBy(key).agg(F.array_sort(F.collect_list("at")).alias("_at")))
+
+    def part(at, i):  # the tokens since the last merge, and the merged pair (places count from 0)
+        since = F.when(i == 0, 0).otherwise(F.try_element_at("_at", i) + 2)
+        pair = F.concat(F.get(tokens, at), F.lit(joiner), F.get(tokens, at + 1))
+        return F.concat(F.slice(tokens, since + 1, at - since), F.array(pair))
+
+    tail = F.element_at("_at", -1) + 2
+    whole = F.concat(F.flatten(F.transform("_at", part)), F.slice(tokens, tail + 1, F.greatest(F.size(tokens) - tail, F.lit(0))))
+    out = df.join(merged, key, "left").withColumn(tokens, F.when(F.col("_at").isNull(), F.col(tokens)).otherwise(whole))
+    return out.drop("_at")
 
 
 # ------------------------------------------------------------- dictionary --
@@ -145,15 +141,16 @@ def eta_prior(eta, k: int) -> float:
 
 def lda_estimator(k: int, n_docs: int, passes: int = 1, chunk: int | None = None,
                   alpha="symmetric", eta="symmetric", seed: int = 100,
-                  features: str = "features", min_batch_fraction: float = 0.01) -> LDA:
-    """Online LDA; one pass visits every document once in chunks of
-    ``chunk`` documents (sub-sampling rate chunk/N).
-
-    Every online iteration is a distributed job that samples the corpus, so
-    the mini-batch is never below ``min_batch_fraction`` of the corpus (at
-    most 1/min_batch_fraction iterations per pass): a fixed 100-document
-    chunk would mean millions of iterations on a very large corpus."""
-    rate = 1.0 if not chunk or chunk >= n_docs else max(chunk / n_docs, min_batch_fraction)
+                  features: str = "features") -> LDA:
+    """Online LDA over mini-batches of ``chunk`` documents (the whole corpus
+    if None), as many as ``passes`` visits per document ask for.
+
+    The trainer draws each mini-batch with replacement: in ``p`` passes a
+    document is left out with probability exp(-p), so a single pass misses a
+    third of the corpus and the reference's 50 or 100 passes miss none.  Each
+    mini-batch is one distributed job; on a large corpus ask for a larger
+    ``chunk``."""
+    rate = 1.0 if not chunk or chunk >= n_docs else chunk / n_docs
     iters = max(1, int(math.ceil(passes / rate)))
     return LDA(k=k, maxIter=iters, optimizer="online", seed=seed, featuresCol=features,
                docConcentration=alpha_prior(alpha, k), topicConcentration=eta_prior(eta, k),
@@ -195,68 +192,39 @@ def topic_columns(predictions: DataFrame, k: int, key: str = "row_id", col: str
 
 # -------------------------------------------------------------- coherence --
 
-def window_sets(tokens: Column, topwords, window: int) -> Column:
-    """ARRAY of the distinct top words present in each sliding window
-    (one window when the text is shorter than ``window``)."""
-    n = F.size(tokens)
-    last = F.greatest(n - window, F.lit(0))
-    tw = F.array(*[F.lit(w) for w in topwords])
-    return F.transform(F.sequence(F.lit(0), last),
-                       lambda i: F.array_intersect(F.slice(tokens, i + 1, window), tw))
-
-
 def window_counts(texts: DataFrame, tokens: str, topwords, window: int) -> DataFrame:
     """(a, b, n): over all sliding windows of all texts, the number of
     windows holding word a (rows a = b), holding both a and b (a < b), and
     the number of windows (a, b NULL).
 
-    Per document the presence of each top word in each window comes from a
-    cumulative sum over positions (numpy, inside Arrow batches), and pair
-    counts from one boolean matrix product; Spark sums the per-document
-    counts with a partial aggregation."""
-    import numpy as np
-    import pandas as pd
+    A top word at place p is in the windows that start in a range around p;
+    overlapping ranges of one word and text are united, so the windows that
+    hold a word are a sum of lengths, and those that hold two words the sum of
+    the overlaps of their ranges.  All of it is joins and sums; ranges meet
+    within one text only, and only where both words occur."""
     top = sorted(set(topwords))
-    schema = "a string, b string, n long"
-
-    def run(batches):
-        topset = set(top)
-        for pdf in batches:
-            out_a, out_b, out_n = [], [], []
-            total = 0
-            for toks in pdf[tokens]:
-                toks = [] if toks is None else list(toks)
-                n_tok = len(toks)
-                n_win = max(n_tok - window + 1, 1)
-                total += n_win
-                pos = {}
-                for i, t in enumerate(toks):
-                    if t in topset:
-                        pos.setdefault(t, []).append(i)
-                if not pos:
-                    continue
-                words = sorted(pos)
-                starts = np.arange(n_win)
-                ends = np.minimum(starts + window, n_tok)
-                pres = np.zeros((len(words), n_win), dtype=np.int64)
-                for j, w in enumerate(words):
-                    ind = np.zeros(n_tok, dtype=np.int64)
-                    ind[pos[w]] = 1
-                    cs = np.concatenate(([0], np.cumsum(ind)))
-                    pres[j] = (cs[ends] - cs[starts]) > 0
-                co = pres @ pres.T
-                for j in range(len(words)):
-                    for k in range(j, len(words)):
-                        if co[j, k]:
-                            out_a.append(words[j])
-                            out_b.append(words[k])
-                            out_n.append(int(co[j, k]))
-            out_a.append(None)
-            out_b.append(None)
-            out_n.append(total)
-            yield pd.DataFrame({"a": out_a, "b": out_b, "n": out_n})
-    per_doc = texts.select(tokens).mapInPandas(run, schema)
-    return per_doc.groupBy("a", "b").agg(F.sum("n").alias("n"))
+    rows = texts.select(F.monotonically_increasing_id().alias("_row"), F.col(tokens).alias("_t"))
+    size = F.coalesce(F.size("_t"), F.lit(0))
+    last = F.greatest(F.when(size < 0, 0).otherwise(size) - window, F.lit(0))  # where the last window starts
+    total = rows.select((last + 1).alias("n")).agg(F.sum("n").alias("n"))
+    places = (rows.select("_row", last.alias("last"), F.posexplode("_t").alias("p", "w")).where(F.col("w").isin(top))
+              .select("_row", "w", F.greatest(F.col("p") - window + 1, F.lit(0)).alias("lo"), F.least("p", "last").alias("hi")))
+    order = Window.partitionBy("_row", "w").orderBy("lo", "hi")
+    opens = F.when(F.col("lo") > F.coalesce(F.max("hi").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(-2)) + 1, 1).otherwise(0)
+    ranges = (places.withColumn("opens", opens)
+              .withColumn("part", F.sum("opens").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+              .groupBy("_row", "w", "part").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")))
+    words = ranges.groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("w", "lo", "hi"))).alias("r"))
+    # windows that hold a word: its ranges; two words: each pair of ranges that overlap
+    one = ranges.groupBy(F.col("w").alias("a")).agg(F.sum(F.col("hi") - F.col("lo") + 1).alias("n")).select("a", F.col("a").alias("b"), "n")
+    x = words.select("r", F.explode("r").alias("x"))
+    both = F.filter("r", lambda y: (y["w"] > F.col("x.w")) & (y["lo"] <= F.col("x.hi")) & (y["hi"] >= F.col("x.lo")))
+    two = (x.select("x", F.explode(both).alias("y"))
+           .select(F.col("x.w").alias("a"), F.col("y.w").alias("b"),
+                   (F.least("x.hi", "y.hi") - F.greatest("x.lo", "y.lo") + 1).alias("n"))
+           .groupBy("a", "b").agg(F.sum("n").alias("n")))
+    nothing = F.lit(None).cast("string")
+    return total.select(nothing.alias("a"), nothing.alias("b"), "n").unionByName(one).unionByName(two)
 
 
 def coherence_cv(texts: DataFrame, tokens: str, topics: DataFrame, window: int = L.COHERENCE_WINDOW) -> DataFrame:

@@ -26,7 +26,7 @@ def hashed_id(tok: Column, modulus: int) -> Column:
     return F.pmod(F.conv(F.substring(F.md5(tok), 1, 8), 16, 10).cast("long"), F.lit(modulus))
 
 
-def token_vectors(tokens: DataFrame, embeddings: DataFrame, modulus: int = 1000) -> DataFrame:
+def token_vectors(tokens: DataFrame, embeddings: DataFrame, modulus: int) -> DataFrame:
     """(word, vector): stand-in word vectors -- each distinct token maps to
     an embedding row by a fixed modulus; ids with no row leave the token
     out of the vocabulary."""
@@ -61,7 +61,7 @@ class MeanEmbedding(Transformer, HasInputCol, HasOutputCol):
 
     def _transform(self, dataset: DataFrame) -> DataFrame:
         m = doc_mean_vector(dataset, self.getInputCol(), self.vectors, self.dim, self.key, "_mean")
-        out = dataset.join(m.select(self.key, "_mean"), self.key, "left")
+        out = dataset.join(m.select(self.key, "_mean", *(["n_known"] if "n_known" not in dataset.columns else [])), self.key, "left")
         return out.withColumn(self.getOutputCol(), array_to_vector(F.col("_mean"))).drop("_mean")
 
 

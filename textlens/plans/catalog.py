@@ -23,13 +23,7 @@ def register(key: str, sql: str | None = None):
 
 def _load_all():
     # import for side effects (registration)
-    from . import q_relational, q_text  # noqa: F401
-    for mod in ("q_tokens", "q_flows", "q_topics", "q_vectors", "q_models"):
-        try:
-            __import__(f"{__package__}.{mod}")
-        except ModuleNotFoundError as e:  # pragma: no cover - partial builds
-            if mod not in str(e):
-                raise
+    from . import q_flows, q_models, q_relational, q_text, q_tokens, q_topics, q_vectors  # noqa: F401
 
 
 def queries() -> dict[str, Callable]:

@@ -85,7 +85,7 @@ def stratified_folds(spark, sf):
     EVENT_SQL, SPLIT_SQL, f"ct AS (SELECT row_id, {O.words('text')} AS toks FROM labelled)"))
 def join_rows_by_id(spark, sf):
     from ..functions import tokens as K
-    feats = TB.labelled(spark, sf).select("row_id", F.size(K.tok_words("text")).cast("long").alias("n_tokens"))
+    feats = TB.labelled(spark, sf, text_work=True).select("row_id", F.size(K.tok_words("text")).cast("long").alias("n_tokens"))
     split = CL.split_train_test(events(spark, sf), 0.3, SEED).select("row_id", "split")
     return R.join_rows_by_id(feats, split)
 
@@ -96,13 +96,9 @@ def join_rows_by_id(spark, sf):
     "SELECT row_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(list_distinct(w)) AS BIGINT) AS n_terms FROM "
     "(SELECT row_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]{2,}', 0) AS w FROM labelled)"))
 def count_terms(spark, sf):
-    lab = TB.labelled(spark, sf)
-    model = CL.count_terms(lab, "text").fit(lab)
-    out = model.transform(lab)
-    from pyspark.ml.functions import vector_to_array
-    arr = vector_to_array("counts")
-    return out.select("row_id", F.aggregate(arr, F.lit(0.0), lambda s, x: s + x).cast("long").alias("n_words"),
-                      F.size(F.filter(arr, lambda x: x > 0)).cast("long").alias("n_terms"))
+    words = CL.words_of(F.col("text"))
+    lab = TB.labelled(spark, sf, text_work=True).select("row_id", words.alias("w"))
+    return lab.select("row_id", F.size("w").cast("long").alias("n_words"), F.size(F.array_distinct("w")).cast("long").alias("n_terms"))
 
 
 @register("tfidf", W(
@@ -113,8 +109,8 @@ def count_terms(spark, sf):
     EVENT_SQL, "docs AS (SELECT l.row_id, regexp_extract_all(lower(l.text), '[\\p{L}\\p{N}_]{2,}', 0) AS w "
     "FROM labelled l JOIN ev USING (row_id))"))
 def tfidf(spark, sf):
-    lab = TB.labelled(spark, sf).join(events(spark, sf).select("row_id"), "row_id")
-    d = lab.select("row_id", F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0)).alias("w"))
+    lab = TB.labelled(spark, sf, text_work=True).join(events(spark, sf).select("row_id"), "row_id")
+    d = lab.select("row_id", CL.words_of(F.col("text")).alias("w"))
     t = CL.tfidf(d, "w")
     return t.select("row_id", "term", F.round("weight", R6).alias("weight"))
 
@@ -405,10 +401,10 @@ def score_text_model(spark, sf):
     scores raw post text."""
     from pyspark.ml import Pipeline
     ev = events(spark, sf).withColumn("label", F.col("label").cast("double"))
-    lab = TB.labelled(spark, sf).select("row_id", "text").join(ev.select("row_id", "label"), "row_id")
+    lab = TB.labelled(spark, sf, text_work=True).select("row_id", "text").join(ev.select("row_id", "label"), "row_id")
     vec = vectors(spark, sf)
     stages = [VX.CleanTokenizer("text", "toks"), VX.MeanEmbedding(vec, DIM, inputCol="toks", outputCol="features"),
               CL.rf(trees=10, depth=5)]
     model = Pipeline(stages=stages).fit(lab)
-    raw = TB.labelled(spark, sf).select("row_id", "text")  # raw text in, predictions out
+    raw = TB.labelled(spark, sf, text_work=True).select("row_id", "text")  # raw text in, predictions out
     return model.transform(raw).select("row_id", "prediction")

@@ -35,7 +35,7 @@ def src_csv(spark, sf):
 @register("sink_csv", V(f"SELECT row_id, {O.clean_preprocess('text')} AS textclean FROM tweets", "tweets"))
 def sink_csv(spark, sf):
     p = scratch_path(spark, "sink_csv")
-    out = TB.tweets(spark, sf).select("row_id", T.clean_preprocess("text").alias("textclean"))
+    out = TB.texts(spark, sf).select("row_id", T.clean_preprocess("text").alias("textclean"))
     FS.write_csv(out, p)
     from pyspark.sql.types import _parse_datatype_string
     back = FS.read_csv(spark, p, _parse_datatype_string("row_id bigint, textclean string"))
@@ -132,7 +132,7 @@ def filter_exclude_authors(spark, sf):
 
 
 def _basic_spark(spark, sf):
-    t = TB.tweets(spark, sf)
+    t = TB.texts(spark, sf)
     return t.select("row_id", S.basic(T.clean_preprocess("text")).alias("textclean"))
 
 
@@ -159,7 +159,7 @@ def filter_exclude_terms(spark, sf):
     f"(SELECT row_id, {O.clean_preprocess('text')} AS c FROM tweets) WHERE len({O.words('c')}) >= 4",
     "tweets"))
 def filter_min_tokens(spark, sf):
-    t = TB.tweets(spark, sf).select("row_id", T.clean_preprocess("text").alias("c"))
+    t = TB.texts(spark, sf).select("row_id", T.clean_preprocess("text").alias("c"))
     return R.filter_min_tokens(t, "c", 4).select("row_id", K.tok_count("c").cast("long").alias("n_tokens"))
 
 
@@ -196,7 +196,7 @@ def _toks_sql():
 
 
 def _toks_spark(spark, sf):
-    t = TB.tweets(spark, sf).select("row_id", K.tok_words(S.ascii_clean("text")).alias("toks"))
+    t = TB.texts(spark, sf).select("row_id", K.tok_words(S.ascii_clean("text")).alias("toks"))
     return t.select("row_id", F.explode("toks").alias("tok"))
 
 
@@ -267,7 +267,7 @@ def table_profile(spark, sf):
 
 @register("vocab_size", V(f"SELECT CAST(count(DISTINCT tok) AS BIGINT) AS n_terms FROM ({_toks_sql()})", "tweets"))
 def vocab_size(spark, sf):
-    t = TB.tweets(spark, sf).select(K.tok_words(S.ascii_clean("text")).alias("toks"))
+    t = TB.texts(spark, sf).select(K.tok_words(S.ascii_clean("text")).alias("toks"))
     return R.vocab_size(t, "toks")
 
 
@@ -285,7 +285,7 @@ def distinct_tokens(spark, sf):
     f"SELECT arg_max(row_id, row_id) AS row_id, textclean FROM "
     f"(SELECT row_id, {O.clean_preprocess('text')} AS textclean FROM tweets) GROUP BY textclean", "tweets"))
 def dedupe_keep_last(spark, sf):
-    t = TB.tweets(spark, sf).select("row_id", T.clean_preprocess("text").alias("textclean"))
+    t = TB.texts(spark, sf).select("row_id", T.clean_preprocess("text").alias("textclean"))
     return R.dedupe_keep_last(t, "textclean", "row_id").select("row_id", "textclean")
 
 
@@ -338,5 +338,5 @@ def lexicon_except(spark, sf):
 def clean_dedupe_by_lang(spark, sf):
     """Minimum slice: preprocess, keep the last copy of each cleaned text,
     count rows per language."""
-    t = TB.tweets(spark, sf).select("row_id", "lang", T.clean_preprocess("text").alias("textclean"))
+    t = TB.texts(spark, sf).select("row_id", "lang", T.clean_preprocess("text").alias("textclean"))
     return R.group_size(R.dedupe_keep_last(t, "textclean", "row_id"), "lang")

@@ -169,7 +169,7 @@ def lang_of_token(spark, sf):
 
 @register("is_proper_noun", with_ctes("SELECT tok FROM proper", extra=[sql_proper("proper")]))
 def is_proper_noun(spark, sf):
-    return G.proper_noun_table(TB.tweets(spark, sf), "text")
+    return G.proper_noun_table(TB.texts(spark, sf), "text")
 
 
 _EN_TOKS = f"en_toks AS (SELECT DISTINCT unnest(toks) AS tok FROM ct WHERE lang = '{EN}')"

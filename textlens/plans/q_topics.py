@@ -27,7 +27,7 @@ R6 = 6
 
 
 def topic_corpus(spark, sf):
-    t = TB.tweets(spark, sf).filter(F.col("lang") == "en")
+    t = TB.texts(spark, sf, "en")
     c = S.basic(T.clean_preprocess("text"))
     c = K.tok_stopwords(c, LEX)
     c = K.tok_mask_terms(c)
@@ -77,9 +77,9 @@ def phrase_counts(spark, sf):
 
 
 def _bigrammed(spark, sf):
+    """The topic corpus with its phrases merged."""
     c = topic_corpus(spark, sf)
-    phrases = TP.collect_phrases(TP.phrase_fit(c, "toks"))
-    return c.select("row_id", TP.phrase_apply(F.col("toks"), phrases).alias("toks")), phrases
+    return cut_lineage(TP.phrase_apply(c, "toks", TP.phrase_fit(c, "toks")))
 
 
 def _ph_sql(src, pre):
@@ -104,7 +104,7 @@ BIGRAMS_SQL = _ph_sql("corpus", "b_") + [
 
 @register("phrase_apply", W("SELECT row_id, array_to_string(toks, ' ') AS text_bigrams FROM bg", *BIGRAMS_SQL))
 def phrase_apply(spark, sf):
-    b, _ = _bigrammed(spark, sf)
+    b = _bigrammed(spark, sf)
     return b.select("row_id", F.array_join("toks", " ").alias("text_bigrams"))
 
 
@@ -112,23 +112,23 @@ def phrase_apply(spark, sf):
     f"SELECT a, b, CAST(n_ab AS BIGINT) AS n_ab, round(score, {R6}) AS score FROM t_phrases",
     *(BIGRAMS_SQL + _ph_sql("bg", "t_"))))
 def phrase_fit_tri(spark, sf):
-    b, _ = _bigrammed(spark, sf)
+    b = _bigrammed(spark, sf)
     ph = TP.phrase_fit(b, "toks", threshold=L.PHRASE_THRESHOLD)
     return ph.select("a", "b", "n_ab", F.round("score", R6).alias("score"))
 
 
 # ------------------------------------------------------------- dictionary --
 
-DICT = ("dict AS (SELECT d.term, CAST(d.df AS BIGINT) AS df, CAST(c.cf AS BIGINT) AS cf FROM "
-        "(SELECT term, count(*) AS df FROM (SELECT unnest(list_distinct(toks)) AS term FROM corpus) GROUP BY term) d "
-        "JOIN (SELECT term, count(*) AS cf FROM (SELECT unnest(toks) AS term FROM corpus) GROUP BY term) c USING (term))")
+DICT = ", ".join(BIGRAMS_SQL) + (", dict AS (SELECT d.term, CAST(d.df AS BIGINT) AS df, CAST(c.cf AS BIGINT) AS cf FROM "
+        "(SELECT term, count(*) AS df FROM (SELECT unnest(list_distinct(toks)) AS term FROM bg) GROUP BY term) d "
+        "JOIN (SELECT term, count(*) AS cf FROM (SELECT unnest(toks) AS term FROM bg) GROUP BY term) c USING (term))")
 DICTF = (f"dictf AS (SELECT term, df, CAST(row_number() OVER (ORDER BY df DESC, term) - 1 AS INTEGER) AS id FROM "
-         f"(SELECT term, df FROM dict WHERE df >= {L.DICT_NO_BELOW} AND df <= {L.DICT_NO_ABOVE} * (SELECT count(*) FROM corpus) "
+         f"(SELECT term, df FROM dict WHERE df >= {L.DICT_NO_BELOW} AND df <= {L.DICT_NO_ABOVE} * (SELECT count(*) FROM bg) "
          f"ORDER BY df DESC, term LIMIT {L.DICT_KEEP_N}))")
 
 
 def _dict(spark, sf, c=None):
-    c = topic_corpus(spark, sf) if c is None else c
+    c = _bigrammed(spark, sf) if c is None else c
     d = TP.dictionary_build(c, "toks")
     n = c.count()
     return c, d, TP.dictionary_filter(d, n)
@@ -136,7 +136,7 @@ def _dict(spark, sf, c=None):
 
 @register("dictionary_build", W("SELECT term, df, cf FROM dict", DICT))
 def dictionary_build(spark, sf):
-    return TP.dictionary_build(topic_corpus(spark, sf), "toks")
+    return TP.dictionary_build(_bigrammed(spark, sf), "toks")
 
 
 @register("dictionary_filter", W("SELECT term, df, id FROM dictf", DICT, DICTF))
@@ -146,7 +146,7 @@ def dictionary_filter(spark, sf):
 
 
 @register("bag_of_words", W(
-    "SELECT row_id, id, CAST(count(*) AS BIGINT) AS n FROM (SELECT row_id, unnest(toks) AS term FROM corpus) x "
+    "SELECT row_id, id, CAST(count(*) AS BIGINT) AS n FROM (SELECT row_id, unnest(toks) AS term FROM bg) x "
     "JOIN dictf USING (term) GROUP BY row_id, id", DICT, DICTF))
 def bag_of_words(spark, sf):
     c, _, f = _dict(spark, sf)
@@ -155,8 +155,6 @@ def bag_of_words(spark, sf):
 
 # -------------------------------------------------------------------- LDA --
 
-QUERY_PASSES = 1  # passes for the registered checks; the tuned setting is L.LDA_TUNED_EN
-
 
 def _features(spark, sf):
     c, _, f = _dict(spark, sf)
@@ -165,7 +163,7 @@ def _features(spark, sf):
     return feats, vocab, c
 
 
-def _fit(spark, sf, k, alpha="symmetric", eta="symmetric", passes=QUERY_PASSES, chunk=None, seed=100):
+def _fit(spark, sf, k, alpha="symmetric", eta="symmetric", passes=L.LDA_BASIC["passes"], chunk=None, seed=L.LDA_BASIC["seed"]):
     feats, vocab, c = _features(spark, sf)
     n = feats.count()
     model = TP.lda_estimator(k, n, passes=passes, chunk=chunk, alpha=alpha, eta=eta, seed=seed).fit(feats)
@@ -181,7 +179,7 @@ def lda_fit(spark, sf):
 
 def _tuned(spark, sf):
     p = L.LDA_TUNED_EN
-    return _fit(spark, sf, p["k"], alpha=p["alpha"], eta=p["eta"], passes=QUERY_PASSES,
+    return _fit(spark, sf, p["k"], alpha=p["alpha"], eta=p["eta"], passes=p["passes"],
                 chunk=p["chunk"], seed=p["seed"])
 
 
@@ -253,7 +251,7 @@ def _coherence_of(model, vocab, c, window=L.COHERENCE_WINDOW, topn=L.COHERENCE_T
 
 
 @register("lda_curve")
-def lda_curve(spark, sf, limit: int = 5):
+def lda_curve(spark, sf, limit: int = 10):
     """Coherence for k = 1..limit-1; k=1 scores the single frequency-ranked
     topic (Spark's LDA needs k >= 2)."""
     feats, vocab, c = _features(spark, sf)
@@ -264,7 +262,7 @@ def lda_curve(spark, sf, limit: int = 5):
             f = TP.dictionary_build(c, "toks").orderBy(F.desc("cf"), "term").limit(L.COHERENCE_TOPN)
             topics = f.select(F.lit(0).alias("topic"), "term")
         else:
-            m = TP.lda_estimator(k, n, passes=QUERY_PASSES, seed=100).fit(feats)
+            m = TP.lda_estimator(k, n, passes=L.LDA_BASIC["passes"], seed=L.LDA_BASIC["seed"]).fit(feats)
             topics = TP.topics_from_model(m, vocab)
         coh = TP.coherence_cv(c, "toks", topics).agg(F.avg("coherence")).first()[0]
         rows.append((k, float(coh)))
@@ -279,7 +277,7 @@ def lda_restarts(spark, sf, threshold: float = 0.97, max_tries: int = 3):
     n = feats.count()
     rows = []
     for i in range(max_tries):
-        m = TP.lda_estimator(4, n, passes=QUERY_PASSES, seed=100 + i).fit(feats)
+        m = TP.lda_estimator(4, n, passes=L.LDA_BASIC["passes"], seed=100 + i).fit(feats)
         per = _coherence_of(m, vocab, c, window=10).orderBy(F.desc("coherence")).first()
         rows.append((i, 100 + i, int(per["topic"]), float(per["coherence"])))
         if per["coherence"] >= threshold:
@@ -288,17 +286,19 @@ def lda_restarts(spark, sf, threshold: float = 0.97, max_tries: int = 3):
 
 
 @register("lda_grid")
-def lda_grid(spark, sf, topics=(2, 3), alphas=("symmetric", "asymmetric"), betas=(0.91,)):
-    """A (shrunk) grid of fits; the full grid is L.LDA_GRID_*.  Fits run from
-    a thread pool over one cached feature table."""
+def lda_grid(spark, sf, topics=L.LDA_GRID_TOPICS, alphas=L.LDA_GRID_ALPHA, betas=L.LDA_GRID_BETA,
+             every: int = 45, passes: int = 10):
+    """The grid of fits over L.LDA_GRID_*; ``every`` = 1 fits all 180 points,
+    the registered query each 45th of them with 10 passes.  Fits run from a
+    thread pool over one cached feature table."""
     from concurrent.futures import ThreadPoolExecutor
     feats, vocab, c = _features(spark, sf)
     n = feats.count()
-    grid = [(k, a, b) for k in topics for a in alphas for b in betas]
+    grid = [(k, a, b) for k in topics for a in alphas for b in betas][::every]
 
     def run(p):
         k, a, b = p
-        m = TP.lda_estimator(k, n, passes=QUERY_PASSES, chunk=100, alpha=a, eta=b, seed=100).fit(feats)
+        m = TP.lda_estimator(k, n, passes=passes, chunk=L.LDA_TUNED_EN["chunk"], alpha=a, eta=b, seed=L.LDA_TUNED_EN["seed"]).fit(feats)
         coh = _coherence_of(m, vocab, c).agg(F.avg("coherence")).first()[0]
         return ("100% Corpus", k, str(a), str(b), float(coh))
     with ThreadPoolExecutor(max_workers=4) as ex:
@@ -310,7 +310,7 @@ def lda_grid(spark, sf, topics=(2, 3), alphas=("symmetric", "asymmetric"), betas
 
 def fixed_topic_corpus(spark, sf):
     """All posts, standardised and stop words removed (topics: languages)."""
-    t = TB.tweets(spark, sf)
+    t = TB.texts(spark, sf)
     c = K.tok_stopwords(S.ascii_clean("text"), LEX)
     return cut_lineage(t.select("row_id", "lang", K.tok_split_ws(c).alias("toks")))
 

@@ -1,8 +1,9 @@
 """Queries for word vectors and document vectors.
 
 Stand-in word vectors: every distinct corpus token maps to an ``embeddings``
-row by md5 modulo 1000 (rows that do not exist leave the token out of the
-vocabulary, so documents mix known and unknown tokens).
+row by md5 modulo the number of ids and a quarter more; so every row is used,
+and one token in five is left out of the vocabulary (documents mix known and
+unknown tokens).
 """
 
 from __future__ import annotations
@@ -18,26 +19,34 @@ from . import oracle as O
 from . import stages as S
 from .catalog import register
 
-MOD = 1000
 DIM = 64
+MOD_SQL = "(SELECT 5 * (coalesce(max(vec_id), -1) + 1) // 4 + 1 FROM embeddings)"
 R6 = 6
 
 
 def corpus(spark, sf):
-    return cut_lineage(TB.tweets(spark, sf).select("row_id", K.tok_words(S.ascii_clean("text")).alias("toks")))
+    return cut_lineage(TB.texts(spark, sf).select("row_id", K.tok_words(S.ascii_clean("text")).alias("toks")))
 
 
 def vectors(spark, sf, c=None):
     c = corpus(spark, sf) if c is None else c
     emb = TB.table(spark, sf, "embeddings")
-    return VX.token_vectors(c.select(F.explode("toks").alias("tok")), emb, MOD)
+    return VX.token_vectors(c.select(F.explode("toks").alias("tok")), emb, modulus(emb))
+
+
+def modulus(embeddings):
+    """The ids 0..max, and a quarter more that no row has."""
+    top = embeddings.agg(F.max("vec_id")).first()[0]
+    return 5 * ((-1 if top is None else top) + 1) // 4 + 1
+
+
 
 
 def sql_base():
     return [f"tweets AS ({TB.SQL_VIEWS['tweets']})",
             f"ct AS (SELECT row_id, {O.words(S.ascii_clean_sql('text'))} AS toks FROM tweets)",
             "tv AS (SELECT t.tok AS word, CAST(e.embedding AS DOUBLE[]) AS vector FROM (SELECT DISTINCT unnest(toks) AS tok FROM ct) t "
-            f"JOIN embeddings e ON e.vec_id = (('0x' || substr(md5(t.tok), 1, 8))::BIGINT % {MOD}))",
+            f"JOIN embeddings e ON e.vec_id = (('0x' || substr(md5(t.tok), 1, 8))::BIGINT % {MOD_SQL}))",
             "ex AS (SELECT c.row_id, x.tok FROM (SELECT row_id, unnest(toks) AS tok FROM ct) x JOIN ct c USING (row_id))"]
 
 
@@ -80,8 +89,7 @@ def mean_embedding_transformer(spark, sf):
     c = corpus(spark, sf)
     stage = VX.MeanEmbedding(vectors(spark, sf, c), DIM, inputCol="toks", outputCol="vec")
     out = stage.transform(c)
-    m = VX.doc_mean_vector(c, "toks", vectors(spark, sf, c), DIM).select("row_id", "n_known")
-    out = out.join(m, "row_id").withColumn("features", vector_to_array("vec"))
+    out = out.withColumn("features", vector_to_array("vec"))
     return _summary(out)
 
 

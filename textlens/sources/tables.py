@@ -56,23 +56,32 @@ def spread(df: DataFrame, key: str = "row_id") -> DataFrame:
     yields fewer partitions than the default parallelism (one large row group,
     or a small file) rows are hash-partitioned on ``key`` (deterministic on
     retry, unlike round robin).  On a cluster reading many files the scan
-    already has more splits than cores and nothing is added."""
+    already has more splits than cores and nothing is added.  Lazy: only the
+    splits of the scan are looked at, and later projections still prune it.
+
+    The condition that always holds is not deterministic to Catalyst, which
+    keeps it from pushing later (expensive, inlined) text predicates below the
+    repartition into the few scan tasks.  So filter plain columns first."""
     sc = df.sparkSession.sparkContext
     target = sc.defaultParallelism
     if df.rdd.getNumPartitions() >= target:
         return df
-    # Checkpointed so that Catalyst cannot push later (expensive, inlined)
-    # text predicates below the repartition into the single scan task.
-    from ..session import cut_lineage
-    return cut_lineage(df.repartition(target, key))
+    return df.repartition(target, key).where(F.monotonically_increasing_id() >= 0)
 
 
 # ---------------------------------------------------------------- views ----
 
 def tweets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Posts, as a plain scan: filters and projections reach it."""
     d = table(spark, sf_dir, "documents")
-    return spread(d.select(F.col("doc_id").alias("row_id"), "text", "lang",
-                           F.col("source").alias("username")))
+    return d.select(F.col("doc_id").alias("row_id"), "text", "lang",
+                    F.col("source").alias("username"))
+
+
+def texts(spark: SparkSession, sf_dir: str, lang: str | None = None) -> DataFrame:
+    """Posts (of one language), spread for CPU-bound work on their text."""
+    t = tweets(spark, sf_dir)
+    return spread(t if lang is None else t.filter(F.col("lang") == lang))
 
 
 def sentiment_of(doc_id, toxic):
@@ -80,15 +89,18 @@ def sentiment_of(doc_id, toxic):
             .when(F.pmod(doc_id, F.lit(3)) == 0, "positive").otherwise("neutral"))
 
 
-def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Labelled posts: documents joined to labels (both keyed by doc_id)."""
+def labelled(spark: SparkSession, sf_dir: str, text_work: bool = False) -> DataFrame:
+    """Labelled posts: documents joined to labels (both keyed by doc_id).
+    With ``text_work`` the scan of the documents is spread before the join."""
     d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    if text_work:
+        d = spread(d, "doc_id")
     lab = table(spark, sf_dir, "labels")
     j = d.join(lab, "doc_id", "inner")
-    return spread(j.select(
+    return j.select(
         F.col("doc_id").alias("row_id"), "text",
         F.when(F.col("quality") == 1, "yes").otherwise("no").alias("target"),
-        sentiment_of(F.col("doc_id"), F.col("toxic")).alias("sentiment")))
+        sentiment_of(F.col("doc_id"), F.col("toxic")).alias("sentiment"))
 
 
 # A fixed prefix that gives every stand-in post the features tweets have and
@@ -99,7 +111,7 @@ NOISY_PREFIX = ("RT @acct http://x.y/z #tag the driver's seat, don't wait 2½ {h
 
 
 def noisy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = tweets(spark, sf_dir)
+    t = texts(spark, sf_dir)
     return t.withColumn("text", F.concat(F.lit(NOISY_PREFIX), F.col("text")))
 
 

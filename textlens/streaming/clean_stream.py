@@ -14,14 +14,17 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..session import scratch_path
-from ..sources.tables import SCHEMAS
+from ..sources.tables import SCHEMAS, path
 
 
 def clean_stream(spark: SparkSession, source_dir: str, table: str = "documents",
-                 max_files_per_trigger: int = 1) -> DataFrame:
-    """A streaming DataFrame of (row_id, lang, textclean) from parquet files."""
-    s = (spark.readStream.schema(SCHEMAS[table]).option("maxFilesPerTrigger", max_files_per_trigger)
-         .option("pathGlobFilter", f"{table}.parquet").parquet(source_dir))
+                 max_files_per_trigger: int | None = None) -> DataFrame:
+    """A streaming DataFrame of (row_id, lang, textclean) from a table: one
+    parquet file, or a folder of part files that may grow."""
+    r = spark.readStream.schema(SCHEMAS[table])
+    if max_files_per_trigger:
+        r = r.option("maxFilesPerTrigger", max_files_per_trigger)
+    s = r.parquet(path(source_dir, table))
     return s.select(F.col("doc_id").alias("row_id"), "lang", T.clean_preprocess("text").alias("textclean"))
 
 
