@@ -73,3 +73,20 @@ def test_roc_curve_drops_collinear_points(spark):
     exp = [(float("inf"), 0.0, 0.0)] + [(th[i], round(fps[i] / fps[-1], 12), round(tps[i] / tps[-1], 12)) for i in keep]
     exp = sorted(exp, key=lambda x: (x[1], x[2], -x[0]))
     assert got == exp
+
+
+def test_bucketed_ranks_with_many_buckets(spark, monkeypatch):
+    monkeypatch.setattr(CL, "BUCKET_ROWS", 7)
+    df = spark.createDataFrame([(i, (i * 37) % 101 % 50) for i in range(101)], "row_id long, v int")
+    b = CL.with_quantile_bucket(df, "v")
+    assert b.select("_b").distinct().count() > 8
+    got = [(r["v"], r["rank"]) for r in CL.bucketed_rank(b, F.col("_b"), ["v", "row_id"]).collect()]
+    assert sorted(r for _, r in got) == list(range(1, 102))
+    assert [v for v, _ in sorted(got, key=lambda x: x[1])] == sorted(v for v, _ in got)
+
+
+def test_streaming_reads_a_folder_of_part_files(spark, tmp_path):
+    from textlens.streaming.clean_stream import clean_stream, run_to_parquet
+    rows = [(i, f"Text {i} http://x.y", "en", "s", 1) for i in range(30)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    assert spark.read.parquet(run_to_parquet(clean_stream(spark, str(tmp_path)))).count() == 30

@@ -11,7 +11,8 @@ from .conftest import SF_SMALL
 KEYS = ["clean_dedupe_by_lang", "clean_preprocess", "txt_dict_replace", "tok_stopwords", "txt_laughter",
         "filter_include_terms", "crosstab", "describe_categorical", "null_counts", "lex_pairs",
         "lang_of_token", "spell_best", "phrase_fit", "bag_of_words", "coherence_cv", "doc_mean_vector",
-        "stratified_folds", "split_train_test", "roc_auc", "roc_curve", "tfidf"]
+        "stratified_folds", "split_train_test", "roc_auc", "roc_curve", "tfidf", "phrase_apply", "filter_exclude_authors",
+        "classification_report", "count_terms", "filter_language"]
 
 
 @pytest.fixture(scope="module")
@@ -38,4 +39,6 @@ def test_matches_oracle(spark, con, key):
 def test_entry_smoke(spark):
     import __spark_entry__ as E
     out = E.entry(spark)
-    assert out.count() >= 0 and out.columns == ["lang", "n"]
+    rows = {r["lang"]: r["n"] for r in out.collect()}
+    assert out.columns == ["lang", "n"] and set(rows) == {"en", "de", "fr", "es"}
+    assert 0 < sum(rows.values()) <= spark.read.parquet(f"{SF_SMALL}/documents.parquet").count()

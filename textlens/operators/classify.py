@@ -13,7 +13,7 @@ import math
 
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, RandomForestClassifier
-from pyspark.ml.feature import Bucketizer, CountVectorizer, PolynomialExpansion, RegexTokenizer, StringIndexer
+from pyspark.ml.feature import PCA, Bucketizer, CountVectorizer, PolynomialExpansion, RegexTokenizer, StringIndexer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -214,8 +214,12 @@ def linear_svm(C=1000.0, n=1):
     return LinearSVC(regParam=1.0 / (C * max(n, 1)), maxIter=50)
 
 
-def poly_stage(degree=3):
-    return PolynomialExpansion(degree=degree, inputCol="features", outputCol="poly")
+def poly_features(df: DataFrame, degree: int = 3, components: int = 8) -> DataFrame:
+    """All products up to ``degree`` of the first principal components of
+    ``features`` (of all 64 features there would be 47,904)."""
+    pca = PCA(k=components, inputCol="features", outputCol="_pc").fit(df)
+    poly = PolynomialExpansion(degree=degree, inputCol="_pc", outputCol="_poly")
+    return poly.transform(pca.transform(df)).drop("features", "_pc").withColumnRenamed("_poly", "features")
 
 
 def platt(raw_col: str = "rawPrediction", label: str = "label"):

@@ -160,9 +160,9 @@ def spell_candidates(tokens: DataFrame, dictionary: DataFrame, max_dist: int = 2
     tk = tokens.select("tok").distinct().select("tok", F.explode(deletes(F.col("tok"), max_dist, prefix)).alias("k"))
     dk = dictionary.select("term", "freq", F.explode(deletes(F.col("term"), max_dist, prefix)).alias("k"))
     cond = (tk["k"] == dk["k"]) & (F.abs(F.length(tk["tok"]) - F.length(dk["term"])) <= max_dist)
-    pairs = tk.join(dk, cond).select("tok", "term", "freq").distinct()
     d = F.levenshtein("tok", "term", max_dist)
-    return pairs.withColumn("dist", d).filter((F.col("dist") >= 0) & (F.col("dist") <= max_dist))
+    pairs = tk.join(dk, cond).select("tok", "term", "freq", d.alias("dist"))
+    return pairs.filter((F.col("dist") >= 0) & (F.col("dist") <= max_dist)).distinct()
 
 
 def spell_best(tokens: DataFrame, dictionary: DataFrame, max_dist: int = 2, prefix: int = 7) -> DataFrame:
@@ -324,18 +324,8 @@ def split_prefix_table(tokens: DataFrame, lang_table: DataFrame, special, englis
 
 # ------------------------------------------------- char n-gram language model --
 
-def char_ngrams(tok: Column, n_max: int = 3) -> Column:
-    """Character 1..n_max-grams of ``<token>`` (boundary marks included)."""
-    padded = F.concat(F.lit("<"), tok, F.lit(">"))
-    parts = []
-    for n in range(1, n_max + 1):
-        last = F.greatest(F.length(padded) - n + 1, F.lit(1))
-        parts.append(F.transform(F.sequence(F.lit(1), last), lambda i, n=n: F.substring(padded, i, n)))
-    return F.concat(*parts)
-
-
 def language_model(lang_table: DataFrame, counts: DataFrame | None = None, n_max: int = 3,
-                   min_df: int = 2, vocab_size: int = 1 << 18):
+                   min_df: int = 2):
     """Multinomial naive Bayes over character n-grams, trained on the
     corpus token -> language table (a learned per-token detector that also
     labels tokens never seen in the corpus).  Returns a fitted PipelineModel
@@ -345,7 +335,8 @@ def language_model(lang_table: DataFrame, counts: DataFrame | None = None, n_max
     from pyspark.ml.feature import CountVectorizer, IndexToString, SQLTransformer, StringIndexer
     grams = SQLTransformer(statement=f"SELECT *, {_ngram_sql(n_max)} AS grams FROM __THIS__")
     idx = StringIndexer(inputCol="lang", outputCol="label", stringOrderType="alphabetAsc")
-    cv = CountVectorizer(inputCol="grams", outputCol="features", minDF=min_df, vocabSize=vocab_size)
+    known = (lang_table.selectExpr(f"explode({_ngram_sql(n_max)}) AS g").distinct().count())
+    cv = CountVectorizer(inputCol="grams", outputCol="features", minDF=min_df, vocabSize=max(1, known))
     nb = NaiveBayes(modelType="multinomial", smoothing=1.0)
     pipe = Pipeline(stages=[grams, idx, cv, nb])
     model = pipe.fit(lang_table.select("tok", "lang"))

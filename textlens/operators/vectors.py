@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from .. import lexicons as L
 from .linguistics import sized_for_join
 
-VECTOR_BROADCAST_MAX = 200_000  # word vectors broadcast only below this many words
+VECTOR_BROADCAST_BYTES = 64 << 20  # word vectors are broadcast only below this size
 
 
 def hashed_id(tok: Column, modulus: int) -> Column:
@@ -38,11 +38,12 @@ def doc_mean_vector(df: DataFrame, tokens: str, vectors: DataFrame, dim: int, ke
                     out: str = "features") -> DataFrame:
     """(key, n_known, out ARRAY<DOUBLE>): mean of the vectors of the known
     tokens; a document with none gets zeros of length ``dim``."""
-    v, _ = sized_for_join(vectors.select(F.col("word").alias("tok"), "vector"), VECTOR_BROADCAST_MAX)
-    ex = df.select(key, F.explode(tokens).alias("tok"))
+    v, _ = sized_for_join(vectors.select(F.col("word").alias("tok"), "vector"), VECTOR_BROADCAST_BYTES // (8 * dim + 64))
+    # a vector meets each distinct token of a document once, weighted by its count
+    ex = df.select(key, F.explode(tokens).alias("tok")).groupBy(key, "tok").agg(F.count(F.lit(1)).cast("double").alias("_n"))
     j = ex.join(v, "tok")
-    agg = j.groupBy(key).agg(F.count(F.lit(1)).alias("n_known"),
-                             Summarizer.mean(array_to_vector(F.col("vector"))).alias("_m"))
+    agg = j.groupBy(key).agg(F.sum("_n").cast("long").alias("n_known"),
+                             Summarizer.mean(array_to_vector(F.col("vector")), F.col("_n")).alias("_m"))
     agg = agg.select(key, "n_known", vector_to_array("_m").alias(out))
     res = df.select(key).join(agg, key, "left")
     zeros = F.array_repeat(F.lit(0.0), dim)

@@ -8,7 +8,7 @@ registered query has an independent SQL statement computing the same value.
 from __future__ import annotations
 
 from .. import lexicons as L
-from ..functions.patterns import LAUGH_LINEAR, NOT_WS_RUN, TOKEN, W, WS, WS_RUN, escape, word_alternation
+from ..functions.patterns import NOT_WS_RUN, TOKEN, W, WS, WS_RUN, escape, word_alternation
 
 
 def q(s: str) -> str:
@@ -97,7 +97,7 @@ def printable(e: str) -> str:
 
 
 def laughter(e: str) -> str:
-    for p in LAUGH_LINEAR:
+    for p in L.LAUGH_PATTERNS:  # the patterns as declared: RE2 is linear by itself
         e = rx(e, p, "laugh")
     return regex_tokens(e)
 

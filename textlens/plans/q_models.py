@@ -230,54 +230,98 @@ def _eval(pred):
     return pred.select("row_id", "label", "prediction")
 
 
+def _weighted_train(d):
+    return CL.with_weights(d.filter(F.col("split") == "train"), "label", "weight")
+
+
 @register("rf_fit")
 def rf_fit(spark, sf):
     d = features(spark, sf)
-    tr = CL.with_weights(d.filter(F.col("split") == "train"), "label", "weight")
-    model = CL.rf(trees=10, depth=5, weight_col="weight").fit(tr)
+    model = CL.rf(trees=10, depth=5, weight_col="weight").fit(_weighted_train(d))
     return _eval(model.transform(d.filter(F.col("split") == "test")))
 
 
 @register("predict")
 def predict(spark, sf):
-    return rf_fit(spark, sf)
+    """Each classifier fitted on the training rows, stored, loaded again and
+    applied to the test rows."""
+    from pyspark.ml.classification import GBTClassificationModel, LinearSVCModel, RandomForestClassificationModel
+    d = features(spark, sf)
+    te = d.filter(F.col("split") == "test")
+    x = _kernel_features(d, "rbf", 0.1)
+    n = d.filter(F.col("split") == "train").count()
+    fits = [("RF", CL.rf(trees=10, depth=5, weight_col="weight").fit(_weighted_train(d)), RandomForestClassificationModel, te),
+            ("GBT", CL.gbt().fit(d.filter(F.col("split") == "train")), GBTClassificationModel, te),
+            ("SVM", CL.linear_svm(1000.0, n).fit(x.filter(F.col("split") == "train")), LinearSVCModel, x.filter(F.col("split") == "test"))]
+    out = None
+    for name, model, kind, rows in fits:
+        p = scratch_path(spark, f"model_{name}")
+        FS.save_model(model, p)
+        got = _eval(FS.load_model(kind, p).transform(rows)).select(F.lit(name).alias("model"), "row_id", "label", "prediction")
+        out = got if out is None else out.unionByName(got)
+    return out
 
 
 @register("predict_proba")
 def predict_proba(spark, sf):
     d = features(spark, sf)
-    model = CL.rf(trees=10, depth=5).fit(d.filter(F.col("split") == "train"))
+    model = CL.rf(trees=10, depth=5, weight_col="weight").fit(_weighted_train(d))
     p = model.transform(d.filter(F.col("split") == "test"))
     return p.select("row_id", CL.prob1().alias("p1"))
 
 
-def _grid_search(est, grid, d, folds=3, parallelism=1):
+def _folded(d, folds=L.CV_FOLDS):
+    """Rows with their stratified fold and their class's balanced weight."""
+    return CL.with_weights(CL.stratified_folds(d.drop("split"), "label", folds), "label", "weight").cache()
+
+
+def _fold_scores(fits, folds=L.CV_FOLDS, threads=8):
+    """The accuracy of each (estimator, folded rows) on each fold, fitted on
+    the others.  Fits share the cached rows and run from a thread pool, as a
+    single fit leaves most of the cluster idle."""
+    from concurrent.futures import ThreadPoolExecutor
+
     from pyspark.ml.evaluation import MulticlassClassificationEvaluator
-    from pyspark.ml.tuning import CrossValidator
-    tr = CL.stratified_folds(d.filter(F.col("split") == "train").drop("split"), "label", folds)
-    ev = MulticlassClassificationEvaluator(metricName="accuracy")
-    cv = CrossValidator(estimator=est, estimatorParamMaps=grid, evaluator=ev, foldCol="fold",
-                        parallelism=parallelism, seed=L.SEEDS["folds"])
-    return cv.fit(tr), grid
-
-
-def _grid_table(spark, name, model, grid):
-    rows = []
-    for pm, s in zip(grid, model.avgMetrics):
-        rows.append((name, json.dumps({p.name: v for p, v in pm.items()}, sort_keys=True), float(s)))
+
+    def run(job):
+        k, f = job
+        est, rows = fits[k]
+        pred = est.fit(rows.filter(F.col("fold") != f)).transform(rows.filter(F.col("fold") == f))
+        return float(MulticlassClassificationEvaluator(metricName="accuracy").evaluate(pred))
+
+    with ThreadPoolExecutor(threads) as pool:
+        flat = list(pool.map(run, [(k, f) for k in range(len(fits)) for f in range(folds)]))
+    return [flat[k * folds:(k + 1) * folds] for k in range(len(fits))]
+
+
+def _grid(spark, name, points, fits):
+    scores = [sum(x) / len(x) for x in _fold_scores(fits)]
+    return _grid_table(spark, name, points, scores)
+
+
+def _points(settings, every):
+    """Each ``every``-th point of the product of a grid's settings."""
+    from itertools import product
+    return [dict(zip(settings, p)) for p in product(*settings.values())][::every]
+
+
+def _grid_table(spark, name, points, scores):
+    rows = [(name, json.dumps(p, sort_keys=True), float(x)) for p, x in zip(points, scores)]
     return spark.createDataFrame(rows, "model string, params string, mean_score double")
 
 
 @register("rf_grid")
-def rf_grid(spark, sf):
-    """A shrunk forest grid (full grid: L.RF_GRID_EN) with 3 stratified
-    folds; one row per parameter set with its mean accuracy."""
-    from pyspark.ml.tuning import ParamGridBuilder
+def rf_grid(spark, sf, every=1400):
+    """The forest grid L.RF_GRID_EN over ten stratified folds with balanced
+    weights; one row per parameter set with its mean accuracy.  ``every`` = 1
+    fits all 4,200 points; the registered query each 1,400th.  The smallest
+    size of a split becomes half of it as the smallest size of a leaf."""
     d = features(spark, sf)
-    est = CL.rf()
-    grid = ParamGridBuilder().addGrid(est.numTrees, [4, 10]).addGrid(est.maxDepth, [2, 5]).build()
-    m, g = _grid_search(est, grid, d)
-    return _grid_table(spark, "RF", m, g)
+    tr = _folded(d.filter(F.col("split") == "train"))
+    points = _points(L.RF_GRID_EN, every)
+    fits = [(CL.rf(trees=p["trees"], features=p["features"], criterion=p["criterion"], depth=p["depth"],
+                   leaf=max(p["leaf"], -(-p["split"] // 2)), weight_col="weight"), tr) for p in points]
+    return _grid(spark, "RF", points, fits)
 
 
 @register("best_params")
@@ -290,30 +334,36 @@ def best_params(spark, sf):
 @register("gbt_fit")
 def gbt_fit(spark, sf):
     d = features(spark, sf)
-    model = CL.gbt(depth=3, trees=20).fit(d.filter(F.col("split") == "train"))
+    model = CL.gbt().fit(d.filter(F.col("split") == "train"))
     return _eval(model.transform(d.filter(F.col("split") == "test")))
 
 
 @register("gbt_grid")
-def gbt_grid(spark, sf):
-    from pyspark.ml.tuning import ParamGridBuilder
+def gbt_grid(spark, sf, every=48):
+    """The boosted grid L.GBT_GRID over ten stratified folds; ``every`` = 1
+    fits all 96 points, the registered query each 48th."""
     d = features(spark, sf)
-    est = CL.gbt(trees=10)
-    grid = ParamGridBuilder().addGrid(est.maxDepth, [2, 3]).addGrid(est.stepSize, [0.1, 0.05]).build()
-    m, g = _grid_search(est, grid, d)
-    return _grid_table(spark, "GBT", m, g)
+    tr = _folded(d.filter(F.col("split") == "train"))
+    points = _points(L.GBT_GRID, every)
+    return _grid(spark, "GBT", points, [(CL.gbt(p["depth"], p["trees"], p["rate"]), tr) for p in points])
 
 
-def _svm_pred(d, kernel="rbf", C=1000.0, gamma=0.1):
-    n = d.filter(F.col("split") == "train").count()
+def _kernel_features(d, kernel="rbf", gamma=0.1):
+    """The features a linear machine needs to act as one with this kernel."""
     if kernel == "rbf":
         from pyspark.ml.functions import vector_to_array
         x = d.withColumn("_arr", vector_to_array("features"))
         x = CL.rff_features(x, "_arr", DIM, 128, gamma, seed=L.SEEDS["boosted"])
         x = x.withColumn("features", F.col("rff").cast("array<double>")).drop("_arr", "rff")
-        d = CL.as_vector(x, "features")
-    elif kernel == "poly":
-        d = CL.poly_stage(2).transform(d).drop("features").withColumnRenamed("poly", "features")
+        return CL.as_vector(x, "features")
+    if kernel == "poly":
+        return CL.poly_features(d)
+    return d
+
+
+def _svm_pred(d, kernel="rbf", C=1000.0, gamma=0.1):
+    n = d.filter(F.col("split") == "train").count()
+    d = _kernel_features(d, kernel, gamma)
     svm = CL.linear_svm(C, n).fit(d.filter(F.col("split") == "train"))
     return svm, svm.transform(d)
 
@@ -329,16 +379,15 @@ def svm_fit(spark, sf):
 
 
 @register("svm_grid")
-def svm_grid(spark, sf):
-    """A shrunk SVM grid (full: L.SVM_GRID) scored by held-out accuracy."""
+def svm_grid(spark, sf, every=16):
+    """The SVM grid L.SVM_GRID by ten stratified folds of the training rows;
+    ``every`` = 1 fits all 63 points, the registered query each 16th."""
     d = features(spark, sf)
-    rows = []
-    for C in (1000.0, 100000.0):
-        for kernel, gamma in (("rbf", 0.1), ("linear", None)):
-            _, p = _svm_pred(d, kernel, C, gamma or 0.1)
-            acc = CL.accuracy(p.filter(F.col("split") == "test")).first()[0]
-            rows.append(("SVM", json.dumps({"C": C, "kernel": kernel, "gamma": gamma}), float(acc)))
-    return spark.createDataFrame(rows, "model string, params string, mean_score double")
+    n = d.filter(F.col("split") == "train").count()
+    points = _points(L.SVM_GRID, every)
+    fits = [(CL.linear_svm(float(p["C"]), n), _folded(_kernel_features(d, p["kernel"], p["gamma"]).filter(F.col("split") == "train")))
+            for p in points]
+    return _grid(spark, "SVM", points, fits)
 
 
 @register("svm_probability")
@@ -353,43 +402,38 @@ def svm_probability(spark, sf):
 
 @register("model_comparison")
 def model_comparison(spark, sf):
-    """Refit each classifier on the training split; ROC curve and area on
-    the test split, one row per classifier."""
+    """Refit each classifier on the training split; the points of its ROC
+    curve on the test split, and its area, one row per point."""
     d = features(spark, sf)
     tr, te = d.filter(F.col("split") == "train"), d.filter(F.col("split") == "test")
     scored_sets = []
-    rf_m = CL.rf(trees=10, depth=5).fit(tr)
+    rf_m = CL.rf(trees=10, depth=5, weight_col="weight").fit(_weighted_train(d))
     scored_sets.append(("RandomForestClassifier", rf_m.transform(te).select("row_id", "label", CL.prob1().alias("score"))))
-    gb_m = CL.gbt(depth=3, trees=20).fit(tr)
+    gb_m = CL.gbt().fit(tr)
     scored_sets.append(("GBTClassifier", gb_m.transform(te).select("row_id", "label", CL.prob1().alias("score"))))
     _, p = _svm_pred(d, "rbf")
     p = CL.margin_vector(p)
     cal = CL.platt().fit(p.filter(F.col("split") == "train"))
     scored_sets.append(("SVC", cal.transform(p.filter(F.col("split") == "test")).select("row_id", "label", CL.prob1().alias("score"))))
-    outs = []
+    out = None
     for name, s in scored_sets:
         s = s.withColumn("label", F.col("label").cast("int"))
         auc = float(CL.roc_auc(s).first()[0])  # one number per classifier
-        curve = CL.roc_curve(s).agg(F.array_sort(F.collect_list(F.struct("fpr", "tpr"))).alias("curve"))
-        outs.append(curve.select(F.lit(name).alias("classifier"), "curve", F.lit(auc).alias("auc")))
-    out = outs[0]
-    for o in outs[1:]:
-        out = out.unionByName(o)
+        curve = CL.roc_curve(s).select(F.lit(name).alias("classifier"), "threshold", "fpr", "tpr", F.lit(auc).alias("auc"))
+        out = curve if out is None else out.unionByName(curve)
     return out
 
 
 @register("cv_scores")
-def cv_scores(spark, sf, folds=3):
-    """Accuracy per fold for each model over stratified folds (10 in the
-    reference; 3 here), plus mean and population std per model."""
-    from pyspark.ml.evaluation import MulticlassClassificationEvaluator
-    d = CL.stratified_folds(features(spark, sf).drop("split"), "label", folds).cache()
-    ev = MulticlassClassificationEvaluator(metricName="accuracy")
-    rows = []
-    for name, est in (("RF", CL.rf(trees=10, depth=5)), ("XGB", CL.gbt(depth=3, trees=10))):
-        for f in range(folds):
-            m = est.fit(d.filter(F.col("fold") != f))
-            rows.append((name, f, float(ev.evaluate(m.transform(d.filter(F.col("fold") == f))))))
+def cv_scores(spark, sf, folds=L.CV_FOLDS):
+    """Accuracy per fold for each of the three models over stratified folds,
+    with mean and population deviation per model."""
+    d = features(spark, sf)
+    rows, x = _folded(d, folds), _folded(_kernel_features(d, "rbf", 0.1), folds)
+    names = ["RF", "XGB", "SVM"]
+    scores = _fold_scores([(CL.rf(trees=10, depth=5, weight_col="weight"), rows), (CL.gbt(), rows),
+                           (CL.linear_svm(1000.0, d.count()), x)], folds)
+    rows = [(m, f, v) for m, per in zip(names, scores) for f, v in enumerate(per)]
     t = spark.createDataFrame(rows, "model string, fold int, score double")
     summ = t.groupBy("model").agg(F.avg("score").alias("mean"), F.stddev_pop("score").alias("std"))
     return t.join(summ, "model")
@@ -404,7 +448,8 @@ def score_text_model(spark, sf):
     lab = TB.labelled(spark, sf, text_work=True).select("row_id", "text").join(ev.select("row_id", "label"), "row_id")
     vec = vectors(spark, sf)
     stages = [VX.CleanTokenizer("text", "toks"), VX.MeanEmbedding(vec, DIM, inputCol="toks", outputCol="features"),
-              CL.rf(trees=10, depth=5)]
+              CL.rf(trees=10, depth=5, weight_col="weight")]
+    lab = CL.with_weights(lab, "label", "weight")
     model = Pipeline(stages=stages).fit(lab)
     raw = TB.labelled(spark, sf, text_work=True).select("row_id", "text")  # raw text in, predictions out
     return model.transform(raw).select("row_id", "prediction")
