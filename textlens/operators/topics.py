@@ -208,20 +208,20 @@ def window_counts(texts: DataFrame, tokens: str, topwords, window: int) -> DataF
     last = F.greatest(F.when(size < 0, 0).otherwise(size) - window, F.lit(0))  # where the last window starts
     total = rows.select((last + 1).alias("n")).agg(F.sum("n").alias("n"))
     places = (rows.select("_row", last.alias("last"), F.posexplode("_t").alias("p", "w")).where(F.col("w").isin(top))
-              .select("_row", "w", F.greatest(F.col("p") - window + 1, F.lit(0)).alias("lo"), F.least("p", "last").alias("hi")))
+              .select("_row", "w", F.greatest(F.col("p") - window + 1, F.lit(0)).alias("lo"), F.least("p", "last").alias("hi"))
+              .repartition("_row"))  # one exchange serves the windows, the union and the join
     order = Window.partitionBy("_row", "w").orderBy("lo", "hi")
     opens = F.when(F.col("lo") > F.coalesce(F.max("hi").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(-2)) + 1, 1).otherwise(0)
     ranges = (places.withColumn("opens", opens)
               .withColumn("part", F.sum("opens").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
               .groupBy("_row", "w", "part").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")))
-    words = ranges.groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("w", "lo", "hi"))).alias("r"))
     # windows that hold a word: its ranges; two words: each pair of ranges that overlap
     one = ranges.groupBy(F.col("w").alias("a")).agg(F.sum(F.col("hi") - F.col("lo") + 1).alias("n")).select("a", F.col("a").alias("b"), "n")
-    x = words.select("r", F.explode("r").alias("x"))
-    both = F.filter("r", lambda y: (y["w"] > F.col("x.w")) & (y["lo"] <= F.col("x.hi")) & (y["hi"] >= F.col("x.lo")))
-    two = (x.select("x", F.explode(both).alias("y"))
-           .select(F.col("x.w").alias("a"), F.col("y.w").alias("b"),
-                   (F.least("x.hi", "y.hi") - F.greatest("x.lo", "y.lo") + 1).alias("n"))
+    x, y = ranges.alias("x"), ranges.alias("y")
+    near = ((F.col("x._row") == F.col("y._row")) & (F.col("x.w") < F.col("y.w"))
+            & (F.col("x.lo") <= F.col("y.hi")) & (F.col("y.lo") <= F.col("x.hi")))
+    two = (x.join(y, near).select(F.col("x.w").alias("a"), F.col("y.w").alias("b"),
+                                  (F.least("x.hi", "y.hi") - F.greatest("x.lo", "y.lo") + 1).alias("n"))
            .groupBy("a", "b").agg(F.sum("n").alias("n")))
     nothing = F.lit(None).cast("string")
     return total.select(nothing.alias("a"), nothing.alias("b"), "n").unionByName(one).unionByName(two)

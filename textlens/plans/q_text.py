@@ -26,7 +26,7 @@ def _one(key, view, spark_fn, sql_expr, out="t", src="text"):
     sql = V(f"SELECT row_id, {sql_expr(src)} AS {out} FROM {view}", view)
 
     def q(spark, sf):
-        df = getattr(TB, view)(spark, sf)
+        df = TB.TEXT_VIEWS[view](spark, sf)
         return df.select("row_id", spark_fn(F.col(src)).alias(out))
     q.__name__ = key
     register(key, sql)(q)

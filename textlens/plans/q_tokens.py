@@ -31,7 +31,7 @@ MIN_COUNT = 5
 def corpus(spark, sf, view="tweets"):
     """Cleaned, tokenised posts, checkpointed once: every token table of a
     query derives from it without re-running the cleaning chain."""
-    t = getattr(TB, view)(spark, sf)
+    t = TB.TEXT_VIEWS[view](spark, sf)
     return cut_lineage(t.select("row_id", "lang", "text", K.tok_words(S.ascii_clean("text")).alias("toks")))
 
 

@@ -115,6 +115,9 @@ def noisy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.withColumn("text", F.concat(F.lit(NOISY_PREFIX), F.col("text")))
 
 
+# The views as text work reads them.
+TEXT_VIEWS = {"tweets": texts, "noisy": noisy}
+
 # SQL (DuckDB) forms of the same views, as CTE bodies.
 SQL_VIEWS = {
     "tweets": "SELECT doc_id AS row_id, text, lang, source AS username FROM documents",
