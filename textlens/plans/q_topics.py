@@ -254,18 +254,21 @@ def _coherence_of(model, vocab, c, window=L.COHERENCE_WINDOW, topn=L.COHERENCE_T
 def lda_curve(spark, sf, limit: int = 10):
     """Coherence for k = 1..limit-1; k=1 scores the single frequency-ranked
     topic (Spark's LDA needs k >= 2)."""
+    from concurrent.futures import ThreadPoolExecutor
     feats, vocab, c = _features(spark, sf)
     n = feats.count()
-    rows = []
-    for k in range(1, limit):
+
+    def run(k):
         if k == 1:
             f = TP.dictionary_build(c, "toks").orderBy(F.desc("cf"), "term").limit(L.COHERENCE_TOPN)
             topics = f.select(F.lit(0).alias("topic"), "term")
         else:
             m = TP.lda_estimator(k, n, passes=L.LDA_BASIC["passes"], seed=L.LDA_BASIC["seed"]).fit(feats)
             topics = TP.topics_from_model(m, vocab)
-        coh = TP.coherence_cv(c, "toks", topics).agg(F.avg("coherence")).first()[0]
-        rows.append((k, float(coh)))
+        return k, float(TP.coherence_cv(c, "toks", topics).agg(F.avg("coherence")).first()[0])
+
+    with ThreadPoolExecutor(4) as pool:  # a single fit leaves most of the cluster idle
+        rows = list(pool.map(run, range(1, limit)))
     return spark.createDataFrame(rows, "k int, coherence double")
 
 
