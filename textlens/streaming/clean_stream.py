@@ -24,7 +24,8 @@ def clean_stream(spark: SparkSession, source_dir: str, table: str = "documents",
     r = spark.readStream.schema(SCHEMAS[table])
     if max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", max_files_per_trigger)
-    s = r.parquet(path(source_dir, table))
+    # as a pattern: a plain path to a single file is refused by the stream source
+    s = r.parquet(path(source_dir, table)[:-1] + "[t]")
     return s.select(F.col("doc_id").alias("row_id"), "lang", T.clean_preprocess("text").alias("textclean"))
 
 
