@@ -43,7 +43,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     cluster and read it back.  The files survive lost executors."""
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.scratch = path
+    return out
+
+
+def forget(table: DataFrame) -> None:
+    """Delete the files of a table that ``written`` returned; nothing that is
+    still to be computed may read it."""
+    sc = table.sparkSession.sparkContext
+    path = sc._jvm.org.apache.hadoop.fs.Path(table.scratch)
+    path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def free_name(df: DataFrame, base: str) -> str:

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import forget, written
 
 
 def components(edges: DataFrame, name: str) -> DataFrame:
@@ -34,4 +34,5 @@ def components(edges: DataFrame, name: str) -> DataFrame:
         down = large.groupBy("hi").agg(F.min("lo").alias("m"))
         small = (large.join(down, "hi").where("lo <> m").select(F.col("m").alias("lo"), F.col("lo").alias("hi"))
                  .unionByName(down.select(F.col("m").alias("lo"), "hi"))).distinct()
-        e = written(small, name)
+        old, e = e, written(small, name)
+        forget(old)

@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import as_bytes, grouped, mix, register, slices, table, window_hashes, word_hashes, written
+from .common import as_bytes, forget, grouped, mix, register, slices, table, window_hashes, word_hashes, written
 from .components import components
 
 SHINGLE = 5
@@ -209,6 +209,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", size: int = SHINGLE
     ends = merged.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("key", "low")
     stars = merged.join(ends, "key").where("node <> low").select(F.col("node").alias("u"), F.col("low").alias("v"))
     blocks = components(stars, "blocks").select("node", F.col("root").alias("block"))
+    forget(shared)
     # large blocks are cut in chunks
     members = blocks.join(classes, "node")
     sized = members.groupBy("block").agg(F.greatest(F.ceil(F.sum("n") / F.lit(CHUNK_SHINGLES)),
