@@ -19,6 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, LongType, StructField, StructType
@@ -122,6 +123,15 @@ def _sparse(batches):
             [("_id", pa.int64()), ("_y", pa.int32()), ("idx", pa.binary()), ("val", pa.binary())]))
 
 
+def _joined(column: pa.ChunkedArray, kind) -> np.ndarray:
+    """The bytes of a binary column's rows, one after the other, as numbers
+    (in place: the sample's features are not copied)."""
+    whole = pa.concat_arrays(column.chunks) if column.num_chunks != 1 else column.chunk(0)
+    offsets = np.frombuffer(whole.buffers()[1], np.int32)[whole.offset:whole.offset + len(whole) + 1]
+    data = np.frombuffer(whole.buffers()[2], np.uint8)[offsets[0]:offsets[-1]]
+    return data.view(kind)
+
+
 def _platt(margin: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     """Platt's scaling by Newton steps, with his smoothed targets."""
     pos, neg = y.sum(), len(y) - y.sum()
@@ -149,11 +159,9 @@ def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", max_
     weights = np.zeros(1 << BITS, np.float64)
     if len(set(y.tolist())) < 2:
         return QualityModel(weights.astype(np.float32), trained=False)
-    idx = [np.frombuffer(x, np.int32) for x in rows.column("idx").to_pylist()]
-    val = [np.frombuffer(x, np.float32) for x in rows.column("val").to_pylist()]
     held = np.asarray([int(mix(np.asarray([i], np.uint64))[0] % np.uint64(4)) == 0 for i in rows.column("_id").to_pylist()])
-    row = np.repeat(np.arange(len(y)), [len(x) for x in idx])
-    col, x = np.concatenate(idx), np.concatenate(val).astype(np.float64)
+    col, x = _joined(rows.column("idx"), np.int32), _joined(rows.column("val"), np.float32)
+    row = np.repeat(np.arange(len(y), dtype=np.int32), np.asarray(pc.binary_length(rows.column("idx"))) // 4)
 
     def margins(w, b):
         return b + np.bincount(row, weights=w[col] * x, minlength=len(y))
