@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import vocabulary_path
-from .common import register, table
+from .common import register, table, written
 
 # Fixed values of the template.
 ROLES = {"system": "System", "user": "User", "assistant": "Assistant"}
@@ -120,12 +120,14 @@ def format_chats(conversations: DataFrame, vocabulary: str | None = None) -> Dat
     key = ["conv_id", "turn", "role", "text"]
     rows = rows.repartitionByRange("conv_id", "turn", F.xxhash64("role", "text")).sortWithinPartitions(*key)
     kinds = dict(rows.dtypes)
-    schema = pa.schema([("conv_id", pa.int64()), ("turn", pa.int64()), ("number", pa.int64()), ("text", pa.string()), ("ids", pa.list_(pa.int32())),
-                        ("loss", pa.list_(pa.bool_())), ("begins", pa.list_(pa.int32())), ("ends", pa.list_(pa.int32()))])
+
+    def lists(parts, kind):
+        ends = np.concatenate([[0], np.cumsum([len(x) for x in parts])]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(parts), kind))
 
     def run(batches):
         encode = tokenizer(vocabulary).encode
-        out: list[dict] = []
+        out: list[tuple] = []
         turns: list[tuple[str, str]] = []
         conv = first = last = None
         size = number = 0
@@ -133,28 +135,35 @@ def format_chats(conversations: DataFrame, vocabulary: str | None = None) -> Dat
         def close():
             text, spans = render(turns)
             found = encode(text, add_special_tokens=False)
-            inside, clipped = mask(np.asarray(found.offsets, np.int64).reshape(-1, 2), spans)
-            out.append({"conv_id": conv, "turn": first, "number": number, "text": text, "ids": found.ids, "loss": inside,
-                        "begins": clipped[:, 0], "ends": clipped[:, 1]})
+            inside, clipped = mask(np.asarray(found.offsets, np.int32).reshape(-1, 2), spans)
+            out.append((conv, first, number, text, np.asarray(found.ids, np.int32), inside, clipped[:, 0], clipped[:, 1]))
             turns.clear()
 
+        def batch_of():
+            conv, turn, number, text, *tokens = zip(*out)
+            out.clear()
+            return pa.RecordBatch.from_arrays(
+                [pa.array(conv, pa.int64()), pa.array(turn, pa.int64()), pa.array(number, pa.int64()), pa.array(text, pa.string()),
+                 *(lists(x, k) for x, k in zip(tokens, (pa.int32(), pa.bool_(), pa.int32(), pa.int32())))],
+                names=["conv_id", "turn", "number", "text", "ids", "loss", "begins", "ends"])
+
         for batch in batches:
             for c, t, role, text in zip(*(batch.column(k).to_pylist() for k in key)):
                 if turns and (c != conv or size > PART_CHARS):
                     close()
+                    if len(out) >= 500:
+                        yield batch_of()
                 if not turns:
                     number = number + 1 if last == (c, t) else 0
                     conv, first, size = c, t, 0
                 turns.append((role, text))
                 last, size = (c, t), size + len(text)
-            if out:
-                yield pa.RecordBatch.from_pylist(out, schema=schema)
-                out.clear()
         if turns:
             close()
-            yield pa.RecordBatch.from_pylist(out, schema=schema)
+        if out:
+            yield batch_of()
 
-    return rows.mapInArrow(run, f"conv_id {kinds['conv_id']}, turn {kinds['turn']}, number long, text string, ids array<int>, "
+    return rows.mapInArrow(run, "conv_id long, turn long, number long, text string, ids array<int>, "
                                 "loss array<boolean>, begins array<int>, ends array<int>")
 
 
@@ -166,42 +175,93 @@ def loss_texts(text: str, loss, begins, ends) -> list[str]:
     return [unescape(text[int(begin[a]):int(end[b - 1])]) for a, b in zip([0, *cut], [*cut, len(on)]) if b > a]
 
 
+class Digest:
+    """What is read back of a conversation, part by part."""
+
+    NAMES = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
+
+    def __init__(self, conv):
+        self.conv, self.n, self.chars, self.size = conv, 0, 0, 0
+        self.turns, self.loss = hashlib.sha256(), hashlib.sha256()
+
+    def add(self, text: str, loss: str) -> None:
+        for role, said in parse(text):
+            self.n += 1
+            self.turns.update(f"{role}\n{said}\n".encode())
+        self.chars += len(loss)
+        self.loss.update(loss.encode())
+        self.size += len(text)
+
+    def row(self) -> tuple:
+        return self.conv, self.n, self.turns.hexdigest(), self.chars, self.loss.hexdigest(), self.size
+
+
 def read_back(parts: DataFrame) -> DataFrame:
-    """Digests of each conversation, read from its parts in order."""
-    rows = parts.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "number")
-    names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
+    """Digests of each conversation, read from its parts in order.
 
-    def run(batches):
-        conv, state = None, None
+    ``parts`` is as ``format_chats`` returns it, sorted within partitions.  A
+    partition gives the digests of the conversations that begin and end in it;
+    the parts of its first and last one, which may go on in its neighbours,
+    are passed on and meet by conversation."""
+    digest = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
+    schema = pa.schema([("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()),
+                        ("loss_sha256", pa.string()), ("formatted_chars", pa.int64()), ("turn", pa.int64()), ("number", pa.int64()),
+                        ("text", pa.string()), ("loss", pa.string())])
+
+    def batch_of(rows, width):
+        columns = zip(*rows) if rows else [[]] * width
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], names=schema.names[:width])
+
+    def own(batches):
+        passing = True  # is the current conversation passed on? the first one is
+        state, held = None, []
 
-        def result():
-            n, turns, chars, loss, size = state
-            return [conv, n, turns.hexdigest(), chars, loss.hexdigest(), size]
+        def passed_on():
+            return [(state.conv, None, None, None, None, None, *x) for x in held]
 
         for batch in batches:
-            done = []
-            for c, text, *tokens in zip(*(batch.column(k).to_pylist() for k in ("conv_id", "text", "loss", "begins", "ends"))):
-                if state is None or c != conv:
+            out = []
+            marks, begins, ends = (batch.column(k) for k in ("loss", "begins", "ends"))
+            at = marks.offsets.to_numpy()
+            on, begin, end = np.asarray(marks.values), np.asarray(begins.values), np.asarray(ends.values)
+            for k, (c, t, n, text) in enumerate(zip(*(batch.column(x).to_pylist() for x in ("conv_id", "turn", "number", "text")))):
+                if state is None or c != state.conv:
                     if state:
-                        done.append(result())
-                    conv, state = c, [0, hashlib.sha256(), 0, hashlib.sha256(), 0]
-                for role, said in parse(text):
-                    state[0] += 1
-                    state[1].update(f"{role}\n{said}\n".encode())
-                for said in loss_texts(text, *tokens):
-                    state[2] += len(said)
-                    state[3].update(said.encode())
-                state[4] += len(text)
-            if done:
-                yield batch_of(done)
-        if state:
-            yield batch_of([result()])
+                        out += passed_on() if passing else [(*state.row(), None, None, None, None)]
+                        passing = False
+                    state, held = Digest(c), []
+                where = slice(at[k], at[k + 1])
+                loss = "".join(loss_texts(text, on[where], begin[where], end[where]))
+                state.add(text, loss)
+                held.append((t, n, text, loss))
+                if passing or len(held) > 1:  # also one of several parts, so that no more than one is held
+                    passing = True
+                    out += passed_on()
+                    held = []
+            if out:
+                yield batch_of(out, len(schema))
+        if state and held:
+            yield batch_of(passed_on(), len(schema))
 
-    def batch_of(found):
-        kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found), kinds)], names=names)
+    def join(batches):
+        state = None
+        for batch in batches:
+            out = []
+            for c, text, loss in zip(*(batch.column(x).to_pylist() for x in ("conv_id", "text", "loss"))):
+                if state is None or c != state.conv:
+                    if state:
+                        out.append(state.row())
+                    state = Digest(c)
+                state.add(text, loss)
+            if out:
+                yield batch_of(out, 6)
+        if state:
+            yield batch_of([state.row()], 6)
 
-    return rows.mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    found = written(parts.mapInArrow(own, digest + ", turn long, number long, text string, loss string"), "digests")
+    whole = found.where("text is null").select(*Digest.NAMES)
+    rest = found.where("text is not null").select("conv_id", "turn", "number", "text", "loss")
+    return whole.unionByName(rest.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "number").mapInArrow(join, digest))
 
 
 @register("op4_chat_format")
