@@ -322,13 +322,12 @@ def variants(rng: random.Random, left: str, right: str) -> tuple[str, list[tuple
 
 
 def fit_field(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_stretches: int = SAMPLE_STRETCHES) -> Field:
-    """Train on stretches of at most ``sample_docs`` documents that have any
-    (those with the smallest hashes of the text) and on variants of them."""
-    found = docs.select("text").where(F.col("text").rlike("[0-9@]"))
-    pieces = found.select(F.xxhash64("text").alias("h"), F.regexp_extract_all("text", F.lit(r"(?s)(.{0,60}[0-9@].{0,100})"), F.lit(1)).alias("parts"))
-    pieces = pieces.select("h", F.slice("parts", 1, 3).alias("parts")).distinct()
-    rows = pieces.orderBy("h").limit(sample_docs).collect()
-    real = sorted({p for r in rows for p in r["parts"]})
+    """Train on the first stretch of at most ``sample_docs`` documents that
+    have any (the stretches with the smallest hashes) and on variants of them."""
+    place = F.regexp_instr("text", F.lit("[0-9@]"))
+    pieces = docs.select("text", place.alias("at")).where("at > 0")
+    pieces = pieces.select(F.expr("substring(text, greatest(at - 60, 1), 220)").alias("piece")).distinct()
+    real = sorted(r["piece"] for r in pieces.orderBy(F.xxhash64("piece"), "piece").limit(sample_docs).collect())
     rng = random.Random(11)
     rng.shuffle(real)
     real = real[:sample_stretches]
