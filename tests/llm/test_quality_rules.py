@@ -2,6 +2,8 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
+import pytest
 from textlens.llm import quality_rules as Q
 
 from .helpers import ODD, documents, prose
@@ -75,3 +77,27 @@ def test_keep_good_returns_own_columns(spark):
     kept = Q.keep_good(docs, Q.fit_quality(docs, labels))
     assert kept.schema == docs.schema
     assert {r["doc_id"] for r in kept.collect()} == set(range(300)) and {r["kept"] for r in kept.collect()} == {"x"}
+
+
+def test_calibration_does_not_depend_on_the_sample_bound(spark):
+    rng = random.Random(8)
+
+    def mingled(share):  # the classes overlap: a word is marked more often in bad rows
+        return " ".join(w + "%%%" * (rng.random() < share) for w in prose(rng.randrange(10**6), 40).split())
+
+    good = [(i, mingled(rng.uniform(0, 0.5))) for i in range(1600)]
+    bad = [(5000 + i, mingled(rng.uniform(0.2, 0.7))) for i in range(200)]
+    docs = documents(spark, good + bad).cache()
+    labels = spark.createDataFrame([(i, int(i < 5000)) for i, _ in good + bad], "doc_id long, quality int")
+    for max_rows in (2000, 200):  # the mean probability is the share of good labels (8 of 9), not the sample's
+        rows = Q.score_quality(docs, Q.fit_quality(docs, labels, max_rows=max_rows)).select("probability").collect()
+        assert abs(sum(r["probability"] for r in rows) / len(rows) - 8 / 9) < 0.08, max_rows
+
+
+def test_offset_of_a_weighted_sample():
+    rng = np.random.default_rng(3)
+    y = np.repeat([1.0, 0.0], [16_000, 2_000])
+    margin = rng.normal(np.where(y == 1, 1, -1), 1.5)
+    some = np.r_[:2_000, 16_000:18_000]
+    whole = Q._platt(margin, y, np.ones(len(y)))
+    assert Q._platt(margin[some], y[some], np.where(y[some] == 1, 8.0, 1.0)) == pytest.approx(whole, abs=0.15)

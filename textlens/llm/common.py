@@ -142,18 +142,29 @@ def grouped(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[objec
         yield last, pa.Table.from_batches(held)
 
 
+def _one_label(labels: DataFrame, label: str, id_col: str, keep=None) -> DataFrame:
+    """(id, _y): each labelled id with its larger label."""
+    lab = labels.where(F.col(id_col).isNotNull() & F.col(label).isNotNull())
+    if keep is not None:
+        lab = lab.where(keep)
+    return lab.groupBy(id_col).agg(F.max(label).cast("int").alias("_y"))
+
+
+def label_counts(labels: DataFrame, label: str, id_col: str = "doc_id") -> dict[int, int]:
+    """The number of ids of each label, by the rules of ``labelled_sample``."""
+    return {r["_y"]: r["count"] for r in _one_label(labels, label, id_col).groupBy("_y").count().collect()}
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int,
                     id_col: str = "doc_id", keep=None) -> DataFrame:
     """At most ``rows`` labelled rows of each value of ``label``, those whose id
     has the smallest hash, with their text.  The sample's ids are a table of
     at most ``2 * rows`` rows, small enough to broadcast by that bound; rows of
     null id or label are left out, an id with two labels takes the larger."""
-    lab = labels.where(F.col(id_col).isNotNull() & F.col(label).isNotNull())
-    if keep is not None:
-        lab = lab.where(keep)
+    lab = _one_label(labels, label, id_col, keep)
     parts = []
     for v in (0, 1):
-        part = (lab.groupBy(id_col).agg(F.max(label).cast("int").alias("_y")).where(F.col("_y") == v)
+        part = (lab.where(F.col("_y") == v)
                 .orderBy(F.xxhash64(id_col), id_col).limit(rows))
         parts.append(part)
     chosen = parts[0].unionByName(parts[1]).withColumnRenamed(id_col, "_id")

@@ -6,7 +6,8 @@ the share of each bucket among the family's n-grams, so length alone never
 decides.  The regression is trained on a bounded sample of labelled rows
 (``max_rows`` of each class, the smallest hashes of the id), its probabilities
 are calibrated on a part of that sample it was not trained on (Platt's
-scaling), and Arrow batches of documents are scored against fixed thresholds.
+scaling, each row weighted by the labelled rows that it stands for, so the
+bound does not move the threshold), and Arrow batches of documents are scored against fixed thresholds.
 
 Null texts count as empty; empty texts have no words and fail the base rules.
 If the labels hold fewer than two classes, the model keeps whatever passes the
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, LongType, StructField, StructType
 
-from .common import as_bytes, free_name, labelled_sample, mix, register, slices, table, window_hashes, word_hashes
+from .common import as_bytes, free_name, label_counts, labelled_sample, mix, register, slices, table, window_hashes, word_hashes
 
 BITS = 16
 MIN_WORDS = 20
@@ -132,16 +133,16 @@ def _joined(column: pa.ChunkedArray, kind) -> np.ndarray:
     return data.view(kind)
 
 
-def _platt(margin: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Platt's scaling by Newton steps, with his smoothed targets."""
+def _platt(margin: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
+    """Platt's scaling of weighted rows by Newton steps, with his smoothed targets."""
     pos, neg = y.sum(), len(y) - y.sum()
     target = np.where(y == 1, (pos + 1) / (pos + 2), 1 / (neg + 2))
     a, b = 1.0, 0.0
     x = np.stack([margin, np.ones_like(margin)], 1)
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(a * margin + b, -30, 30)))
-        grad = x.T @ (p - target)
-        hess = (x * (p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(2)
+        grad = x.T @ (weight * (p - target))
+        hess = (x * (weight * p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(2)
         step = np.linalg.solve(hess, grad)
         a, b = a - step[0], b - step[1]
         if np.abs(step).max() < 1e-6:
@@ -152,7 +153,8 @@ def _platt(margin: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows: int = MAX_ROWS,
                 rounds: int = 40, l2: float = 1e-5) -> QualityModel:
     """Train on at most ``max_rows`` rows of each class; every fourth of them
-    (by hash) is held back for the calibration."""
+    (by hash) is held back for the calibration, in which each class counts as
+    it does among all labels."""
     rows = (labelled_sample(docs, labels, label, max_rows)
             .mapInArrow(_sparse, "_id long, _y int, idx binary, val binary").toArrow().sort_by("_id"))
     y = rows.column("_y").to_numpy().astype(np.float64)
@@ -181,7 +183,9 @@ def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", max_
         b -= 0.1 * rate * err.sum() / np.sqrt(gb)
     weights = weights.astype(np.float32)
     use = held if held.any() else fit
-    slope, offset = _platt(margins(weights.astype(np.float64), b)[use], y[use])
+    of = label_counts(labels, label)
+    weight = np.where(y == 1, max(1.0, of.get(1, 0) / max_rows), max(1.0, of.get(0, 0) / max_rows))[use]
+    slope, offset = _platt(margins(weights.astype(np.float64), b)[use], y[use], weight / weight.mean())
     return QualityModel(weights, float(b), slope, offset)
 
 
