@@ -30,6 +30,24 @@ def test_cases(html, text):
     assert H.main_text(html) == text
 
 
+MENU = "<a href=/1>One of the other pages</a> <a href=/2>Another of them</a>"
+LOOSE = [
+    (f'<article><p>{P1} <a href="/hidden-lakes" title="the hidden city">lakes</a> <a href="/p?id=comments" data-id="share-1">b</a> end</p></article>', f"{P1} lakes b end"),
+    (f'<article><section id="recommendations"><h2 id="related-work">Related work</h2><p class="notice">{P1}</p></section><p id=skip-lists>Skip lists</p></article>',
+     f"Related work\n\n{P1}\n\nSkip lists"),
+    (f'<article><p>{P1}</p><div class="related"><p>{MENU}</p></div><div class=share>Share this</div><p>{P2}</p></article>', f"{P1}\n\n{P2}"),
+    (f'<article><p>{P1}</p><section class=comments><div class=comment><p>{P2}</p></div></section></article>', P1),
+    (f'<body><div><p>{P1}</p><p class="notice">{P2}</p><section id=replies><p>{P1}</p></section></div><div class=sidebar><p>{P2}</p></div>', f"{P1}\n\n{P2}\n\n{P1}"),
+    (f'<article><p>{P1} <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>x=2</annotation></math></p><pre>a <span class="comment"># b</span></pre></article>', f"{P1} x=2\n\na # b"),
+    (f"<article><p>{P1}</p><div class = 'a' HIDDEN><p>{P2}</p></div><div data-x='y'hidden>z</div></article>", P1),
+]
+
+
+@pytest.mark.parametrize("html,text", LOOSE)
+def test_words_that_look_like_boilerplate(html, text):
+    assert H.main_text(html) == text
+
+
 def test_long_and_broken_pages_stay_linear():
     began = time.process_time()
     for page in ("<div>" * 30_000 + "x", "<p><b>" * 30_000 + P1, "<!--" * 30_000, "<a href='" * 30_000, "<" * 100_000, "<li>" * 30_000,

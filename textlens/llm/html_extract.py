@@ -2,8 +2,9 @@
 
 A page becomes a light tree (tags that imply the end of others are closed as
 browsers do).  Subtrees that are never part of an article go: scripts, styles,
-forms, menus, footers, sidebars, adverts, notices, comments, by tag, role or
-the words of class and id.  Each paragraph's points, for being one, for its
+forms, menus, footers, sidebars, adverts, by tag or role.  Adverts, notices
+and comments also go by the words of class and id, but inside the article only
+if they read like it: mostly links, or without a paragraph.  Each paragraph's points, for being one, for its
 commas and for its length, are passed to its ancestors, less with each level;
 a container's total is discounted by the share of its text that lies in
 links.  The best container is kept, widened to the ``article`` or ``main``
@@ -29,12 +30,14 @@ _MARKUP = re.compile(
     r"|<(script|style|title|textarea|noscript|iframe|xmp|noembed)(?=[\s/>])[^>]*+(?:>.*?(?:</\1(?=[\s/>])[^>]*+(?:>|\Z)|\Z)|\Z)"
     r"|<[!?][^>]*+(?:>|\Z)"
     r"|<(/?)([a-z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+|[^>]*+)(?:>|\Z)", re.S | re.I)
-_ATTR = re.compile(r"(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+_ATTR = re.compile(r"([^\s/>=\"']++)(?:\s*+=\s*+(?:\"([^\"]*+)\"?|'([^']*+)'?|([^\s>]++)))?+|\"[^\"]*+\"?|'[^']*+'?")
 _WORD = re.compile("[A-Z]?[a-z]+|[A-Z]+")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp "
-                   "small span strike strong sub sup time tt u var wbr img".split())
+                   "small span strike strong sub sup time tt u var wbr img "
+                   "math semantics mi mn mo ms mtext mrow mstyle mpadded menclose mfrac msqrt mroot msub msup msubsup munder mover "
+                   "munderover mmultiscripts mtable mtr mtd".split())
 #: Elements that end an open paragraph.
 ENDS_P = frozenset("address article aside blockquote center details dialog dir div dl dd dt fieldset figcaption figure footer form "
                    "h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol p pre section summary table ul".split())
@@ -42,8 +45,8 @@ ENDS_P = frozenset("address article aside blockquote center details dialog dir d
 ENDS_SAME = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}),
              "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"table", "tr"}), "th": ({"td", "th"}, {"table", "tr"}),
              "option": ({"option"}, {"select"})}
-DROPPED = frozenset("nav aside footer form button select menu dialog template svg math canvas object audio video map head "
-                    "fieldset datalist applet".split())
+DROPPED = frozenset("nav aside footer form button select menu dialog template svg canvas object audio video map head "
+                    "fieldset datalist applet annotation annotation-xml".split())
 DROPPED_ROLES = frozenset("navigation banner complementary contentinfo search alert alertdialog dialog menu menubar toolbar form".split())
 DROPPED_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertisements adsense sponsor sponsored promo promotion promoted banner sidebar "
@@ -54,37 +57,107 @@ KEPT_TAGS = frozenset("html body article main".split())
 PARAGRAPHS = frozenset("p pre td blockquote li dd figcaption".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 LEAST_PARAGRAPH = 25
+#: From this share of its text in links on, a part reads like a menu.
+MOST_LINKED = 0.5
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "dropped", "length", "linked", "commas", "own", "score")
+    __slots__ = ("tag", "parent", "children", "dropped", "never", "suspect", "inside", "length", "linked", "commas", "own", "score")
 
-    def __init__(self, tag: str, parent: Node | None, dropped: bool):
+    def __init__(self, tag: str, parent: Node | None, dropped: bool, suspect: bool = False, inside: bool = False):
         self.tag, self.parent, self.dropped = tag, parent, dropped
+        self.never = dropped  # whatever the suspects turn out to be
+        self.suspect, self.inside = suspect, inside  # by class or id; in an article or main element
         self.children: list = []
         self.length = self.linked = self.commas = self.own = 0
         self.score = 0.0
 
 
-def unwanted(tag: str, attrs: str, in_article: bool) -> bool:
-    """Whether an element is never part of an article."""
+def unwanted(tag: str, attrs: str, in_article: bool) -> tuple[bool, bool]:
+    """Whether an element is never part of an article, and whether the words
+    of its class and id say that it may not be."""
     if tag in DROPPED or tag == "header" and not in_article:
-        return True
+        return True, False
     if not attrs or attrs == "/":
-        return False
+        return False, False
+    suspect = False
     for name, a, b, c in _ATTR.findall(attrs):
         name, value = name.lower(), a or b or c
         if name == "hidden" or name == "aria-hidden" and value == "true":
-            return True
+            return True, False
         if name == "role" and value.lower() in DROPPED_ROLES:
-            return True
+            return True, False
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-            return True
+            return True, False
         if name in ("class", "id") and tag not in KEPT_TAGS:
             words = {w.lower() for w in _WORD.findall(value)}
-            if words & DROPPED_WORDS or "header" in words and not in_article and tag not in HEADINGS:
-                return True
-    return False
+            if "header" in words and not in_article and tag not in HEADINGS:
+                return True, False
+            suspect = suspect or bool(words & DROPPED_WORDS)
+    return False, suspect
+
+
+def judge(nodes: list[Node]) -> tuple[set[Node], set[Node]]:
+    """Drop the suspects in an article or main element that read like no part
+    of it, and for now all others; returned are those of the dropped that read
+    well, and those that do not.
+    Paragraphs of a suspect that lie in another one do not speak for it."""
+    if not any(n.suspect for n in nodes):
+        return set(), set()
+    total: dict[Node, list[int]] = {}  # length, length in links, paragraphs
+    for node in reversed(nodes):
+        length = linked = good = 0
+        for child in node.children:
+            if isinstance(child, str):
+                length += len(child.strip())
+            elif child in total:
+                n, m, k = total[child]
+                length += n
+                linked += n if child.tag == "a" else m
+                if not child.suspect or child.tag in PARAGRAPHS:
+                    good += k
+        if node.dropped:
+            length = linked = good = 0
+        elif node.tag in PARAGRAPHS and length >= LEAST_PARAGRAPH and linked < MOST_LINKED * length:
+            good += 1
+        total[node] = [length, linked, good]
+    held, bad = set(), set()
+    within = {nodes[0]: None}  # the paragraph or heading that a node lies in
+    for node in nodes[1:]:
+        up = node.parent
+        around = within[node] = up if up.tag in PARAGRAPHS or up.tag in HEADINGS else within[up]
+        node.dropped = node.dropped or up.dropped
+        if node.never or not node.suspect:
+            continue
+        length, linked, good = total[node]
+        if node.tag in INLINE and around is not None:
+            well = total[around][0] > length
+        else:
+            well = (good > 0 or node.tag in PARAGRAPHS or node.tag in HEADINGS) and linked < MOST_LINKED * length
+        if not (well and node.inside):
+            node.dropped = True
+            (held if well else bad).add(node)
+    return held, bad
+
+
+def restore(held: set[Node], bad: set[Node], roots: list[Node], nodes: list[Node]) -> None:
+    """Take back the suspects below the kept nodes; below a whole page only
+    paragraphs, headings and parts of them."""
+    whole = any(r.tag in ("body", "html", "#root") for r in roots)
+    below = set(roots)
+    back: set[Node] = set()
+    for node in nodes:
+        if node.parent in below:
+            below.add(node)
+        if node not in below or node.never:
+            continue
+        if node in held:
+            well = not node.parent.dropped and (not whole or node.tag in PARAGRAPHS or node.tag in HEADINGS or node.tag in INLINE)
+        else:
+            well = node.parent in back and node not in bad
+        if well:
+            node.dropped = False
+            back.add(node)
 
 
 def parse(html: str) -> list[Node]:
@@ -142,7 +215,8 @@ def parse(html: str) -> list[Node]:
                 node.children.append(child)
             continue
         in_article = bool(open_.get("article") or open_.get("main"))
-        child = Node(tag, node, node.dropped or unwanted(tag, m[4] or "", in_article))
+        drop, suspect = unwanted(tag, m[4] or "", in_article)
+        child = Node(tag, node, node.dropped or drop, suspect, in_article)
         node.children.append(child)
         nodes.append(child)
         open_[tag] = open_.get(tag, 0) + 1
@@ -249,8 +323,12 @@ def main_text(html: str | None) -> str:
     if not html:
         return ""
     nodes = parse(html)
+    held, bad = judge(nodes)
     weigh(nodes)
-    return "\n\n".join(blocks(kept_nodes(nodes)))
+    roots = kept_nodes(nodes)
+    if held:
+        restore(held, bad, roots, nodes)
+    return "\n\n".join(blocks(roots))
 
 
 def extract(pages: DataFrame) -> DataFrame:
