@@ -294,9 +294,13 @@ def _fold_scores(fits, folds=L.CV_FOLDS, threads=8):
     return [flat[k * folds:(k + 1) * folds] for k in range(len(fits))]
 
 
-def _grid(spark, name, points, fits):
-    scores = [sum(x) / len(x) for x in _fold_scores(fits)]
-    return _grid_table(spark, name, points, scores)
+def _grid(spark, name, points, setting, fit):
+    """One row per point; ``setting(point)`` is what the seeded estimator and
+    its rows, ``fit(*setting)``, depend on: points that agree in it share a fit."""
+    settings = [setting(p) for p in points]
+    distinct = list(dict.fromkeys(settings))
+    scores = {s: sum(x) / len(x) for s, x in zip(distinct, _fold_scores([fit(*s) for s in distinct]))}
+    return _grid_table(spark, name, points, [scores[s] for s in settings])
 
 
 def _points(settings, every):
@@ -311,17 +315,20 @@ def _grid_table(spark, name, points, scores):
 
 
 @register("rf_grid")
-def rf_grid(spark, sf, every=1400):
+def rf_grid(spark, sf, every=1):
     """The forest grid L.RF_GRID_EN over ten stratified folds with balanced
-    weights; one row per parameter set with its mean accuracy.  ``every`` = 1
-    fits all 4,200 points; the registered query each 1,400th.  The smallest
-    size of a split becomes half of it as the smallest size of a leaf."""
+    weights; one row for each of the 4,200 parameter sets (each ``every``-th)
+    with its mean accuracy.  The smallest size of a split becomes half of it as
+    the smallest size of a leaf, and "auto" features are "sqrt", so these are
+    980 different forests."""
     d = features(spark, sf)
     tr = _folded(d.filter(F.col("split") == "train"))
     points = _points(L.RF_GRID_EN, every)
-    fits = [(CL.rf(trees=p["trees"], features=p["features"], criterion=p["criterion"], depth=p["depth"],
-                   leaf=max(p["leaf"], -(-p["split"] // 2)), weight_col="weight"), tr) for p in points]
-    return _grid(spark, "RF", points, fits)
+
+    def setting(p):
+        return p["trees"], "sqrt" if p["features"] == "auto" else p["features"], p["criterion"], p["depth"], max(p["leaf"], -(-p["split"] // 2))
+
+    return _grid(spark, "RF", points, setting, lambda *s: (CL.rf(*s, weight_col="weight"), tr))
 
 
 @register("best_params")
@@ -339,13 +346,13 @@ def gbt_fit(spark, sf):
 
 
 @register("gbt_grid")
-def gbt_grid(spark, sf, every=48):
-    """The boosted grid L.GBT_GRID over ten stratified folds; ``every`` = 1
-    fits all 96 points, the registered query each 48th."""
+def gbt_grid(spark, sf, every=1):
+    """The boosted grid L.GBT_GRID over ten stratified folds: 96 points, of
+    which each ``every``-th is fitted."""
     d = features(spark, sf)
     tr = _folded(d.filter(F.col("split") == "train"))
     points = _points(L.GBT_GRID, every)
-    return _grid(spark, "GBT", points, [(CL.gbt(p["depth"], p["trees"], p["rate"]), tr) for p in points])
+    return _grid(spark, "GBT", points, lambda p: (p["depth"], p["trees"], p["rate"]), lambda *s: (CL.gbt(*s), tr))
 
 
 def _kernel_features(d, kernel="rbf", gamma=0.1):
@@ -379,15 +386,24 @@ def svm_fit(spark, sf):
 
 
 @register("svm_grid")
-def svm_grid(spark, sf, every=16):
-    """The SVM grid L.SVM_GRID by ten stratified folds of the training rows;
-    ``every`` = 1 fits all 63 points, the registered query each 16th."""
+def svm_grid(spark, sf, every=1):
+    """The SVM grid L.SVM_GRID by ten stratified folds of the training rows: 63
+    points, of which each ``every``-th is fitted.  Gamma is a setting of the RBF
+    kernel only; each kernel's features are made once."""
     d = features(spark, sf)
     n = d.filter(F.col("split") == "train").count()
     points = _points(L.SVM_GRID, every)
-    fits = [(CL.linear_svm(float(p["C"]), n), _folded(_kernel_features(d, p["kernel"], p["gamma"]).filter(F.col("split") == "train")))
-            for p in points]
-    return _grid(spark, "SVM", points, fits)
+    rows = {}
+
+    def setting(p):
+        return p["kernel"], p["gamma"] if p["kernel"] == "rbf" else None, float(p["C"])
+
+    def fit(kernel, gamma, c):
+        if (kernel, gamma) not in rows:
+            rows[kernel, gamma] = _folded(_kernel_features(d, kernel, gamma).filter(F.col("split") == "train"))
+        return CL.linear_svm(c, n), rows[kernel, gamma]
+
+    return _grid(spark, "SVM", points, setting, fit)
 
 
 @register("svm_probability")

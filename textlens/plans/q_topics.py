@@ -290,10 +290,10 @@ def lda_restarts(spark, sf, threshold: float = 0.97, max_tries: int = 3):
 
 @register("lda_grid")
 def lda_grid(spark, sf, topics=L.LDA_GRID_TOPICS, alphas=L.LDA_GRID_ALPHA, betas=L.LDA_GRID_BETA,
-             every: int = 45, passes: int = 10):
-    """The grid of fits over L.LDA_GRID_*; ``every`` = 1 fits all 180 points,
-    the registered query each 45th of them with 10 passes.  Fits run from a
-    thread pool over one cached feature table."""
+             every: int = 1, passes: int = L.LDA_TUNED_EN["passes"]):
+    """The grid of fits over L.LDA_GRID_*: 180 points, of which each
+    ``every``-th is fitted.  Fits run from a thread pool over one cached
+    feature table."""
     from concurrent.futures import ThreadPoolExecutor
     feats, vocab, c = _features(spark, sf)
     n = feats.count()
