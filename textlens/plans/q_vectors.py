@@ -124,15 +124,11 @@ def nearest_terms(spark, sf):
 
 # ------------------------------------------------------ fitted word vectors --
 
-QUERY_W2V = dict(size=32, window=6, min_count=5, iters=1)  # registered-check setting; full: L.W2V_EN
-
-
-def _w2v(spark, sf, iters=None):
+def _w2v(spark, sf, more=0):
+    """A fit at the settings of L.W2V_EN, ``more`` iterations longer."""
     c = corpus(spark, sf)
-    p = dict(QUERY_W2V)
-    if iters:
-        p["iters"] = iters
-    est = VX.w2v_estimator(p["size"], p["window"], p["min_count"], p["iters"],
+    p = L.W2V_EN
+    est = VX.w2v_estimator(p["size"], p["window"], p["min_count"], p["iters"] + more,
                            partitions=max(1, spark.sparkContext.defaultParallelism // 2))
     return est.fit(c), c
 
@@ -148,7 +144,7 @@ def w2v_fit(spark, sf):
 def w2v_continue(spark, sf):
     """No warm start in Spark: the continued model is one fit whose
     iteration count is the sum."""
-    model, _ = _w2v(spark, sf, iters=QUERY_W2V["iters"] + 1)
+    model, _ = _w2v(spark, sf, more=L.W2V_CONTINUE_EPOCHS)
     return model.getVectors().select("word")
 
 
