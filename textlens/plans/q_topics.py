@@ -273,13 +273,14 @@ def lda_curve(spark, sf, limit: int = 10):
 
 
 @register("lda_restarts")
-def lda_restarts(spark, sf, threshold: float = 0.97, max_tries: int = 3):
+def lda_restarts(spark, sf, threshold: float = 0.97, max_tries: int | None = None):
     """Refit with new seeds until the best topic's coherence (window 10)
-    reaches ``threshold`` or ``max_tries`` fits were made."""
+    reaches ``threshold``, or ``max_tries`` fits were made if that is given."""
+    from itertools import count
     feats, vocab, c = _features(spark, sf)
     n = feats.count()
     rows = []
-    for i in range(max_tries):
+    for i in count() if max_tries is None else range(max_tries):
         m = TP.lda_estimator(4, n, passes=L.LDA_BASIC["passes"], seed=100 + i).fit(feats)
         per = _coherence_of(m, vocab, c, window=10).orderBy(F.desc("coherence")).first()
         rows.append((i, 100 + i, int(per["topic"]), float(per["coherence"])))
