@@ -75,6 +75,26 @@ def test_field_finds_what_the_patterns_miss_and_leaves_the_rest(spark):
     assert hits >= 0.9 * total
 
 
+def test_long_addresses_are_found_whole(spark):
+    field = P.fit_field(corpus(spark))
+    host = "mail." + "verylonghostname" * 3 + ".example.org"
+    for address in ("john.smith (at) mail.example.org", "john.smith [AT] mail.example.org", "a.mary.jane.smith (at) mail.dept.example.org",
+                    f"john.smith (at) {host}", "john.smith(AT)example.org"):
+        for text in (f"write to {address} today", f"write to {address}"):
+            spans = P.spans_of(text, field)[1]
+            assert [text[s:e] for _, s, e in spans] == [address] and "smith" not in P.redact(text, spans), text
+
+
+def test_stretches_end_at_white_space_and_do_not_overlap():
+    rng = random.Random(6)
+    for _ in range(2000):
+        text = "".join(rng.choice(["7", "@", " (AT) ", "x" * 30, "y" * 70, " ", " " * 50, "ab"]) for _ in range(rng.randrange(20)))
+        found = P.stretches(text)
+        assert all(b < c for (_, b), (c, _) in zip(found, found[1:]))
+        assert all(any(a <= m.start() and m.end() <= b for a, b in found) for m in P._TRIGGER.finditer(text))
+        assert all(b == len(text) or text[b].isspace() for _, b in found)
+
+
 def test_operator_on_odd_rows(spark):
     docs = corpus(spark)
     field = P.fit_field(docs)

@@ -45,7 +45,7 @@ _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz01234567
 _DOTTED = re.compile(r"[0-9]++(?:\.[0-9]++)*+")
 _NUMBER = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-_TRIGGER = re.compile(r"[0-9@]|[(\[] ?at ?[)\]]")
+_TRIGGER = re.compile(r"[0-9@]|[(\[] ?[Aa][Tt] ?[)\]]")
 _TOKEN = re.compile(r"[0-9]+|[^\W0-9_]+|\S")
 _AT = re.compile(r" ?[(\[] ?at ?[)\]] ?|@", re.I)
 
@@ -97,19 +97,26 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 
 def stretches(text: str) -> list[tuple[int, int]]:
-    """The parts of a text in which a span may lie."""
+    """The parts of a text in which a span may lie; they end at white space
+    and do not overlap."""
     out: list[list[int]] = []
     for m in _TRIGGER.finditer(text):
         if out and m.start() - out[-1][1] <= AROUND:
             out[-1][1] = m.end()
         else:
             out.append([m.start(), m.end()])
-    found = []
+    found: list[tuple[int, int]] = []
     for a, b in out:
-        a, b = max(0, a - AROUND), min(len(text), b + AROUND)
-        while a > 0 and not text[a - 1].isspace() and a > out[0][0] - 4 * AROUND:
+        done = found[-1][1] if found else 0
+        a, b = max(done, a - AROUND), max(done, min(len(text), b + AROUND))
+        while a > done and not text[a - 1].isspace():
             a -= 1
-        found.append((a, b))
+        while done < b < len(text) and not text[b].isspace():
+            b += 1
+        if found and a == done:
+            found[-1] = (found[-1][0], b)
+        else:
+            found.append((a, b))
     return found
 
 
@@ -118,9 +125,15 @@ def candidates(text: str, a: int, b: int, taken: list[tuple[int, int]]) -> tuple
     segment that could be of the kind at all."""
     tokens = [(m.start(), m.end()) for m in _TOKEN.finditer(text, a, b)]
     blocked = [any(s < y and x < e for x, y in taken) for s, e in tokens] if taken else [False] * len(tokens)
-    out = []
+    words = [text[s:e] for s, e in tokens]
+    is_at = [w == "@" or w in ")]" and k > 1 and words[k - 1].lower() == "at" and words[k - 2] in "([" for k, w in enumerate(words)]
+    marks = [k for k, x in enumerate(is_at) if x]
+    out, coming = [], 0
     for i, (s, e) in enumerate(tokens):
         first = text[s]
+        while coming < len(marks) and marks[coming] < i:
+            coming += 1
+        reach = LONGEST if coming < len(marks) and marks[coming] < i + LONGEST else 9
         if blocked[i] or not (first.isalnum() or first in "+("):
             continue
         digits, ats, other = 0, 0, False
@@ -128,7 +141,8 @@ def candidates(text: str, a: int, b: int, taken: list[tuple[int, int]]) -> tuple
             x, y = tokens[j]
             if blocked[j] or j > i and x - tokens[j - 1][1] > 1 or "\n" in text[tokens[j - 1][1]:x]:
                 break
-            token = text[x:y]
+            token = words[j]
+            ats += is_at[j] and (token == "@" or j > i + 1)
             if token.isascii() and token.isdigit():
                 digits += y - x
                 if not other and not ats:
@@ -140,13 +154,11 @@ def candidates(text: str, a: int, b: int, taken: list[tuple[int, int]]) -> tuple
                         out.append((i, j, "ip"))
             elif token.isalpha():
                 other = True
-            elif token == "@":
-                ats += 1
-            elif token not in "+().-/_%[]":
+            elif token not in "+().-/_%[]@":
                 break
-            if other and not digits and not ats and j - i > 8:
+            if other and not digits and j - i >= reach:
                 break
-            if first.isalnum() and token.isalpha() and j > i + 2 and _AT.search(text, s, y):
+            if ats and first.isalnum() and token.isalpha() and j > i + 2:
                 out.append((i, j, "email"))
     return tokens, out
 
@@ -296,8 +308,10 @@ def variants(rng: random.Random, left: str, right: str) -> tuple[str, list[tuple
     def email() -> str:
         name = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(3, 9))) + rng.choice(["", ".", "_"]) + digits(rng.randrange(3))
         name = name.rstrip("._") or "a"
-        host = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(3, 8))) + "." + rng.choice(["com", "org", "net", "de", "example.com"])
-        return name + rng.choice([" (at) ", "(at)", " [at] ", "[at]"]) + host
+        for _ in range(rng.choice([0, 0, 1, 2])):
+            name = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(1, 9))) + rng.choice(".._-") + name
+        host = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(3, 8))) + "." + rng.choice(["com", "org", "net", "de", "example.com", "dept.example.org"])
+        return name + rng.choice([" (at) ", "(at)", " [at] ", "[at]", " (AT) ", "[AT]"]) + host
 
     def ip() -> str:
         return ".".join(str(rng.randrange(256)) for _ in range(4))
