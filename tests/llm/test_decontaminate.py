@@ -69,3 +69,29 @@ def test_blocks_repeats_and_empty_tables(spark, monkeypatch):
     assert D.decontaminate(docs, bench).count() == 0
     assert D.leaks(docs, bench.limit(0)).count() == 0 and D.decontaminate(docs, bench.limit(0)).count() == 3
     assert D.leaks(docs.limit(0), bench).count() == 0
+
+
+def test_parts_of_long_items():
+    long, short = sentence(70, 59).encode(), sentence(71, 45).encode()
+    passage = sentence(72, 2000).encode()
+    index = D.Index([1, 2, 3], [long, short, passage])
+    before, after = sentence(73, 30).encode() + b" ", b" " + sentence(74, 30).encode()
+
+    def found(words):
+        text = before + b" ".join(words) + after
+        return [(i, D.folded(text[s:e])[0].tobytes(), edits) for i, s, e, edits in index.find(text)]
+
+    words = long.split()
+    assert found(words) == [(1, long, 0)]
+    for part in (words[:-9], words[9:]):  # windows may take in a word beside the quoted part, within their budget
+        (i, quoted, edits), = found(part)
+        assert i == 1 and edits <= 15 and len(quoted.split()) >= D.WINDOW
+    (i, quoted, edits), = found(passage.split()[333:633])
+    assert i == 3 and edits <= 15 and len(quoted.split()) >= 300 - 2 * D.STEP
+    changed = passage.split()[333:633]
+    changed[100] = b"changed"
+    assert {i for i, *_ in found(changed)} == {3}
+    assert all(found(passage.split()[a:a + 49]) for a in range(40, 60)) and not found(passage.split()[43:73])
+    assert not found(short.split()[:38]) and found(short.split()) == [(2, short, 0)]
+    han = "".join(chr(0x4E00 + (i * 7919) % 5000) for i in range(600)).encode()
+    assert [(i, e - s > 600) for i, s, e, _ in D.Index([4], [han]).find(before + han[300:1200] + after)] == [(4, True)]

@@ -10,6 +10,12 @@ that overlap by half, bands below that count go, and what is left is verified
 by a banded alignment that gives the edits and the place.  Items shorter than
 q must lie in the text unchanged, as whole words.
 
+Of items of more than ``LONG`` words, parts count too: windows of ``WINDOW``
+words, one each ``STEP`` words and one at the end, are searched like items with
+bounds of their own.  So any WINDOW + STEP - 1 words in a row of a long item
+are found.  Windows that overlap in a text are one place, whose edits are the
+most of one of its windows; inside a place of the whole item they do not count.
+
 The benchmark is cut in blocks of at most ``BLOCK_BYTES`` of text; each block
 is indexed once and sent to the tasks, and every text is held against every
 block.  Null and empty texts hold nothing; null or empty items match nothing.
@@ -29,6 +35,10 @@ Q = 12
 EDIT_SHARE = 0.06
 BLOCK_BYTES = 8 << 20
 FILTER_BITS = 21
+LONG, WINDOW, STEP = 50, 40, 10
+#: In a word longer than this, each ``WORD_BYTES`` bytes count as one (scripts
+#: without blanks).
+LONGEST_WORD, WORD_BYTES = 32, 6
 
 _FOLD = np.full(256, 32, np.uint8)
 _FOLD[128:] = np.arange(128, 256)
@@ -94,6 +104,28 @@ def align(item: np.ndarray, text: np.ndarray, low: int, high: int, budget: int)
     return int(cost[j]), int(start[j]), m + low + j
 
 
+def windows(c: np.ndarray) -> list[np.ndarray]:
+    """The different windows of a long item; none of others."""
+    blank = np.flatnonzero(c == 32)
+    first, last = np.append(0, blank + 1), np.append(blank, len(c))
+    if (last - first).max() > LONGEST_WORD:
+        cuts = [(p, min(p + WORD_BYTES, z) if z - a > LONGEST_WORD else z) for a, z in zip(first.tolist(), last.tolist())
+                for p in (range(a, z, WORD_BYTES) if z - a > LONGEST_WORD else (a,))]
+        first, last = np.asarray(cuts).T
+    n = len(first)
+    if n <= LONG:
+        return []
+    found = {}
+    for k in [*range(0, n - WINDOW, STEP), n - WINDOW]:
+        a, z = int(first[k]), int(last[k + WINDOW - 1])
+        while a > 0 and c[a] & 0xC0 == 0x80:  # no cut inside of a letter
+            a -= 1
+        while z < len(c) and c[z] & 0xC0 == 0x80:
+            z += 1
+        found.setdefault(c[a:z].tobytes(), c[a:z])
+    return list(found.values())
+
+
 class Index:
     """The q-grams of a block of items."""
 
@@ -110,6 +142,12 @@ class Index:
             else:
                 self.ids.append(i)
                 self.items.append(c)
+        self.whole = list(range(len(self.items)))  # the item that an item is, or is a window of
+        for k in range(len(self.items)):
+            for c in windows(self.items[k]):
+                self.ids.append(self.ids[k])
+                self.items.append(c)
+                self.whole.append(k)
         size = np.asarray([len(c) for c in self.items], np.int64)
         self.budget = np.minimum((size * edit_share).astype(np.int64), (size - Q) // Q)
         self.least = size - Q + 1 - self.budget * Q
@@ -188,21 +226,38 @@ class Index:
             got = align(self.items[i], c[a:z], low - a, high - a, k)
             if got:
                 places.setdefault(i, []).append((got[0], got[1] + a, got[2] + a))
-        for i, all_of in places.items():
+        of: dict[int, list[tuple[int, int]]] = {}  # places of whole items
+        parts: dict[int, list[tuple[int, int, int]]] = {}
+        for i, all_of in sorted(places.items()):  # whole items come first
             taken: list[tuple[int, int]] = []
             for edits, s, e in sorted(set(all_of)):
-                if all(e <= x or s >= y for x, y in taken):
-                    taken.append((s, e))
+                if not all(e <= x or s >= y for x, y in taken):
+                    continue
+                taken.append((s, e))
+                if self.whole[i] == i:
                     out.append((self.ids[i], int(at[s]), int(at[e - 1]) + 1, edits))
+                elif all(e <= x or s >= y for x, y in of.get(self.whole[i], [])):
+                    parts.setdefault(self.whole[i], []).append((s, e, edits))
+            if self.whole[i] == i:
+                of[i] = taken
+        for i, pieces in parts.items():
+            united: list[list[int]] = []
+            for s, e, edits in sorted(pieces):
+                if united and s < united[-1][1]:
+                    united[-1][1:] = max(e, united[-1][1]), max(edits, united[-1][2])
+                else:
+                    united.append([s, e, edits])
+            out += [(self.ids[i], int(at[s]), int(at[e - 1]) + 1, edits) for s, e, edits in united]
         return sorted(out)
 
 
 def indexes(benchmark: DataFrame, id_col: str = "item_id", edit_share: float = EDIT_SHARE):
     """The benchmark's blocks, one by one, as broadcast indexes; each block's
-    text is at most about ``BLOCK_BYTES``."""
+    text, with the windows of long items, is at most about ``BLOCK_BYTES``."""
     spark = benchmark.sparkSession
     rows = benchmark.where(F.col("text").isNotNull()).select(F.col(id_col).cast("long").alias("i"), F.col("text").alias("t"))
-    size = rows.agg(F.sum(F.octet_length("t") + 64)).first()[0] or 0
+    bytes_of = F.octet_length("t").cast("long")
+    size = rows.agg(F.sum(F.when(bytes_of > 2 * LONG, bytes_of * (1 + WINDOW // STEP)).otherwise(bytes_of) + 64)).first()[0] or 0
     blocks = max(1, -(-int(size) // (BLOCK_BYTES // 2)))
     for b in range(blocks):
         part = rows.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == b).toArrow().sort_by([("i", "ascending"), ("t", "ascending")])
