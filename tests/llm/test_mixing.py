@@ -84,3 +84,19 @@ def test_empty_and_repeated_rows(spark, docs):
     got = M.taken(M.plan_mix(twice)).collect()
     assert len(got) == 40 and {r["target"] for r in got} == {1600.0}
     assert all(len({x["taken"] for x in got if x["doc_id"] == i}) == 1 for i in {r["doc_id"] for r in got})
+
+
+def test_rows_without_words_are_not_gathered(spark, monkeypatch):
+    import re
+    plans, write = [], M.written
+
+    def watched(df, name):
+        if name == "chosen":
+            plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return write(df, name)
+
+    monkeypatch.setattr(M, "written", watched)
+    docs = spark.createDataFrame([(i, "a b c" if i % 3 else "", "s") for i in range(60)], "doc_id long, text string, source string")
+    rows = M.taken(M.plan_mix(docs)).collect()
+    assert len(rows) == 60 and all(r["taken"] == 0 for r in rows if r["size"] == 0)
+    assert re.search(r"size#\d+L? > 0", plans[0])

@@ -165,7 +165,7 @@ def plan_mix(docs: DataFrame, id_col: str = "doc_id", shards: int = SHARDS, seed
         return pa.table({"s": found.column("s").take(pa.array(take, pa.int64())), "unit": pa.array(unit[np.asarray(take, np.int64)], pa.int64())})
 
     partly = draws.where(F.col("part").isNotNull()).select("s", "block", "part")
-    chosen = (placed.join(F.broadcast(partly), ["s", "block"])
+    chosen = (placed.where("size > 0").join(F.broadcast(partly), ["s", "block"])  # rows without words are never taken
               .groupBy("s", "block", "part", "unit").agg(F.sum("size").alias("size"))
               .withColumn("turn", F.xxhash64("unit", F.lit(seed + 1)))
               .groupBy("s", "block").applyInArrow(fit, "s int, unit long"))
