@@ -39,9 +39,11 @@ def test_resolve_tokens_order_and_empty(spark):
 
 
 def test_phrase_apply_greedy(spark):
-    df = spark.createDataFrame([(["a", "b", "c", "a", "b"],)], "t array<string>")
-    got = df.select(TP.phrase_apply(F.col("t"), [("a", "b"), ("b", "c")])).first()[0]
-    assert got == ["a_b", "c", "a_b"]
+    df = spark.createDataFrame([(1, ["a", "b", "c", "a", "b"]), (2, ["a", "b", "a", "b"]), (3, ["b"]), (4, []), (5, None)],
+                               "row_id long, t array<string>")
+    phrases = spark.createDataFrame([("a", "b"), ("b", "c")], "a string, b string")
+    got = {r["row_id"]: r["t"] for r in TP.phrase_apply(df, "t", phrases).collect()}
+    assert got == {1: ["a_b", "c", "a_b"], 2: ["a_b", "a_b"], 3: ["b"], 4: [], 5: None}
 
 
 def test_split_prefix(spark):

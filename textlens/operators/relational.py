@@ -44,6 +44,9 @@ def parse_timestamp(c) -> Column:
 
 # ---------------------------------------------------------------- filters --
 
+#: Longer author lists are joined as a table.
+LITERAL_AUTHORS = 1_000
+
 
 def filter_period(df: DataFrame, col: str, lo, hi) -> DataFrame:
     """Half-open period ``lo < ts <= hi`` (pushes down to the scan)."""
@@ -56,10 +59,14 @@ def filter_language(df: DataFrame, lang: str, col: str = "lang") -> DataFrame:
 
 def filter_exclude_authors(df: DataFrame, authors=None, col: str = "username") -> DataFrame:
     """Drop posts by listed authors; a missing author is kept.  ``authors`` is
-    a list or a table with the column ``col``; Spark broadcasts it by its
-    size or shuffles."""
+    a list of at most LITERAL_AUTHORS names, which stays a condition on the
+    column, or a table with the column ``col``, which Spark broadcasts by its
+    size or shuffles.  (Joining a short list would let Spark infer other
+    conditions on the author column and run them on the list.)"""
     authors = L.EXCLUDED_AUTHORS if authors is None else authors
     if not isinstance(authors, DataFrame):
+        if len(authors) <= LITERAL_AUTHORS:
+            return df.filter(~F.coalesce(F.col(col).isin(list(authors)), F.lit(False)))
         authors = df.sparkSession.createDataFrame([(a,) for a in authors], f"{col} string")
     return df.join(authors.select(col), col, "left_anti").select(*df.columns)
 
