@@ -9,8 +9,8 @@ from __future__ import annotations
 
 def _registry():
     """Import the query modules (here, so that tasks load only what they use)."""
-    from . import (chat_format, decontaminate, html_extract, licenses, mixing, ngram_join, quality_gam, quality_rules,  # noqa: F401
-                   pii, token_index)
+    from . import (chat_format, decontaminate, html_extract, licenses, mixing, ngram_join, periodic_runs, pii,  # noqa: F401
+                   quality_gam, quality_rules, token_index)
     from .common import REGISTRY
     return REGISTRY
 
