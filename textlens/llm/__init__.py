@@ -10,7 +10,7 @@ from __future__ import annotations
 def _registry():
     """Import the query modules (here, so that tasks load only what they use)."""
     from . import (chat_format, decontaminate, html_extract, licenses, mixing, ngram_join, packing, periodic_runs, pii,  # noqa: F401
-                   quality_gam, quality_rules, token_index)
+                   quality_gam, quality_rules, ranked_search, token_index)
     from .common import REGISTRY
     return REGISTRY
 
