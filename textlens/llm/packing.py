@@ -52,7 +52,7 @@ SIZE = 2048
 #: Empty tokens that a sequence of equal pieces may have for them to stay whole.
 SLACK = 24
 #: Parts of texts, and pieces of parts, whose ids a process keeps.
-CACHE = 1_000_000
+CACHE, PIECE_CACHE = 200_000, 500_000
 #: The pattern of the vocabulary's pre-tokenizer (fixed values).
 _PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 #: A word of plain letters and the signs after it (no apostrophe): two pieces.
@@ -79,7 +79,7 @@ class Pieces(dict):
     def __missing__(self, piece: bytes) -> bytes:
         spelled = piece.decode() if piece.isascii() else piece.decode("latin-1").translate(self.letters)
         found = np.asarray([t.id for t in self.model.tokenize(spelled)], "<u2").tobytes()
-        if len(self) < CACHE and len(piece) < 64:
+        if len(self) < PIECE_CACHE and len(piece) < 64:
             self[piece] = found
         return found
 
