@@ -1,5 +1,6 @@
 import hashlib
 import random
+import time
 from collections import defaultdict
 
 import numpy as np
@@ -55,3 +56,13 @@ def test_query_against_brute_force(spark, monkeypatch):
         sizes[limit] = sorted((str(r[0]), r[5]) for r in got)
     assert sizes[200_000] == sizes[2_000]
     assert C.read_back(C.format_chats(frame.limit(0))).count() == 0
+
+
+def test_escapes_take_linear_time():
+    took = []
+    for n in (100_000, 1_600_000):
+        text = "\\" * n + "###" + "\\" * n
+        begin = time.process_time()
+        assert C.unescape(C.escape(text)) == text
+        took.append(time.process_time() - begin)
+    assert took[1] < 80 * took[0] + 0.5

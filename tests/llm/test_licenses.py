@@ -1,4 +1,5 @@
 import random
+import time
 import re
 
 import pytest
@@ -40,3 +41,18 @@ def test_tags_and_notices():
     assert r["labels"] == "gpl,mit" and r["score"] == 0.7 and r["n_base"] == 0
     assert L.scan(b"Licensed under CC BY-NC 4.0.")["labels"] == "cc-by-nc"
     assert L.scan(b"All rights reserved.")["score"] == 0.0 and L.scan(b"no notice")["score"] == 0.5
+
+
+def test_time_grows_with_the_text():
+    took = []
+    for n in (20_000, 160_000):
+        begin = time.process_time()
+        assert L.scan(b"mit license " * n)["last_word"] == 2 * n - 2
+        took.append(time.process_time() - begin)
+    assert took[1] < 40 * took[0] + 0.5
+
+
+def test_a_lesser_licence_is_worth_its_own():
+    r = L.scan(b"GNU Lesser General Public License")
+    assert (r["base_labels"], r["labels"], r["score"]) == ("gpl", "gpl,lgpl", 0.6)
+    assert L.scan(b"General Public License and Lesser General Public License")["score"] == 0.4

@@ -1,4 +1,5 @@
 import zlib
+from functools import lru_cache
 
 import numpy as np
 from textlens.llm import bpe
@@ -6,12 +7,18 @@ from textlens.llm import token_index as T
 
 from .helpers import ODD, documents, prose
 
-TEXTS = ["a  b", " \n x", "don't we'll 'S", " lead", "trail ", "tab\tx \t y", "　x y　 z", "été 12½ ²", "日本語 text <|endoftext|> a",
+TEXTS = ["a  b", " \n x", "don't we'll 'S", " lead", "trail ", "tab\tx \t y", "　x y　 z", "été 12½ ²", "日本語 text <|endoftext|> a", "a  <|endoftext|>", "x<|endoftext|>  y", "<|endoftext|", "a <|endoftext|>\n b",
          "\x1cq \x1c q \x85 w", "x  y  z", " " * 9 + "k", "a\r\n b", "ǅ ʼn 𝒳 a", "İ ı ſ K", "é a‍b ﻿ x", "١٢٣ ①②"]
 
 
+@lru_cache
+def plain():
+    from tokenizers import Tokenizer
+    return Tokenizer.from_file(bpe.vocabulary_path())
+
+
 def whole(text):
-    return bpe.encoder(bpe.vocabulary_path()).tokenizer.encode(text or "", add_special_tokens=False).ids
+    return plain().encode(text or "", add_special_tokens=False).ids
 
 
 def test_parts_give_the_ids_of_the_whole_text():
@@ -47,6 +54,21 @@ def test_minimal_perfect_hash():
         assert sorted(T.find_slots(keys, sizes, bits).tolist()) == list(range(len(keys)))
 
 
+def test_keys_that_share_a_value_are_told_apart():
+    keys = np.stack([np.arange(5000) // 50, np.arange(5000) % 50], axis=1).astype(np.uint64)
+    sizes, bits = T.build_hash(keys)
+    assert sorted(T.find_slots(keys, sizes, bits).tolist()) == list(range(5000))
+
+
+def test_shards_follow_the_size_of_the_corpus():
+    assert T.shard_count(0, 200) == 1 and T.shard_count(10 << 20, 200) == 3
+    assert T.shard_count(1 << 30, 8) == 8 and T.shard_count(1 << 40, 8) == 2048
+
+
+def test_cluster_paths_are_understood():
+    assert T.file_system("file:/tmp/x")[1] == "/tmp/x"
+
+
 def test_unknown_keys_are_not_found(spark):
     path = T.scratch_path(spark, "test-shards")
     manifest = T.write_shards(documents(spark, [(i, f"text {i}") for i in range(500)]), path)

@@ -37,25 +37,19 @@ ROLES = {"system": "System", "user": "User", "assistant": "Assistant"}
 START, END = "###", "</turn>"
 _NAMES = {v: k for k, v in ROLES.items()}
 _TURN = re.compile(rf"{START} (\S*):\n(.*?)\n{END}\n", re.S)
+_MARK, _ESCAPED = re.compile(rf"{START}|{END}"), re.compile(rf"\\({START}|{END})")
 #: Characters after which a part ends with the turn.
 PART_CHARS = 200_000
 
 
 def escape(text: str) -> str:
-    """One more backslash before each run of backslashes (or none) that a mark follows."""
-    out, at = [], 0
-    for m in re.finditer(r"\\*(?:###|</turn>)", text):
-        out += [text[at:m.start()], "\\", m[0]]
-        at = m.end()
-    return "".join(out) + text[at:]
+    """One more backslash before each mark (and so in a run of backslashes before it)."""
+    return _MARK.sub(r"\\\g<0>", text)
 
 
 def unescape(text: str) -> str:
-    out, at = [], 0
-    for m in re.finditer(r"\\+(?:###|</turn>)", text):
-        out += [text[at:m.start()], m[0][1:]]
-        at = m.end()
-    return "".join(out) + text[at:]
+    """One backslash less before each mark that has one."""
+    return _ESCAPED.sub(r"\g<1>", text)
 
 
 def label(role: str) -> str:
@@ -119,7 +113,6 @@ def format_chats(conversations: DataFrame, vocabulary: str | None = None) -> Dat
     rows = conversations.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     key = ["conv_id", "turn", "role", "text"]
     rows = rows.repartitionByRange("conv_id", "turn", F.xxhash64("role", "text")).sortWithinPartitions(*key)
-    kinds = dict(rows.dtypes)
 
     def lists(parts, kind):
         ends = np.concatenate([[0], np.cumsum([len(x) for x in parts])]).astype(np.int32)

@@ -31,6 +31,7 @@ input's files are split; with the same splits reruns agree.
 
 from __future__ import annotations
 
+import gc
 import re
 import zlib
 from functools import lru_cache
@@ -52,7 +53,7 @@ SIZE = 2048
 #: Empty tokens that a sequence of equal pieces may have for them to stay whole.
 SLACK = 24
 #: Parts of texts, and pieces of parts, whose ids a process keeps.
-CACHE, PIECE_CACHE = 200_000, 500_000
+CACHE, PIECE_CACHE = 300_000, 500_000
 #: The pattern of the vocabulary's pre-tokenizer (fixed values).
 _PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 #: A word of plain letters and the signs after it (no apostrophe): two pieces.
@@ -100,6 +101,7 @@ class Words(dict):
             raise ValueError("ids of this vocabulary need more than 16 bits")
         self.pieces = Pieces(self.tokenizer.model)
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.signs = {a[0] for a in self.added}
 
     def __missing__(self, part: bytes) -> bytes:
         plain = _PLAIN.fullmatch(part)
@@ -110,7 +112,7 @@ class Words(dict):
                 found += self.pieces[signs]
         else:
             text = part.decode()
-            if _LATIN.fullmatch(text) and not any(a in text for a in self.added):
+            if _LATIN.fullmatch(text) and (self.signs.isdisjoint(text) or not any(a in text for a in self.added)):
                 found = b"".join([self.pieces[x.encode()] for x in _PIECES.findall(text.lower())])
             else:
                 found = np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
@@ -163,39 +165,47 @@ def _fill(docs: DataFrame, size: int, slack: int, vocabulary: str, id_col: str)
         task = TaskContext.get().partitionId()
         open_: dict[int, list] = {}
         done = 0
-        for whole in batches:
-            for batch in slices(whole, "text"):
-                full = []
-                for i, text in zip(batch.column("doc_id").to_pylist(), as_bytes(batch.column("text"))):
-                    ids = encode(text) + end
-                    n, start = len(ids) // 2, 0
-                    for r in lengths(n, size, slack):
-                        k = size // r
-                        bin_ = open_.setdefault(k, [])
-                        bin_.append((i, start, r, n, ids[2 * start:2 * (start + r)]))
-                        start += r
-                        if len(bin_) == k:
-                            full.append(_row((task << 33) + done, bin_, size))
-                            done += 1
-                            open_[k] = []
-                yield pa.RecordBatch.from_pylist(full, schema=PACKED)
-        rest = []
-        for k, bin_ in sorted(open_.items()):
-            for number, (i, start, r, n, ids) in enumerate(bin_):
-                piece = {"doc_id": i, "start": start, "length": r, "doc_tokens": n, "offset": None}
-                rest.append({"sequence_id": None, "ids": ids, "pieces": [piece], "class": k, "task": task, "number": number})
-        yield pa.RecordBatch.from_pylist(rest, schema=PACKED)
+        gc.disable()  # millions of short-lived lists without cycles
+        try:
+            for whole in batches:
+                for batch in slices(whole, "text"):
+                    full = []
+                    for i, text in zip(batch.column("doc_id").to_pylist(), as_bytes(batch.column("text"))):
+                        ids = encode(text) + end
+                        n, start = len(ids) // 2, 0
+                        for r in lengths(n, size, slack):
+                            k = size // r
+                            bin_ = open_.setdefault(k, [])
+                            bin_.append((i, start, r, n, ids[2 * start:2 * (start + r)]))
+                            start += r
+                            if len(bin_) == k:
+                                full.append(((task << 33) + done, bin_, None, None, None))
+                                done += 1
+                                open_[k] = []
+                    yield _rows(full, size)
+            yield _rows([(None, [piece], k, task, number) for k, bin_ in sorted(open_.items()) for number, piece in enumerate(bin_)], size)
+        finally:
+            gc.enable()
 
     return rows.mapInArrow(fill, PACKED_SQL)
 
 
-def _row(sequence: int, pieces, size: int) -> dict:
-    """A sequence of (doc_id, start, length, doc_tokens, ids) pieces."""
-    out, offset = [], 0
-    for i, start, r, n, _ in pieces:
-        out.append({"doc_id": i, "start": start, "length": r, "doc_tokens": n, "offset": offset})
-        offset += r
-    return {"sequence_id": sequence, "ids": padded(b"".join(p[4] for p in pieces), size), "pieces": out}
+def _rows(found: list, size: int) -> pa.RecordBatch:
+    """Rows (sequence, pieces, class, task, number); a piece is (doc_id, start,
+    length, doc_tokens, ids).  Ids of a numbered sequence are padded."""
+    flat = [p for row in found for p in row[1]]
+    ends = np.cumsum([0, *(len(row[1]) for row in found)])
+    length = np.asarray([p[2] for p in flat], np.int64)
+    before = np.concatenate([[0], np.cumsum(length)])[:-1]
+    offset = before - np.repeat(before[ends[:-1]] if len(flat) else before[:0], np.diff(ends))
+    ids = [b"".join(p[4] for p in row[1]) for row in found]
+    pieces = pa.StructArray.from_arrays([pa.array([p[0] for p in flat], pa.int64()), pa.array([p[1] for p in flat], pa.int64()), pa.array(length),
+                                         pa.array([p[3] for p in flat], pa.int64()), pa.array(offset)], fields=list(PIECE))
+    return pa.RecordBatch.from_arrays(
+        [pa.array([row[0] for row in found], pa.int64()),
+         pa.array([x if row[0] is None else padded(x, size) for row, x in zip(found, ids)], pa.binary()),
+         pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pieces),
+         *[pa.array([row[c] for row in found], kind) for c, kind in ((2, pa.int32()), (3, pa.int32()), (4, pa.int64()))]], schema=PACKED)
 
 
 def _line_up(pieces: list, size: int):
@@ -240,11 +250,9 @@ def pack(docs: DataFrame, id_col: str = "doc_id", size: int = SIZE, slack: int =
         pieces = [(p["doc_id"], p["start"], p["length"], p["doc_tokens"], ids)
                   for p, ids in zip(part.column("piece").to_pylist(), part.column("ids").to_pylist())]
         first = key[0].as_py()
-        if first == line_from:
-            found = [_row(first + j, row, size) for j, row in enumerate(_line_up(pieces, size))]
-        else:
-            found = [_row(first, pieces, size)]
-        return pa.Table.from_pylist(found, schema=pa.schema([PACKED.field(c) for c in ("sequence_id", "ids", "pieces")]))
+        rows = enumerate(_line_up(pieces, size)) if first == line_from else [(0, pieces)]
+        found = _rows([(first + j, row, None, None, None) for j, row in rows], size)
+        return pa.Table.from_batches([found]).select(["sequence_id", "ids", "pieces"])
 
     sequence = F.when(F.col("over"), F.lit(line_from)).otherwise(
         F.lit(merged_from) + (F.col("class").cast("long") * (1 << 44)) + F.col("bin"))
@@ -258,14 +266,19 @@ def pieces(sequences: DataFrame) -> DataFrame:
 
     def unpack(batches):
         for batch in batches:
-            out = []
-            for sequence, ids, held in zip(batch.column("sequence_id").to_pylist(), batch.column("ids").to_pylist(),
-                                           batch.column("pieces").to_pylist()):
-                wide = np.frombuffer(ids, "<u2").astype("<u4")
-                for p in held:
-                    own = wide[p["offset"]:p["offset"] + p["length"]]
-                    out.append(p | {"sequence_id": sequence, "ids_crc32": zlib.crc32(own)})
-            yield pa.RecordBatch.from_pylist(out, schema=schema)
+            lists = batch.column("pieces")
+            held, counts = lists.flatten(), lists.value_lengths().to_numpy(zero_copy_only=False)
+            own = {f.name: held.field(i) for i, f in enumerate(held.type)}
+            offset, length = own["offset"].to_numpy().tolist(), own["length"].to_numpy().tolist()
+            crc, at = [], 0
+            for ids, n in zip(batch.column("ids").to_pylist(), counts.tolist()):
+                wide = memoryview(np.frombuffer(ids, "<u2").astype("<u4")).cast("B")
+                for p in range(at, at + n):
+                    crc.append(zlib.crc32(wide[4 * offset[p]:4 * (offset[p] + length[p])]))
+                at += n
+            own["ids_crc32"] = pa.array(crc, pa.int64())
+            own["sequence_id"] = pa.array(np.repeat(batch.column("sequence_id").to_numpy(), counts))
+            yield pa.RecordBatch.from_arrays([own[c] for c in schema.names], schema=schema)
 
     schema = pa.schema([(c, pa.int64()) for c in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")])
     return sequences.mapInArrow(unpack, ", ".join(f"{c} long" for c in schema.names))

@@ -40,6 +40,8 @@ MAGIC = b"TLTOKEN\x01"
 HEADER = 16
 END = 0
 BUCKET_KEYS = 50_000
+#: Bytes of text that a shard holds about, at least and at most.
+SHARD_LEAST, SHARD_MOST = 4 << 20, 512 << 20
 #: Bits per key of a level.
 ROOM = 2
 LEVELS = 64
@@ -48,7 +50,13 @@ LEVELS = 64
 def file_system(path: str):
     """The file system of a path in the cluster's notation, and the path in it."""
     from pyarrow import fs
-    return fs.FileSystem.from_uri(re.sub("^file:/+", "file:///", path))
+    return fs.FileSystem.from_uri(re.sub("^s3[an]:", "s3:", re.sub("^file:/+", "file:///", path)))
+
+
+def shard_count(size: int, wanted: int) -> int:
+    """Shards of a corpus of ``size`` bytes of text: ``wanted``, unless they
+    would hold more or less than they should."""
+    return max(1, min(max(wanted, -(-size // SHARD_MOST)), -(-size // SHARD_LEAST)))
 
 
 def shard_name(shard: int) -> str:
@@ -60,8 +68,8 @@ def write_shards(docs: DataFrame, path: str, id_col: str = "doc_id", vocabulary:
     n_tokens) for each, written beside the shards."""
     vocabulary = vocabulary or vocabulary_path()
     spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    parts = shard_count(rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0, int(spark.conf.get("spark.sql.shuffle.partitions")))
     rows = rows.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
 
     def write(batches):
@@ -105,8 +113,8 @@ def write_shards(docs: DataFrame, path: str, id_col: str = "doc_id", vocabulary:
 
 
 def build_hash(keys: np.ndarray) -> tuple[list[int], np.ndarray]:
-    """A minimal perfect hash of distinct 64-bit keys: the sizes of its levels
-    and all their bits."""
+    """A minimal perfect hash of distinct keys (a row of 64-bit values each, or
+    one value): the sizes of its levels and all their bits."""
     sizes, bits = [], []
     rest = keys
     for level in range(LEVELS):
@@ -119,13 +127,21 @@ def build_hash(keys: np.ndarray) -> tuple[list[int], np.ndarray]:
         bits.append(alone)
         rest = rest[~alone[at]]
     if len(rest):
-        raise ValueError("two keys have the same hash")
+        raise ValueError("a key is there twice")
     return sizes, np.concatenate(bits) if bits else np.zeros(0, bool)
 
 
+def _folded(keys: np.ndarray, salt: int) -> np.ndarray:
+    """A 64-bit hash of each key under a salt."""
+    salt = np.uint64(salt & (1 << 64) - 1)
+    out = np.full(len(keys), salt)
+    for value in keys.reshape(len(keys), -1).T:
+        out = mix(out + value)
+    return out
+
+
 def _spot(keys: np.ndarray, level: int, size: int) -> np.ndarray:
-    salt = np.uint64((level + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
-    return (mix(keys + salt) % np.uint64(size)).astype(np.int64)
+    return (_folded(keys, (level + 1) * 0x9E3779B97F4A7C15) % np.uint64(size)).astype(np.int64)
 
 
 def find_slots(keys: np.ndarray, sizes: list[int], bits: np.ndarray) -> np.ndarray:
@@ -142,12 +158,18 @@ def find_slots(keys: np.ndarray, sizes: list[int], bits: np.ndarray) -> np.ndarr
 
 
 def _fingerprint(keys: np.ndarray) -> np.ndarray:
-    return (mix(keys ^ np.uint64(0xA0761D6478BD642F)) >> np.uint64(32)).astype("<u4")
+    return (_folded(keys, 0xA0761D6478BD642F) >> np.uint64(32)).astype("<u4")
 
 
 def _keyed(rows: DataFrame, buckets: int) -> DataFrame:
-    key = F.xxhash64("doc_id", "number")
-    return rows.withColumn("key", key).withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(buckets)).cast("int"))
+    """Rows with their bucket; the key is the id and the number themselves
+    (the number's lowest bit marks a null id), so no two keys are alike."""
+    rows = rows.withColumn("key", F.coalesce("doc_id", F.lit(0))).withColumn("key2", F.col("number") * 2 + F.col("doc_id").isNull().cast("long"))
+    return rows.withColumn("bucket", F.pmod(F.xxhash64("key", "key2"), F.lit(buckets)).cast("int"))
+
+
+def _keys(part: pa.Table) -> np.ndarray:
+    return np.stack([part.column(c).to_numpy() for c in ("key", "key2")], axis=1).view(np.uint64)
 
 
 def build_index(manifest: DataFrame, bucket_keys: int = BUCKET_KEYS) -> tuple[DataFrame, int]:
@@ -158,7 +180,7 @@ def build_index(manifest: DataFrame, bucket_keys: int = BUCKET_KEYS) -> tuple[Da
 
     def build(batches):
         for bucket, part in grouped(batches, "bucket"):
-            keys = part.column("key").to_numpy().view(np.uint64)
+            keys = _keys(part)
             sizes, bits = build_hash(keys)
             order = np.argsort(find_slots(keys, sizes, bits))
             shard, offset, count = (part.column(c).to_numpy()[order] for c in ("shard", "offset", "n_tokens"))
@@ -169,7 +191,7 @@ def build_index(manifest: DataFrame, bucket_keys: int = BUCKET_KEYS) -> tuple[Da
                 "shards": [shard.astype("<u4").tobytes()], "offsets": [offset.astype("<u8").tobytes()],
                 "counts": [count.astype("<u8").tobytes()], "starts": [start.astype("<u8").tobytes()]})
 
-    rows = _keyed(manifest, buckets).select("bucket", "key", "shard", "offset", "n_tokens").repartition("bucket").sortWithinPartitions("bucket")
+    rows = _keyed(manifest, buckets).select("bucket", "key", "key2", "shard", "offset", "n_tokens").repartition("bucket").sortWithinPartitions("bucket")
     return written(rows.mapInArrow(build, "bucket int, sizes array<long>, bits binary, fingerprints binary, shards binary, "
                                           "offsets binary, counts binary, starts binary"), "index"), buckets
 
@@ -185,7 +207,7 @@ def look_up(keys: DataFrame, index: DataFrame, buckets: int) -> DataFrame:
             return pa.table({"doc_id": pa.array([], pa.int64()), "number": pa.array([], pa.int64()), **{c: pa.array([], k) for c, (_, _, k) in cols.items()}})
         row = held.slice(0, 1).to_pylist()[0]
         bits = np.unpackbits(np.frombuffer(row["bits"], np.uint8))[:sum(row["sizes"])].astype(bool)
-        key = wanted.column("key").to_numpy().view(np.uint64)
+        key = _keys(wanted)
         slot = find_slots(key, row["sizes"], bits)
         stored = np.frombuffer(row["fingerprints"], "<u4")
         good = np.flatnonzero((slot >= 0) & (stored[slot] == _fingerprint(key)))
@@ -194,7 +216,7 @@ def look_up(keys: DataFrame, index: DataFrame, buckets: int) -> DataFrame:
         return pa.table({"doc_id": wanted.column("doc_id").take(take), "number": wanted.column("number").take(take),
                          **{c: pa.array(np.frombuffer(row[name], kind)[slot].astype(np.int64)).cast(out) for c, (name, kind, out) in cols.items()}})
 
-    wanted = _keyed(keys, buckets).select("bucket", "key", "doc_id", "number")
+    wanted = _keyed(keys, buckets).select("bucket", "key", "key2", "doc_id", "number")
     return (wanted.groupBy("bucket").cogroup(index.groupBy("bucket"))
             .applyInArrow(find, "doc_id long, number long, shard int, offset long, n_tokens long, start long"))
 
