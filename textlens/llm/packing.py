@@ -228,7 +228,7 @@ def _line_up(pieces: list, size: int):
 
 def pack(docs: DataFrame, id_col: str = "doc_id", size: int = SIZE, slack: int = SLACK, vocabulary: str | None = None) -> DataFrame:
     """All documents as sequences: (sequence_id, ids, pieces), written in the
-    shared folder but for those put together from the tasks' last pieces."""
+    shared folder."""
     if size & (size - 1):
         raise ValueError("the size of a sequence is a power of two")
     filled = written(_fill(docs, size, slack, vocabulary or vocabulary_path(VOCABULARY), id_col), "sequences")
@@ -256,8 +256,8 @@ def pack(docs: DataFrame, id_col: str = "doc_id", size: int = SIZE, slack: int =
 
     sequence = F.when(F.col("over"), F.lit(line_from)).otherwise(
         F.lit(merged_from) + (F.col("class").cast("long") * (1 << 44)) + F.col("bin"))
-    merged = (placed.withColumn("sequence", sequence).groupBy("sequence")
-              .applyInArrow(gather, f"sequence_id long, ids binary, pieces array<{PIECE_SQL}>"))
+    merged = written(placed.withColumn("sequence", sequence).groupBy("sequence")
+                     .applyInArrow(gather, f"sequence_id long, ids binary, pieces array<{PIECE_SQL}>"), "merged")
     return filled.where("sequence_id IS NOT NULL").select("sequence_id", "ids", "pieces").unionByName(merged)
 
 
