@@ -66,3 +66,17 @@ def test_query(spark):
         want = P1 if r["page_id"] is None else CASES[r["page_id"]][1]
         assert r["text"] == want and r["n_chars"] == len(want)
     assert H.extract(pages.limit(0)).count() == 0
+
+
+GRID = "<a href=/1>Another story of the day</a><a href=/2>And one more of them</a><a href=/3>A third one to read</a>"
+
+
+@pytest.mark.parametrize("html,text", [
+    (f"<main><article><p>{P1}</p><p>{P2}</p></article><div class=tiles>{GRID}</div></main>", f"{P1}\n\n{P2}"),
+    (f"<main><div class=tiles>{GRID}</div><p>{P1}</p><p>{P2}</p></main>", f"{P1}\n\n{P2}"),
+    (f"<main><div><section><p>{P1}</p><p>{P2}</p></section><ul><li><a href=/1>One of the pages</a><li><a href=/2>Other one</a></ul></div><p>end</p></main>",
+     f"{P1}\n\n{P2}\n\nend"),
+    (f"<article><p>{P1}</p><p><a href=/x>A paragraph</a> <a href=/y>of two links stays</a></p><div><a href=/z>one link stays</a></div></article>",
+     f"{P1}\n\nA paragraph of two links stays\n\none link stays")])
+def test_parts_of_links_inside_the_widened_element_go(html, text):
+    assert H.main_text(html) == text

@@ -8,11 +8,15 @@ if they read like it: mostly links, or without a paragraph.  Each paragraph's po
 commas and for its length, are passed to its ancestors, less with each level;
 a container's total is discounted by the share of its text that lies in
 links.  The best container is kept, widened to the ``article`` or ``main``
-element it lies in, and else joined by those of its siblings that score or
-read like it.  Their blocks make up the text, in page order.
+element it lies in, of whose other parts those that read like menus (several
+links with most of the text) go, and else joined by those of its siblings that
+score or read like it.  Their blocks make up the text, in page order.
 
 Null, empty and textless pages give an empty text.  Broken markup is read as
-far as it goes; an unclosed comment, script or style hides the rest.
+far as it goes; an unclosed comment, script or style hides the rest.  Of
+containers with the same worth the first is the best.  Pages are read whole,
+in time that grows with their length; equal pages give equal rows, a repeated
+id a row each time, an empty table none.  Only the three columns are read.
 """
 
 from __future__ import annotations
@@ -261,6 +265,33 @@ def worth(node: Node) -> float:
     return node.score * (1 - node.linked / node.length) if node.length else 0.0
 
 
+def reads_like_menu(node: Node) -> bool:
+    """A part of several links that hold most of its text."""
+    if node.length == 0 or node.linked < MOST_LINKED * node.length:
+        return False
+    links, todo = 0, [node]
+    while todo:
+        x = todo.pop()
+        links += x.tag == "a"
+        todo += [c for c in x.children if isinstance(c, Node) and not c.dropped]
+    return links > 1
+
+
+def drop_menus(whole: Node, best: Node) -> None:
+    """Judge what the widened element adds to the best container: parts beside
+    the way from one to the other (and parts of the element itself, where it is
+    the best) go if they read like a menu; paragraphs and headings stay."""
+    on_way, x = [], best
+    while x is not whole:
+        on_way.append(x)
+        x = x.parent
+    for parent in [*on_way[1:], whole]:
+        for child in parent.children:
+            if (isinstance(child, Node) and not child.dropped and child is not best and child not in on_way
+                    and child.tag not in INLINE and child.tag not in PARAGRAPHS and child.tag not in HEADINGS and reads_like_menu(child)):
+                child.dropped = True
+
+
 def kept_nodes(nodes: list[Node]) -> list[Node]:
     """The best container, or it and the siblings that belong to it."""
     best = max((n for n in nodes if not n.dropped and n.tag not in INLINE), key=worth, default=None)
@@ -272,6 +303,7 @@ def kept_nodes(nodes: list[Node]) -> list[Node]:
         while x is not None and x.tag != wanted:
             x = x.parent
         if x is not None:
+            drop_menus(x, best)
             return [x]
     if best.parent is None:
         return [best]
