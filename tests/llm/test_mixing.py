@@ -100,3 +100,13 @@ def test_rows_without_words_are_not_gathered(spark, monkeypatch):
     rows = M.taken(M.plan_mix(docs)).collect()
     assert len(rows) == 60 and all(r["taken"] == 0 for r in rows if r["size"] == 0)
     assert re.search(r"size#\d+L? > 0", plans[0])
+
+
+def test_shards_follow_the_words(docs, monkeypatch):
+    assert M.plan_mix(docs).shards == M.LEAST_SHARDS
+    monkeypatch.setattr(M, "SHARD_WORDS", 100)
+    monkeypatch.setattr(M, "BLOCKS", 2)  # fewer blocks than sources: the draws are joined without a broadcast
+    mix = M.plan_mix(docs)
+    words = docs.select(F.sum(M.size_of(F.col("text")))).first()[0]
+    assert mix.shards == -(-words // 100) > M.LEAST_SHARDS and not mix.few
+    assert sum(r["taken"] for r in M.taken(mix).collect()) > 0.9 * words

@@ -92,4 +92,4 @@ def test_empty_documents(spark, folder):
 def test_entry_registers_each_operator():
     import __spark_entry__ as entry
     names = list(entry.queries())
-    assert {n.split("_")[0] for n in names if re.match(r"op\d+_", n)} == {f"op{k}" for k in range(1, 11)} and "pipeline" in names
+    assert {n.split("_")[0] for n in names if re.match(r"op\d+_", n)} == {f"op{k}" for k in range(1, 14)} and "pipeline" in names

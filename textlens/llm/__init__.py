@@ -1,4 +1,4 @@
-"""Training-data operators: ten corpus operators and their queries.
+"""Training-data operators: thirteen corpus operators and their queries.
 
 Nothing else in the library imports this package; ``queries()`` and
 ``oracle_sql()`` are merged by ``__spark_entry__.py`` when it is present.

@@ -17,8 +17,10 @@ vector is its shard's exact quota per source.  A shard takes the next draws of
 each source's permuted order, so draws are disjoint, and orders its documents
 by a hash.  All random choices come from a seed: reruns agree.
 
-There are at most ``BLOCKS`` blocks and one for each source; only sources,
-blocks and draws reach the driver, and they are what is broadcast.  Null texts
+There are at most ``BLOCKS`` blocks and one for each source.  Sources, blocks and
+draws reach the driver (a row each); rows meet their source and their draws in
+joins, which are broadcast only while there are no more sources than blocks.
+Output shards are as many as the words ask for.  Null texts
 have size 0; equal rows (same id and text) are drawn together, so their sizes
 add up; a source without words has target 0.
 """
@@ -38,7 +40,8 @@ WEIGHTS = (5, 2, 1)
 MOST = 3
 BLOCKS = 16_384
 BLOCK_WORDS = 50_000
-SHARDS = 32
+#: Output shards: LEAST_SHARDS, or more where one would hold over SHARD_WORDS.
+LEAST_SHARDS, SHARD_WORDS = 32, 20_000_000
 SEED = 20_240_607
 
 
@@ -93,35 +96,43 @@ def split_tree(quota: np.ndarray, room: np.ndarray, seed: int) -> np.ndarray:
 class Mix:
     """What to draw: block draws, and the units taken of partly drawn blocks."""
 
-    units: DataFrame  # source, unit, doc_id, size, block
-    targets: dict[str | None, float]
-    sizes: dict[str | None, int]
-    blocks: dict[str | None, int]
-    draws: DataFrame  # s (place of the source), block, pass, shard, part
+    units: DataFrame  # source, unit, doc_id, size, s, block
+    sources: DataFrame  # source, s (its place), source_size, target, blocks
+    shards: int
+    draws: DataFrame  # s, block, pass, shard, part
     chosen: DataFrame  # s, unit: what is taken of the blocks drawn in part
+    few: bool  # no more sources than blocks: the draws may be broadcast
 
+    def sent(self, draws: DataFrame) -> DataFrame:
+        return F.broadcast(draws) if self.few else draws
 
-def _place(source: Column, order: list[str | None]) -> Column:
-    """The place of a source in the order, by a map that the plan carries."""
-    names = [s for s in order if s is not None]
-    found = F.lit(None).cast("int")
-    if names:
-        pairs = [F.lit(x) for i, s in enumerate(names) for x in (s, i)]
-        found = F.element_at(F.create_map(*pairs), source)
-    return F.when(source.isNull(), F.lit(len(names))).otherwise(found).cast("int")
 
+def _with_source(rows: DataFrame, sources: DataFrame, names: dict[str, str]) -> DataFrame:
+    """Rows joined to their source's row, whose columns take ``names``; Spark
+    broadcasts the table of sources by its size or shuffles."""
+    key = free_name(rows, "_source")
+    return (rows.join(sources.select(F.col("source").alias(key), *[F.col(c).alias(n) for c, n in names.items()]),
+                      F.col("source").eqNullSafe(F.col(key))).drop(key))
 
-def plan_mix(docs: DataFrame, id_col: str = "doc_id", shards: int = SHARDS, seed: int = SEED) -> Mix:
+
+def _block(s: Column, unit: Column, blocks: Column) -> Column:
+    return F.pmod(F.xxhash64(unit, s), blocks).cast("int")
+
+
+def plan_mix(docs: DataFrame, id_col: str = "doc_id", shards: int | None = None, seed: int = SEED) -> Mix:
+    """``shards``: output shards; none: by the words of all documents."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("doc_id"), "source", unit_of(id_col).alias("unit"), size_of(F.col("text")).alias("size"))
     rows = written(rows, "sizes")
     sizes = {r["source"]: r["n"] for r in rows.groupBy("source").agg(F.sum("size").alias("n")).collect()}
     targets = source_targets(sizes)
     order = list(targets)
+    shards = shards or max(LEAST_SHARDS, -(-sum(sizes.values()) // SHARD_WORDS))
     block_words = max(BLOCK_WORDS, sum(sizes.values()) / BLOCKS)
-    blocks = {s: max(1, int(sizes[s] // block_words)) for s in order}
-    placed = rows.withColumn("s", _place(F.col("source"), order))
-    placed = placed.withColumn("block", _block(F.col("s"), F.col("unit"), order, blocks))
+    sources = spark.createDataFrame([(s, i, sizes[s], targets[s], max(1, int(sizes[s] // block_words))) for i, s in enumerate(order)],
+                                    "source string, s int, source_size long, target double, blocks int")
+    placed = _with_source(rows, sources, {"s": "s", "blocks": "blocks"}).withColumn("block", _block(F.col("s"), F.col("unit"), F.col("blocks")))
+    placed = placed.drop("blocks")
     words = placed.groupBy("s", "block").agg(F.sum("size").alias("n")).collect()
     of: dict[int, dict[int, int]] = {i: {} for i in range(len(order))}
     for r in words:
@@ -164,51 +175,40 @@ def plan_mix(docs: DataFrame, id_col: str = "doc_id", shards: int = SHARDS, seed
                 take.append(int(k))
         return pa.table({"s": found.column("s").take(pa.array(take, pa.int64())), "unit": pa.array(unit[np.asarray(take, np.int64)], pa.int64())})
 
+    few = len(order) <= BLOCKS
     partly = draws.where(F.col("part").isNotNull()).select("s", "block", "part")
-    chosen = (placed.where("size > 0").join(F.broadcast(partly), ["s", "block"])  # rows without words are never taken
+    chosen = (placed.where("size > 0").join(F.broadcast(partly) if few else partly, ["s", "block"])  # rows without words are never taken
               .groupBy("s", "block", "part", "unit").agg(F.sum("size").alias("size"))
               .withColumn("turn", F.xxhash64("unit", F.lit(seed + 1)))
               .groupBy("s", "block").applyInArrow(fit, "s int, unit long"))
-    return Mix(placed, targets, sizes, blocks, draws, written(chosen, "chosen"))
-
-
-def _block(s: Column, unit: Column, order: list, blocks: dict) -> Column:
-    count = F.element_at(F.array(*[F.lit(blocks[x]) for x in order]), s + 1) if order else F.lit(1)
-    return F.pmod(F.xxhash64(unit, s), count).cast("int")
+    return Mix(placed, sources, shards, draws, written(chosen, "chosen"), few)
 
 
 def taken(mix: Mix) -> DataFrame:
     """(doc_id, size, source_size, target, taken) for each row."""
-    order = list(mix.targets)
     whole = mix.draws.where(F.col("part").isNull()).groupBy("s", "block").agg(F.count("*").alias("times"))
-    found = mix.units.join(F.broadcast(whole), ["s", "block"], "left")
+    found = mix.units.join(mix.sent(whole), ["s", "block"], "left")
     found = found.join(mix.chosen.select(F.col("s"), F.col("unit"), F.lit(1).alias("once")), ["s", "unit"], "left")
-    if not order:
-        return found.select("doc_id", "size", F.lit(0).cast("long").alias("source_size"), F.lit(0.0).alias("target"), F.lit(0).cast("long").alias("taken"))
-    at = F.col("s") + 1
+    found = found.join(mix.sources.select("s", "source_size", "target"), "s")
     return found.select(
-        "doc_id", "size", F.element_at(F.array(*[F.lit(mix.sizes[s]).cast("long") for s in order]), at).alias("source_size"),
-        F.element_at(F.array(*[F.lit(mix.targets[s]).cast("double") for s in order]), at).alias("target"),
+        "doc_id", "size", "source_size", "target",
         (F.col("size") * (F.coalesce("times", F.lit(0)) + F.coalesce("once", F.lit(0)))).cast("long").alias("taken"))
 
 
-def mixed(docs: DataFrame, id_col: str = "doc_id", shards: int = SHARDS, seed: int = SEED) -> DataFrame:
+def mixed(docs: DataFrame, id_col: str = "doc_id", shards: int | None = None, seed: int = SEED) -> DataFrame:
     """The mixture: the rows of ``docs``, each as often as it is drawn, dealt to
     the output shards (one partition each) and shuffled inside of them."""
     mix = plan_mix(docs, id_col, shards, seed)
-    order = list(mix.targets)
-    if not order:
-        return docs
-    names = {c: free_name(docs, f"_{c}") for c in ("s", "unit", "block", "draw")}
-    s, unit, block, draw = (names[c] for c in ("s", "unit", "block", "draw"))
-    rows = docs.withColumn(s, _place(F.col("source"), order)).withColumn(unit, unit_of(id_col))
-    rows = rows.withColumn(block, _block(F.col(s), F.col(unit), order, mix.blocks))
+    names = {c: free_name(docs, f"_{c}") for c in ("s", "unit", "block", "draw", "blocks")}
+    s, unit, block, draw, blocks = (names[c] for c in ("s", "unit", "block", "draw", "blocks"))
+    rows = _with_source(docs, mix.sources, {"s": s, "blocks": blocks}).withColumn(unit, unit_of(id_col))
+    rows = rows.withColumn(block, _block(F.col(s), F.col(unit), F.col(blocks)))
     plan = mix.draws.select(F.col("s").alias(s), F.col("block").alias(block), F.struct("pass", "shard", "part").alias(draw))
-    rows = rows.join(F.broadcast(plan), [s, block])
+    rows = rows.join(mix.sent(plan), [s, block])
     whole = rows.where(F.col(f"{draw}.part").isNull())
     part = rows.where(F.col(f"{draw}.part").isNotNull()).join(mix.chosen.select(F.col("s").alias(s), F.col("unit").alias(unit)), [s, unit], "left_semi")
     every = whole.unionByName(part)
-    return (every.repartitionById(shards, F.col(f"{draw}.shard"))
+    return (every.repartitionById(mix.shards, F.col(f"{draw}.shard"))
             .sortWithinPartitions(F.xxhash64(F.col(unit), F.col(f"{draw}.pass"), F.lit(seed)))
             .select(*[F.col(f"`{c}`") for c in docs.columns]))
 
