@@ -46,18 +46,6 @@ def test_doc_mean_in_vocabulary_only(spark):
     assert got == {1: [1.0, 3.0], 2: [0.0, 0.0]}
 
 
-def test_lda_distribution_sums_to_one(spark):
-    from textlens.operators import topics as TP
-    docs = spark.createDataFrame([(i, ["a", "b", "c"] if i % 2 else ["d", "e", "a"]) for i in range(20)],
-                                 "row_id long, toks array<string>")
-    vocab = ["a", "b", "c", "d", "e"]
-    feats = TP.vectorizer(vocab, "toks").transform(docs)
-    m = TP.lda_estimator(2, 20, passes=2, alpha="asymmetric", eta=0.91).fit(feats)
-    d = TP.topic_distribution(m.transform(feats))
-    sums = [r[0] for r in d.select(F.aggregate("LDAtotal", F.lit(0.0), lambda a, x: a + x["prob"])).collect()]
-    assert all(abs(s - 1) < 1e-6 for s in sums)
-
-
 def test_roc_curve_drops_collinear_points(spark):
     import numpy as np
     rng = np.random.default_rng(3)

@@ -49,13 +49,32 @@ def test_window_counts_against_all_windows(spark):
         assert {(r["a"], r["b"]): r["n"] for r in TP.window_counts(df, "toks", top, window).collect()} == want
 
 
-def test_declared_passes_leave_no_document_out(spark):
-    n = 60
-    vocab = [f"w{i}" for i in range(n)]
-    docs = spark.createDataFrame([(i, [f"w{i}"] * 5) for i in range(n)], "row_id long, toks array<string>")
-    feats = TP.vectorizer(vocab, "toks").transform(docs).cache()
-    est = TP.lda_estimator(2, n, passes=50, chunk=20, seed=1)
-    assert est.getMaxIter() == 150 and abs(est.getSubsamplingRate() - 1 / 3) < 1e-12
-    m = est.fit(feats).topicsMatrix().toArray().sum(axis=1)
-    # a word that no drawn document holds stays at the level of the prior
-    assert m.min() > 0.2 * m.mean()
+def test_topic_map_keeps_the_distances(spark):
+    import math
+
+    import numpy as np
+    rng = random.Random(2)
+    weights = {t: {f"w{i}": rng.random() for i in range(t, t + 6)} for t in range(4)} | {9: {"alone": 3.0}}
+    df = spark.createDataFrame([(t, w, x) for t, ws in weights.items() for w, x in ws.items()], "topic int, term string, weight double")
+    share = {t: {w: x / sum(ws.values()) for w, x in ws.items()} for t, ws in weights.items()}
+
+    def jsd(a, b):
+        out = 0.0
+        for w in share[a] | share[b]:
+            p, q = share[a].get(w, 0), share[b].get(w, 0)
+            out += sum(0.5 * v * math.log(2 * v / (p + q)) for v in (p, q) if v)
+        return out
+
+    got = {(r["a"], r["b"]): r["distance"] for r in TP.topic_distances(df).collect()}
+    assert set(got) == {(a, b) for a in weights for b in weights if a < b}
+    assert all(abs(got[a, b] - jsd(a, b)) < 1e-12 for a, b in got)
+    assert abs(got[0, 9] - math.log(2)) < 1e-12
+    spots = {r["topic"]: r for r in TP.topic_map(df).collect()}
+    whole = sum(x for ws in weights.values() for x in ws.values())
+    assert all(abs(spots[t]["share"] - sum(ws.values()) / whole) < 1e-12 for t, ws in weights.items())
+    # points that lie in a plane come back with their distances
+    xy = np.asarray([(0, 0), (3, 0), (0, 4), (1, 1.0)])
+    d = np.linalg.norm(xy[:, None] - xy, axis=2)
+    back = TP.classical_scaling(d)
+    assert np.allclose(np.linalg.norm(back[:, None] - back, axis=2), d)
+    assert TP.classical_scaling(np.zeros((1, 1))).tolist() == [[0.0, 0.0]]

@@ -108,6 +108,8 @@ GBT_GRID = dict(depth=[2, 3, 4, 5, 6, 7, 8, 9], trees=[60, 100, 140, 180],
 SVM_GRID = dict(C=[1000, 10000, 100000], kernel=["rbf", "linear", "poly"],
                 gamma=[0.001, 0.003, 0.005, 0.007, 0.009, 0.10, 0.5])
 CV_FOLDS = 10
+# The forest search names no fold number: the library's default at that time (before its 0.22).
+RF_GRID_FOLDS = 3
 TEST_SIZE = 0.30
 SEEDS = dict(split_en=30, split_ms=50, vectors=34, topics=100, boosted=42, folds=7)
 

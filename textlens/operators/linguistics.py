@@ -149,20 +149,73 @@ def deletes(word: Column, max_dist: int = 2, prefix: int = 7) -> Column:
     return F.array_distinct(out)
 
 
+def swaps_apart(a: Column, b: Column, more: int) -> Column:
+    """Whether two words meet by swapping two neighbouring letters and at most
+    ``more`` (0 or 1) further edits elsewhere, one of which may be a swap.
+
+    For a swap at place i of ``a`` that stands at i, i - 1 or i + 1 of ``b``,
+    what is before and what is after it must be ``more`` apart in all."""
+    near = F.length(a) - F.length(b)
+    if more == 0:
+        def one(i):
+            return ((F.substring(a, i, 1) == F.substring(b, i + 1, 1)) & (F.substring(a, i + 1, 1) == F.substring(b, i, 1))
+                    & (F.substring(a, 1, i - 1) == F.substring(b, 1, i - 1)) & (F.substring(a, i + 2, LONGEST) == F.substring(b, i + 2, LONGEST)))
+        return (near == 0) & (F.length(a) > 1) & F.exists(F.sequence(F.lit(1), F.greatest(F.length(a) - 1, F.lit(1))), one)
+
+    def at(i, j):
+        before = F.substring(a, 1, i - 1), F.substring(b, 1, j - 1)
+        after = F.substring(a, i + 2, LONGEST), F.substring(b, j + 2, LONGEST)
+        rest = ((before[0] == before[1]) & ((F.levenshtein(*after, 1) >= 0) | swaps_apart(*after, 0))) | (
+            (after[0] == after[1]) & ((F.levenshtein(*before, 1) >= 0) | swaps_apart(*before, 0)))
+        turned = (F.substring(a, i, 1) == F.substring(b, j + 1, 1)) & (F.substring(a, i + 1, 1) == F.substring(b, j, 1))
+        return (j >= 1) & (j < F.length(b)) & F.when(turned, rest).otherwise(False)
+
+    return (F.abs(near) <= 1) & (F.length(a) > 1) & F.exists(
+        F.sequence(F.lit(1), F.greatest(F.length(a) - 1, F.lit(1))), lambda i: at(i, i) | at(i, i - 1) | at(i, i + 1))
+
+
+#: Longer than any word.
+LONGEST = 1 << 20
+
+
+def osa(a: Column, b: Column) -> Column:
+    """The optimal string alignment distance of two words if it is at most 2,
+    else NULL: insertions, deletions, substitutions and swaps of neighbouring
+    letters cost 1, and no letter is edited twice.
+
+    A swap costs two plain edits, so words beyond four plain edits are out, and
+    only words two to four plain edits apart are looked at for swaps."""
+    plain = F.levenshtein(a, b, 4)
+    return (F.when(plain < 0, F.lit(None)).when(plain <= 1, plain)
+            .when((plain == 2) & swaps_apart(a, b, 0), F.lit(1)).when(plain == 2, F.lit(2))
+            .when(swaps_apart(a, b, 1), F.lit(2)))
+
+
 def spell_candidates(tokens: DataFrame, dictionary: DataFrame, max_dist: int = 2,
                      prefix: int = 7) -> DataFrame:
-    """(tok, term, dist, freq): dictionary terms within ``max_dist`` edits.
+    """(tok, term, dist, freq): dictionary terms within ``max_dist`` (1 or 2)
+    edits, a swap of neighbouring letters being one.
 
     Symmetric deletes: both sides expand to their delete keys (at most
     1 + 7 + 21 per word), an equi-join on the key proposes pairs (pruned by
-    length difference), and the full Levenshtein distance confirms them.
-    Only distinct tokens enter."""
+    length difference), and the optimal string alignment distance of each
+    distinct pair confirms them.  Only distinct tokens enter.  Keys of at most
+    ``SHORT_KEY`` letters, which many words share, are split by the length of
+    the other side's word: a key carries the lengths that may meet it."""
     tk = tokens.select("tok").distinct().select("tok", F.explode(deletes(F.col("tok"), max_dist, prefix)).alias("k"))
     dk = dictionary.select("term", "freq", F.explode(deletes(F.col("term"), max_dist, prefix)).alias("k"))
-    cond = (tk["k"] == dk["k"]) & (F.abs(F.length(tk["tok"]) - F.length(dk["term"])) <= max_dist)
-    d = F.levenshtein("tok", "term", max_dist)
-    pairs = tk.join(dk, cond).select("tok", "term", "freq", d.alias("dist"))
-    return pairs.filter((F.col("dist") >= 0) & (F.col("dist") <= max_dist)).distinct()
+    # the band: of a short key the length of the token, to which a term offers every length within reach
+    short = F.length("k") <= SHORT_KEY
+    tk = tk.withColumn("band", F.when(short, F.length("tok")).otherwise(-1))
+    reach = F.sequence(F.greatest(F.length("term") - max_dist, F.lit(0)), F.length("term") + max_dist)
+    dk = dk.withColumn("band", F.explode(F.when(short, reach).otherwise(F.array(F.lit(-1)))))
+    cond = (tk["k"] == dk["k"]) & (tk["band"] == dk["band"]) & (F.abs(F.length(tk["tok"]) - F.length(dk["term"])) <= max_dist)
+    pairs = tk.join(dk, cond).select("tok", "term", "freq").distinct()
+    return pairs.withColumn("dist", osa(F.col("tok"), F.col("term"))).filter(F.col("dist") <= max_dist).select("tok", "term", "freq", "dist")
+
+
+#: Delete keys of at most so many letters are split by length.
+SHORT_KEY = 3
 
 
 def spell_best(tokens: DataFrame, dictionary: DataFrame, max_dist: int = 2, prefix: int = 7) -> DataFrame:
@@ -324,31 +377,47 @@ def split_prefix_table(tokens: DataFrame, lang_table: DataFrame, special, englis
 
 # ------------------------------------------------- char n-gram language model --
 
-def language_model(lang_table: DataFrame, counts: DataFrame | None = None, n_max: int = 3,
-                   min_df: int = 2):
-    """Multinomial naive Bayes over character n-grams, trained on the
-    corpus token -> language table (a learned per-token detector that also
-    labels tokens never seen in the corpus).  Returns a fitted PipelineModel
-    mapping ``tok`` to ``lang_pred``."""
-    from pyspark.ml import Pipeline
-    from pyspark.ml.classification import NaiveBayes
-    from pyspark.ml.feature import CountVectorizer, IndexToString, SQLTransformer, StringIndexer
-    grams = SQLTransformer(statement=f"SELECT *, {_ngram_sql(n_max)} AS grams FROM __THIS__")
-    idx = StringIndexer(inputCol="lang", outputCol="label", stringOrderType="alphabetAsc")
-    known = (lang_table.selectExpr(f"explode({_ngram_sql(n_max)}) AS g").distinct().count())
-    cv = CountVectorizer(inputCol="grams", outputCol="features", minDF=min_df, vocabSize=max(1, known))
-    nb = NaiveBayes(modelType="multinomial", smoothing=1.0)
-    pipe = Pipeline(stages=[grams, idx, cv, nb])
-    model = pipe.fit(lang_table.select("tok", "lang"))
-    labels = model.stages[1].labels
-    back = IndexToString(inputCol="prediction", outputCol="lang_pred", labels=labels)
-    from pyspark.ml import PipelineModel
-    return PipelineModel(stages=[model.stages[0], model.stages[2], model.stages[3], back])
-
-
-def _ngram_sql(n_max: int) -> str:
-    parts = []
-    for n in range(1, n_max + 1):
-        parts.append(f"transform(sequence(1, greatest(length(concat('<', tok, '>')) - {n} + 1, 1)), "
-                     f"i -> substring(concat('<', tok, '>'), i, {n}))")
-    return "concat(" + ", ".join(parts) + ")"
+#: Longest character n-gram of the language model.
+GRAM = 3
+
+
+def grams(tok: Column, longest: int = GRAM) -> Column:
+    """All character n-grams of 1 to ``longest`` letters of <token>, with repeats."""
+    w = F.concat(F.lit("<"), tok, F.lit(">"))
+    return F.concat(*[F.transform(F.sequence(F.lit(1), F.greatest(F.length(w) - (n - 1), F.lit(1))), lambda i, n=n: F.substring(w, i, n))
+                      for n in range(1, longest + 1)])
+
+
+def language_model(lang_table: DataFrame, longest: int = GRAM) -> tuple[DataFrame, DataFrame]:
+    """Multinomial naive Bayes over character n-grams, learned from a (tok,
+    lang) table: (gram, lang, weight), what a seen n-gram adds to a language's
+    log-likelihood over an unseen one, and (lang, prior, floor), a row per
+    language, where floor is the log-likelihood of an n-gram the language has
+    never shown (add-one smoothing over all n-grams)."""
+    seen = cut_lineage(lang_table.select("lang", F.explode(grams(F.col("tok"), longest)).alias("gram"))
+                       .groupBy("gram", "lang").agg(F.count(F.lit(1)).alias("n")))
+    known = seen.select("gram").distinct().count()
+    per = seen.groupBy("lang").agg((-F.log(F.sum("n") + known)).alias("floor"))
+    words = lang_table.groupBy("lang").agg(F.count(F.lit(1)).alias("words"))
+    total = lang_table.count()
+    langs = words.join(per, "lang").select("lang", F.log(F.col("words") / F.lit(float(max(total, 1)))).alias("prior"), "floor")
+    return seen.select("gram", "lang", F.log(F.col("n") + 1).alias("weight")), langs
+
+
+def language_of(tokens: DataFrame, model: tuple[DataFrame, DataFrame], longest: int = GRAM) -> DataFrame:
+    """(tok, lang_pred) for distinct tokens, seen before or not: the language of
+    the largest summed log-likelihood (of equal ones the smaller name).  Every
+    token starts with each language's prior and floors; its n-grams meet the
+    weights in a join, and the sums decide."""
+    weights, langs = model
+    rows = langs.orderBy("lang").collect()  # one row per language
+    if not rows:
+        return tokens.select("tok", F.lit(None).cast("string").alias("lang_pred"))
+    base = F.array(*[F.struct(F.lit(r["lang"]).alias("lang"), F.lit(r["prior"]).alias("prior"), F.lit(r["floor"]).alias("floor")) for r in rows])
+    t = tokens.select("tok").distinct()
+    start = t.select("tok", F.size(grams(F.col("tok"), longest)).alias("n"), F.explode(base).alias("l")).select(
+        "tok", "l.lang", (F.col("l.prior") + F.col("n") * F.col("l.floor")).alias("score"))
+    each = t.select("tok", F.explode(grams(F.col("tok"), longest)).alias("gram")).groupBy("tok", "gram").agg(F.count(F.lit(1)).alias("n"))
+    met = each.join(weights, "gram").select("tok", "lang", (F.col("n") * F.col("weight")).alias("score"))
+    score = start.unionByName(met).groupBy("tok", "lang").agg(F.round(F.sum("score"), 6).alias("score"))
+    return score.groupBy("tok").agg(F.min_by("lang", F.struct((-F.col("score")).alias("s"), "lang")).alias("lang_pred"))

@@ -1,5 +1,5 @@
-"""Topic modelling: phrases, dictionary, bags of words, LDA, c_v coherence,
-term relevance.
+"""Topic modelling: phrases, dictionary, bags of words, c_v coherence, term
+relevance; the models themselves are in ``topic_models``.
 
 Counting work (unigrams, adjacent pairs, document frequencies, sliding
 window co-occurrence) is expressed as explode + ``groupBy`` so it runs
@@ -11,14 +11,14 @@ from __future__ import annotations
 
 import math
 
-from pyspark.ml.clustering import LDA, LDAModel
-from pyspark.ml.feature import CountVectorizerModel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import lexicons as L
 
 EPSILON = 1e-12
+#: More top words than this are joined as a table.
+LITERAL_TERMS = 500
 
 
 # ---------------------------------------------------------------- phrases --
@@ -110,16 +110,7 @@ def bag_of_words(df: DataFrame, tokens: str, dictionary: DataFrame, key: str = "
     return j.groupBy(key, "id").agg(F.count(F.lit(1)).alias("n"))
 
 
-def vectorizer(vocab, input_col: str, output_col: str = "features") -> CountVectorizerModel:
-    return CountVectorizerModel.from_vocabulary(list(vocab), inputCol=input_col, outputCol=output_col)
-
-
-def vocab_list(dictionary: DataFrame):
-    """Terms in id order (bounded by keep_n)."""
-    return [r["term"] for r in dictionary.orderBy("id").select("term").collect()]
-
-
-# -------------------------------------------------------------------- LDA --
+# ----------------------------------------------------------------- priors --
 
 def alpha_prior(alpha, k: int):
     """gensim-style priors: 'symmetric' = 1/k; 'asymmetric' proportional to
@@ -139,57 +130,6 @@ def eta_prior(eta, k: int) -> float:
     return float(eta)
 
 
-def lda_estimator(k: int, n_docs: int, passes: int = 1, chunk: int | None = None,
-                  alpha="symmetric", eta="symmetric", seed: int = 100,
-                  features: str = "features") -> LDA:
-    """Online LDA over mini-batches of ``chunk`` documents (the whole corpus
-    if None), as many as ``passes`` visits per document ask for.
-
-    The trainer draws each mini-batch with replacement: in ``p`` passes a
-    document is left out with probability exp(-p), so a single pass misses a
-    third of the corpus and the reference's 50 or 100 passes miss none.  Each
-    mini-batch is one distributed job; on a large corpus ask for a larger
-    ``chunk``."""
-    rate = 1.0 if not chunk or chunk >= n_docs else chunk / n_docs
-    iters = max(1, int(math.ceil(passes / rate)))
-    return LDA(k=k, maxIter=iters, optimizer="online", seed=seed, featuresCol=features,
-               docConcentration=alpha_prior(alpha, k), topicConcentration=eta_prior(eta, k),
-               subsamplingRate=rate, learningOffset=1.0, learningDecay=0.5,
-               optimizeDocConcentration=False, topicDistributionCol="topicDistribution")
-
-
-def log_perplexity(model: LDAModel, features: DataFrame) -> float:
-    """Per-word likelihood bound, gensim's sign (negative)."""
-    return -float(model.logPerplexity(features))
-
-
-def top_terms(model: LDAModel, vocab, n: int = L.TOPIC_TERMS_N) -> DataFrame:
-    """(topic, rank, term, weight)."""
-    spark = model.describeTopics(1).sparkSession
-    vocab_df = spark.createDataFrame([(i, t) for i, t in enumerate(vocab)], "id int, term string")
-    d = model.describeTopics(n).select(
-        "topic", F.posexplode(F.arrays_zip("termIndices", "termWeights")).alias("rank", "x"))
-    d = d.select("topic", "rank", F.col("x.termIndices").alias("id"), F.col("x.termWeights").alias("weight"))
-    return d.join(F.broadcast(vocab_df), "id").select("topic", "rank", "term", "weight")
-
-
-def topic_distribution(predictions: DataFrame, key: str = "row_id", col: str = "topicDistribution") -> DataFrame:
-    """(row_id, LDAtotal ARRAY<STRUCT<topic, prob>>)."""
-    from pyspark.ml.functions import vector_to_array
-    arr = vector_to_array(F.col(col))
-    return predictions.select(key, F.transform(arr, lambda p, i: F.struct(i.alias("topic"), p.alias("prob")))
-                              .alias("LDAtotal"))
-
-
-def topic_columns(predictions: DataFrame, k: int, key: str = "row_id", col: str = "topicDistribution",
-                  prefix: str = "topic") -> DataFrame:
-    """topic1..topicK columns keyed by topic id (never by position in a
-    filtered list)."""
-    from pyspark.ml.functions import vector_to_array
-    arr = vector_to_array(F.col(col))
-    return predictions.select(key, *[arr[i].alias(f"{prefix}{i + 1}") for i in range(k)])
-
-
 # -------------------------------------------------------------- coherence --
 
 def window_counts(texts: DataFrame, tokens: str, topwords, window: int) -> DataFrame:
@@ -207,8 +147,12 @@ def window_counts(texts: DataFrame, tokens: str, topwords, window: int) -> DataF
     size = F.coalesce(F.size("_t"), F.lit(0))
     last = F.greatest(F.when(size < 0, 0).otherwise(size) - window, F.lit(0))  # where the last window starts
     total = rows.select((last + 1).alias("n")).agg(F.sum("n").alias("n"))
-    places = (rows.select("_row", last.alias("last"), F.posexplode("_t").alias("p", "w")).where(F.col("w").isin(top))
-              .select("_row", "w", F.greatest(F.col("p") - window + 1, F.lit(0)).alias("lo"), F.least("p", "last").alias("hi"))
+    each = rows.select("_row", last.alias("last"), F.posexplode("_t").alias("p", "w"))
+    if len(top) <= LITERAL_TERMS:
+        each = each.where(F.col("w").isin(top))
+    else:  # the top words of many models
+        each = each.join(texts.sparkSession.createDataFrame([(w,) for w in top], "w string"), "w", "left_semi")
+    places = (each.select("_row", "w", F.greatest(F.col("p") - window + 1, F.lit(0)).alias("lo"), F.least("p", "last").alias("hi"))
               .repartition("_row"))  # one exchange serves the windows, the union and the join
     order = Window.partitionBy("_row", "w").orderBy("lo", "hi")
     opens = F.when(F.col("lo") > F.coalesce(F.max("hi").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(-2)) + 1, 1).otherwise(0)
@@ -262,10 +206,6 @@ def coherence_cv(texts: DataFrame, tokens: str, topics: DataFrame, window: int =
     return per_word.groupBy("topic").agg(F.avg("cos").alias("coherence"))
 
 
-def topics_from_model(model: LDAModel, vocab, topn: int = L.COHERENCE_TOPN) -> DataFrame:
-    return top_terms(model, vocab, topn).select("topic", "term")
-
-
 # -------------------------------------------------------------- relevance --
 
 def topic_relevance(topic_terms: DataFrame, term_freq: DataFrame, lam: float = 0.6,
@@ -284,3 +224,56 @@ def topic_relevance(topic_terms: DataFrame, term_freq: DataFrame, lam: float = 0
     r = j.select("topic", "term", "p_wt", lift.alias("lift"), rel.alias("relevance"))
     w = Window.partitionBy("topic").orderBy(F.desc("relevance"), "term")
     return r.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top_n)
+
+
+# -------------------------------------------------------------- topic map --
+
+def topic_distances(topic_terms: DataFrame) -> DataFrame:
+    """(a, b, distance) for each two topics a < b: the Jensen-Shannon divergence
+    of their term weights (natural logarithm, at most ln 2).  Only terms that
+    both topics hold are joined; all other mass counts in full."""
+    total = topic_terms.groupBy("topic").agg(F.sum("weight").alias("tw"))
+    p = topic_terms.join(total, "topic").select("topic", "term", (F.col("weight") / F.col("tw")).alias("p")).where("p > 0")
+    x = p.select(F.col("topic").alias("a"), "term", F.col("p").alias("pa"))
+    y = p.select(F.col("topic").alias("b"), "term", F.col("p").alias("pb"))
+    part = lambda v: 0.5 * F.col(v) * F.log(F.col(v) / (F.col("pa") + F.col("pb")))
+    met = x.join(y, "term").where(F.col("a") < F.col("b")).groupBy("a", "b").agg(F.sum(part("pa") + part("pb")).alias("s"))
+    names = sorted(r["topic"] for r in topic_terms.select("topic").distinct().collect())  # a row per topic
+    kind = dict(topic_terms.dtypes)["topic"]
+    both = topic_terms.sparkSession.createDataFrame([(a, b) for i, a in enumerate(names) for b in names[i + 1:]], f"a {kind}, b {kind}")
+    return both.join(met, ["a", "b"], "left").select("a", "b", (F.lit(math.log(2)) + F.coalesce("s", F.lit(0.0))).alias("distance"))
+
+
+def topic_map(topic_terms: DataFrame) -> DataFrame:
+    """(topic, x, y, share): the topics in the plane by classical scaling of
+    their distances (a matrix of topics by topics, on the driver), and the share
+    of all weight that each holds."""
+    import numpy as np
+    shares = topic_terms.groupBy("topic").agg(F.sum("weight").alias("w")).orderBy("topic").collect()  # a row per topic
+    names = [r["topic"] for r in shares]
+    at = {t: i for i, t in enumerate(names)}
+    d = np.zeros((len(names), len(names)))
+    for r in topic_distances(topic_terms).collect():
+        d[at[r["a"]], at[r["b"]]] = d[at[r["b"]], at[r["a"]]] = max(r["distance"], 0.0)
+    xy = classical_scaling(d)
+    whole = sum(r["w"] for r in shares)
+    rows = [(t, float(xy[i, 0]), float(xy[i, 1]), float(shares[i]["w"] / whole)) for i, t in enumerate(names)]
+    kind = dict(topic_terms.dtypes)["topic"]
+    return topic_terms.sparkSession.createDataFrame(rows, f"topic {kind}, x double, y double, share double")
+
+
+def classical_scaling(d, dims: int = 2):
+    """Points whose distances come nearest to the matrix ``d``; each axis is
+    turned so that its largest coordinate is positive."""
+    import numpy as np
+    n = len(d)
+    out = np.zeros((n, dims))
+    if n < 2:
+        return out
+    centre = np.eye(n) - 1 / n
+    values, vectors = np.linalg.eigh(-0.5 * centre @ (d * d) @ centre)
+    for k in range(min(dims, n)):
+        v = vectors[:, -1 - k]
+        v = v * np.sign(v[np.argmax(np.abs(v))])
+        out[:, k] = v * np.sqrt(max(values[-1 - k], 0.0))
+    return out

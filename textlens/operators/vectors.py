@@ -7,11 +7,13 @@ aggregate), not ``Word2VecModel.transform`` which divides by all tokens.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.ml import Transformer
-from pyspark.ml.feature import Word2Vec
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.param.shared import HasInputCol, HasOutputCol
 from pyspark.ml.stat import Summarizer
+from pyspark.ml.util import DefaultParamsReader, DefaultParamsWriter, MLReadable, MLReader, MLWritable, MLWriter
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -51,30 +53,75 @@ def doc_mean_vector(df: DataFrame, tokens: str, vectors: DataFrame, dim: int, ke
                       F.coalesce(F.col(out), zeros).alias(out))
 
 
-class MeanEmbedding(Transformer, HasInputCol, HasOutputCol):
+class StageWriter(MLWriter):
+    """Writes a stage's parameters and the table it carries, if any."""
+
+    def __init__(self, stage):
+        super().__init__()
+        self.stage = stage
+
+    def saveImpl(self, path: str) -> None:
+        DefaultParamsWriter.saveMetadata(self.stage, path, self.sparkSession)
+        if self.stage.carried() is not None:
+            self.stage.carried().write.parquet(f"{path}/table")
+
+
+class StageReader(MLReader):
+    def __init__(self, kind):
+        super().__init__()
+        self.kind = kind
+
+    def load(self, path: str):
+        metadata = DefaultParamsReader.loadMetadata(path, self.sparkSession)
+        stage = self.kind()
+        stage._resetUid(metadata["uid"])
+        DefaultParamsReader.getAndSetParams(stage, metadata)
+        if self.kind.CARRIES:
+            stage.carry(self.sparkSession.read.parquet(f"{path}/table"))
+        return stage
+
+
+class StoredStage(Transformer, HasInputCol, HasOutputCol, MLWritable, MLReadable):
+    """A stage that can be stored, alone or inside a pipeline: its parameters as
+    metadata and, where it ``CARRIES`` one, a table beside them."""
+
+    CARRIES = False
+
+    def carry(self, table: DataFrame):
+        self.table = table
+        return self
+
+    def carried(self) -> DataFrame | None:
+        return getattr(self, "table", None)
+
+    def write(self) -> MLWriter:
+        return StageWriter(self)
+
+    @classmethod
+    def read(cls) -> MLReader:
+        return StageReader(cls)
+
+
+class MeanEmbedding(StoredStage):
     """Pipeline stage: token array -> mean in-vocabulary word vector."""
 
+    CARRIES = True
+    dim = Param(Params._dummy(), "dim", "length of the vectors", TypeConverters.toInt)
+    key = Param(Params._dummy(), "key", "column that names a row", TypeConverters.toString)
+
     def __init__(self, vectors: DataFrame = None, dim: int = 0, inputCol: str = "toks",
                  outputCol: str = "features", key: str = "row_id"):
         super().__init__()
-        self._set(inputCol=inputCol, outputCol=outputCol)
-        self.vectors, self.dim, self.key = vectors, dim, key
+        self._set(inputCol=inputCol, outputCol=outputCol, dim=dim, key=key)
+        self.carry(vectors)
 
     def _transform(self, dataset: DataFrame) -> DataFrame:
-        m = doc_mean_vector(dataset, self.getInputCol(), self.vectors, self.dim, self.key, "_mean")
-        out = dataset.join(m.select(self.key, "_mean", *(["n_known"] if "n_known" not in dataset.columns else [])), self.key, "left")
+        key = self.getOrDefault(self.key)
+        m = doc_mean_vector(dataset, self.getInputCol(), self.carried(), self.getOrDefault(self.dim), key, "_mean")
+        out = dataset.join(m.select(key, "_mean", *(["n_known"] if "n_known" not in dataset.columns else [])), key, "left")
         return out.withColumn(self.getOutputCol(), array_to_vector(F.col("_mean"))).drop("_mean")
 
 
-def w2v_estimator(size: int, window: int, min_count: int, iters: int, seed: int = L.SEEDS["vectors"],
-                  input_col: str = "toks", output_col: str = "w2v", partitions: int = 1) -> Word2Vec:
-    """Skip-gram word vectors.  Spark's trainer has no negative-sampling
-    setting; vector quality differs, the contract (word -> vector) is the
-    same."""
-    return Word2Vec(vectorSize=size, windowSize=window, minCount=min_count, maxIter=iters, seed=seed,
-                    inputCol=input_col, outputCol=output_col, numPartitions=partitions)
-
-
 def cosine(a: Column, b: Column) -> Column:
     dot = F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
     na = F.sqrt(F.aggregate(a, F.lit(0.0), lambda s, x: s + x * x))
@@ -94,7 +141,7 @@ def nearest_terms(vectors: DataFrame, query_word: str, k: int = L.NEAREST_TOPN,
     return c.orderBy(F.desc("similarity"), word).limit(k)
 
 
-class CleanTokenizer(Transformer, HasInputCol, HasOutputCol):
+class CleanTokenizer(StoredStage):
     """Pipeline stage: raw text -> cleaned word tokens (preprocess, squeeze,
     printable, word tokenizer), all native column expressions."""
 
@@ -107,3 +154,51 @@ class CleanTokenizer(Transformer, HasInputCol, HasOutputCol):
         from ..functions import tokens as K
         c = T.txt_printable(T.txt_squeeze_runs(T.clean_preprocess(F.col(self.getInputCol()))))
         return dataset.withColumn(self.getOutputCol(), K.tok_words(c))
+
+
+class PhraseMerger(StoredStage):
+    """Pipeline stage: token array -> token array with its phrases merged."""
+
+    CARRIES = True
+    key = Param(Params._dummy(), "key", "column that names a row", TypeConverters.toString)
+
+    def __init__(self, phrases: DataFrame = None, inputCol: str = "toks", outputCol: str = "merged", key: str = "row_id"):
+        super().__init__()
+        self._set(inputCol=inputCol, outputCol=outputCol, key=key)
+        self.carry(phrases)
+
+    def _transform(self, dataset: DataFrame) -> DataFrame:
+        from .topics import phrase_apply
+        out, key = self.getOutputCol(), self.getOrDefault(self.key)
+        found = phrase_apply(dataset.select(key, F.col(self.getInputCol()).alias(out)), out, self.carried(), key=key)
+        return dataset.drop(out).join(found, key, "left")
+
+
+class TopicShares(StoredStage):
+    """Pipeline stage: token array -> topic shares, by a topic model that is
+    carried as a table (one row per topic, one with the terms)."""
+
+    CARRIES = True
+    key = Param(Params._dummy(), "key", "column that names a row", TypeConverters.toString)
+    alpha = Param(Params._dummy(), "alpha", "prior of the topics' shares", TypeConverters.toString)
+
+    def __init__(self, model=None, spark=None, inputCol: str = "merged", outputCol: str = "shares", key: str = "row_id"):
+        super().__init__()
+        self._set(inputCol=inputCol, outputCol=outputCol, key=key)
+        if model is not None:
+            self._set(alpha=str(model.setting.alpha))
+            rows = [(t, x.tolist(), None) for t, x in enumerate(model.topics)] + [(-1, None, model.terms)]
+            self.carry(spark.createDataFrame(rows, "topic int, weights array<double>, terms array<string>"))
+
+    def model(self):
+        from .topic_models import Setting, TopicModel
+        rows = self.carried().orderBy("topic").collect()  # the topics of one model and its terms
+        alpha = self.getOrDefault(self.alpha)
+        topics = np.asarray([r["weights"] for r in rows[1:]])
+        return TopicModel(topics, Setting(len(topics), alpha if alpha in ("symmetric", "asymmetric") else float(alpha)), rows[0]["terms"])
+
+    def _transform(self, dataset: DataFrame) -> DataFrame:
+        from .topic_models import bags_of
+        key, model = self.getOrDefault(self.key), self.model()
+        bags = bags_of(dataset.select(key, self.getInputCol()), self.getInputCol(), model.dictionary(dataset.sparkSession), key)
+        return dataset.join(model.infer(bags, key).withColumnRenamed("shares", self.getOutputCol()), key, "left")

@@ -15,11 +15,13 @@ from pyspark.sql import functions as F
 
 from .. import lexicons as L
 from ..operators import classify as CL
+from ..operators import kernel_svm as SV
 from ..operators import relational as R
+from ..operators import trees as TR
 from ..operators import vectors as VX
 from ..sources import files as FS
 from ..sources import tables as TB
-from ..session import scratch_path
+from ..session import cut_lineage, scratch_path
 from . import oracle as O
 from .catalog import register
 from .q_vectors import DIM, corpus, vectors
@@ -245,20 +247,23 @@ def rf_fit(spark, sf):
 def predict(spark, sf):
     """Each classifier fitted on the training rows, stored, loaded again and
     applied to the test rows."""
-    from pyspark.ml.classification import GBTClassificationModel, LinearSVCModel, RandomForestClassificationModel
+    from pyspark.ml.classification import GBTClassificationModel, RandomForestClassificationModel
     d = features(spark, sf)
     te = d.filter(F.col("split") == "test")
-    x = _kernel_features(d, "rbf", 0.1)
-    n = d.filter(F.col("split") == "train").count()
-    fits = [("RF", CL.rf(trees=10, depth=5, weight_col="weight").fit(_weighted_train(d)), RandomForestClassificationModel, te),
-            ("GBT", CL.gbt().fit(d.filter(F.col("split") == "train")), GBTClassificationModel, te),
-            ("SVM", CL.linear_svm(1000.0, n).fit(x.filter(F.col("split") == "train")), LinearSVCModel, x.filter(F.col("split") == "test"))]
-    out = None
-    for name, model, kind, rows in fits:
+    fits = [("RF", CL.rf(trees=10, depth=5, weight_col="weight").fit(_weighted_train(d)), RandomForestClassificationModel),
+            ("GBT", CL.gbt().fit(d.filter(F.col("split") == "train")), GBTClassificationModel)]
+    kernels = [SV.Kernel("rbf", SVM_GAMMA)]
+    tr, arrays = _svm_split(d)
+    _, _, found, marks = _machines(tr, kernels, 0)
+    p = scratch_path(spark, "model_SVM")
+    SV.save(p, tr, kernels, marks, found[SVM_COST])
+    out = (_apply(arrays, *SV.load(spark, p))
+           .select(F.lit("SVM").alias("model"), "row_id", "label", (F.col("margin") > 0).cast("double").alias("prediction")))
+    for name, model, kind in fits:
         p = scratch_path(spark, f"model_{name}")
         FS.save_model(model, p)
-        got = _eval(FS.load_model(kind, p).transform(rows)).select(F.lit(name).alias("model"), "row_id", "label", "prediction")
-        out = got if out is None else out.unionByName(got)
+        got = _eval(FS.load_model(kind, p).transform(te)).select(F.lit(name).alias("model"), "row_id", "label", "prediction")
+        out = out.unionByName(got)
     return out
 
 
@@ -270,72 +275,73 @@ def predict_proba(spark, sf):
     return p.select("row_id", CL.prob1().alias("p1"))
 
 
-def _folded(d, folds=L.CV_FOLDS):
-    """Rows with their stratified fold and their class's balanced weight."""
-    return CL.with_weights(CL.stratified_folds(d.drop("split"), "label", folds), "label", "weight").cache()
+def _points(settings):
+    """The points of a grid."""
+    from itertools import product
+    return [dict(zip(settings, p)) for p in product(*settings.values())]
 
 
-def _fold_scores(fits, folds=L.CV_FOLDS, threads=8):
-    """The accuracy of each (estimator, folded rows) on each fold, fitted on
-    the others.  Fits share the cached rows and run from a thread pool, as a
-    single fit leaves most of the cluster idle."""
-    from concurrent.futures import ThreadPoolExecutor
+def _bins(d, keep):
+    """Rows ``keep`` with their binned features, bounds taken from ``d``."""
+    from pyspark.ml.functions import vector_to_array
+    d = d.withColumn("_x", vector_to_array("features"))
+    bounds = TR.boundaries(d, "_x")
+    return cut_lineage(TR.binned(d, "_x", bounds, keep)), len(bounds)
 
-    from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 
-    def run(job):
-        k, f = job
-        est, rows = fits[k]
-        pred = est.fit(rows.filter(F.col("fold") != f)).transform(rows.filter(F.col("fold") == f))
-        return float(MulticlassClassificationEvaluator(metricName="accuracy").evaluate(pred))
+def _fold_bins(d, folds):
+    """The binned rows with their stratified fold."""
+    return _bins(CL.stratified_folds(d.drop("split"), "label", folds), ["row_id", "label", "fold"])
 
-    with ThreadPoolExecutor(threads) as pool:
-        flat = list(pool.map(run, [(k, f) for k in range(len(fits)) for f in range(folds)]))
-    return [flat[k * folds:(k + 1) * folds] for k in range(len(fits))]
 
+@register("rf_grid")
+def rf_grid(spark, sf, grid=L.RF_GRID_EN, folds=L.RF_GRID_FOLDS):
+    """The forest grid over stratified folds with balanced weights: a row for
+    each of the 4,200 parameter sets with its mean accuracy.
 
-def _grid(spark, name, points, setting, fit):
-    """One row per point; ``setting(point)`` is what the seeded estimator and
-    its rows, ``fit(*setting)``, depend on: points that agree in it share a fit."""
-    settings = [setting(p) for p in points]
-    distinct = list(dict.fromkeys(settings))
-    scores = {s: sum(x) / len(x) for s, x in zip(distinct, _fold_scores([fit(*s) for s in distinct]))}
-    return _grid_table(spark, name, points, [scores[s] for s in settings])
+    All trees grow together, a job per level.  Grown are the trees of the
+    largest forest, at the largest depth and the smallest split size, for each
+    feature rule, criterion, leaf size and fold; all other sets are the first
+    trees of these forests, or the same trees cut.  "auto" features are "sqrt"."""
+    tr, n_features = _fold_bins(features(spark, sf).filter(F.col("split") == "train"), folds)
+    return _rf_scores(tr, n_features, grid, folds)
 
 
-def _points(settings, every):
-    """Each ``every``-th point of the product of a grid's settings."""
+def _rf_scores(tr, n_features, grid, folds):
     from itertools import product
-    return [dict(zip(settings, p)) for p in product(*settings.values())][::every]
-
-
-def _grid_table(spark, name, points, scores):
-    rows = [(name, json.dumps(p, sort_keys=True), float(x)) for p, x in zip(points, scores)]
-    return spark.createDataFrame(rows, "model string, params string, mean_score double")
-
-
-@register("rf_grid")
-def rf_grid(spark, sf, every=1):
-    """The forest grid L.RF_GRID_EN over ten stratified folds with balanced
-    weights; one row for each of the 4,200 parameter sets (each ``every``-th)
-    with its mean accuracy.  The smallest size of a split becomes half of it as
-    the smallest size of a leaf, and "auto" features are "sqrt", so these are
-    980 different forests."""
-    d = features(spark, sf)
-    tr = _folded(d.filter(F.col("split") == "train"))
-    points = _points(L.RF_GRID_EN, every)
-
-    def setting(p):
-        return p["trees"], "sqrt" if p["features"] == "auto" else p["features"], p["criterion"], p["depth"], max(p["leaf"], -(-p["split"] // 2))
-
-    return _grid(spark, "RF", points, setting, lambda *s: (CL.rf(*s, weight_col="weight"), tr))
+    spark = tr.sparkSession
+    weights = TR.balanced(tr, folds)
+    rules = list(dict.fromkeys("sqrt" if r == "auto" else r for r in grid["features"]))
+    kinds = list(product(rules, grid["criterion"], grid["leaf"], range(folds)))
+    forests = [TR.forest(tr, max(grid["trees"]), weights[f], n_features, rule, criterion, max(grid["depth"]), leaf, f, L.SEEDS["boosted"])
+               for rule, criterion, leaf, f in kinds]
+    trees = [t for g in forests for t in g]
+    TR.grow(tr, trees, TR.bootstrap_sums(trees, "row_id", "label"))
+    scores = TR.forest_scores(tr, forests, grid["trees"], grid["depth"], grid["split"])
+    names = spark.createDataFrame([(i, rule, c, leaf) for i, (rule, c, leaf, _) in enumerate(kinds)], "grp int, rule string, criterion string, leaf int")
+    mean = (scores.join(names, "grp").groupBy("trees", "rule", "criterion", "depth", "split", "leaf")
+            .agg(F.avg(F.col("correct") / F.col("n")).alias("mean_score")))
+    points = [(p["trees"], "sqrt" if p["features"] == "auto" else p["features"], p["criterion"], p["depth"], p["split"], p["leaf"],
+               json.dumps(p, sort_keys=True)) for p in _points(grid)]
+    points = spark.createDataFrame(points, "trees int, rule string, criterion string, depth int, split int, leaf int, params string")
+    return (points.join(mean, ["trees", "rule", "criterion", "depth", "split", "leaf"])
+            .select(F.lit("RF").alias("model"), "params", "mean_score"))
+
+
+#: The pick of the best parameters, over a table ``grid`` (the operator's SQL form).
+BEST_SQL = ("SELECT model, params, mean_score FROM (SELECT *, row_number() OVER (PARTITION BY model ORDER BY mean_score DESC, params DESC) "
+            "AS place FROM grid) WHERE place = 1")
+
+
+def best_of(grid):
+    """Per model the best-scored parameters, of equal ones the last by name."""
+    return grid.groupBy("model").agg(F.max_by("params", F.struct("mean_score", "params")).alias("params"),
+                                     F.max("mean_score").alias("mean_score"))
 
 
 @register("best_params")
 def best_params(spark, sf):
-    t = rf_grid(spark, sf)
-    return t.groupBy("model").agg(F.max_by("params", F.struct("mean_score", F.col("params"))).alias("params"),
-                                  F.max("mean_score").alias("mean_score"))
+    return best_of(rf_grid(spark, sf))
 
 
 @register("gbt_fit")
@@ -346,126 +352,210 @@ def gbt_fit(spark, sf):
 
 
 @register("gbt_grid")
-def gbt_grid(spark, sf, every=1):
-    """The boosted grid L.GBT_GRID over ten stratified folds: 96 points, of
-    which each ``every``-th is fitted."""
-    d = features(spark, sf)
-    tr = _folded(d.filter(F.col("split") == "train"))
-    points = _points(L.GBT_GRID, every)
-    return _grid(spark, "GBT", points, lambda p: (p["depth"], p["trees"], p["rate"]), lambda *s: (CL.gbt(*s), tr))
+def gbt_grid(spark, sf, grid=L.GBT_GRID, folds=L.CV_FOLDS):
+    """The boosted grid over ten stratified folds: 96 rows.  One model of the
+    most trees is fitted per depth, rate and fold; its running sums answer the
+    smaller numbers of trees."""
+    tr, _ = _fold_bins(features(spark, sf).filter(F.col("split") == "train"), folds)
+    return _gbt_scores(tr, grid, folds)
+
+
+def _gbt_scores(tr, grid, folds):
+    from itertools import product
+    spark = tr.sparkSession
+    kinds = sorted(product(grid["depth"], grid["rate"], range(folds)), reverse=True)
+    scores = TR.boosted_scores(tr, [TR.Boosted(*k) for k in kinds], grid["trees"])
+    names = spark.createDataFrame([(i, d, float(r)) for i, (d, r, _) in enumerate(kinds)], "model int, depth int, rate double")
+    mean = scores.join(names, "model").groupBy("depth", "trees", "rate").agg(F.avg(F.col("correct") / F.col("n")).alias("mean_score"))
+    points = spark.createDataFrame([(p["depth"], p["trees"], float(p["rate"]), json.dumps(p, sort_keys=True)) for p in _points(grid)],
+                                   "depth int, trees int, rate double, params string")
+    return points.join(mean, ["depth", "trees", "rate"]).select(F.lit("GBT").alias("model"), "params", "mean_score")
+
+
+#: The cost of the machines that are fitted outside the grid.
+SVM_COST = L.SVM_GRID["C"][0]
+SVM_GAMMA = 0.1
+
+
+def _svm_folds(d, folds):
+    """(row_id, label, fold, x): rows with their stratified fold and their
+    features as an array."""
+    from pyspark.ml.functions import vector_to_array
+    d = CL.stratified_folds(d.drop("split"), "label", folds)
+    return cut_lineage(d.select("row_id", "label", "fold", vector_to_array("features").alias("x")))
+
 
+def _kernels(grid=None):
+    """The kernels of a grid; gamma is no setting of the linear one."""
+    kinds = [(k, g) for k in (grid or L.SVM_GRID)["kernel"] for g in ([1.0] if k == "linear" else (grid or L.SVM_GRID)["gamma"])]
+    return [SV.Kernel(k, g) for k, g in kinds]
 
-def _kernel_features(d, kernel="rbf", gamma=0.1):
-    """The features a linear machine needs to act as one with this kernel."""
-    if kernel == "rbf":
-        from pyspark.ml.functions import vector_to_array
-        x = d.withColumn("_arr", vector_to_array("features"))
-        x = CL.rff_features(x, "_arr", DIM, 128, gamma, seed=L.SEEDS["boosted"])
-        x = x.withColumn("features", F.col("rff").cast("array<double>")).drop("_arr", "rff")
-        return CL.as_vector(x, "features")
-    if kernel == "poly":
-        return CL.poly_features(d)
-    return d
 
+def _machines(d, kernels, folds, costs=(SVM_COST,)):
+    """Blocks of the mapped rows of ``d`` and, per cost, the weights of all
+    machines: one per kernel and held-out fold, and one (-1) of all rows."""
+    marks = SV.landmarks(d, "x")
+    held, parts = SV.blocks(d, "x", kernels, marks)
+    names = [-1, *range(folds)]
+    return held, names, SV.fit(held, parts, names, costs), marks
 
-def _svm_pred(d, kernel="rbf", C=1000.0, gamma=0.1):
-    n = d.filter(F.col("split") == "train").count()
-    d = _kernel_features(d, kernel, gamma)
-    svm = CL.linear_svm(C, n).fit(d.filter(F.col("split") == "train"))
-    return svm, svm.transform(d)
+
+def _apply(rows, kernels, marks, weights):
+    """(map, row_id, label, margin) of other rows by the machines of all rows."""
+    fresh, _ = SV.blocks(rows.withColumn("fold", F.lit(-1)), "x", kernels, marks)
+    return SV.margins(fresh, {m: w[:1] for m, w in weights.items()}, [-1], "all")
+
+
+def _svm_split(d):
+    """Training rows with ten folds, and test rows, features as arrays."""
+    from pyspark.ml.functions import vector_to_array
+    te = d.filter(F.col("split") == "test").select("row_id", "label", vector_to_array("features").alias("x"))
+    return _svm_folds(d.filter(F.col("split") == "train"), L.CV_FOLDS), te
 
 
 @register("svm_fit")
 def svm_fit(spark, sf):
-    d = features(spark, sf)
-    outs = []
-    for k in ("rbf", "linear", "poly"):
-        _, p = _svm_pred(d, k)
-        outs.append(p.filter(F.col("split") == "test").select("row_id", F.lit(k).alias("kernel"), "label", "prediction"))
-    return outs[0].unionByName(outs[1]).unionByName(outs[2])
+    """Machines with each of the three kernels, applied to the test rows."""
+    tr, te = _svm_split(features(spark, sf))
+    kernels = [SV.Kernel(k, SVM_GAMMA if k != "linear" else 1.0) for k in L.SVM_GRID["kernel"]]
+    _, _, found, marks = _machines(tr, kernels, 0)
+    names = spark.createDataFrame([(i, k.kind) for i, k in enumerate(kernels)], "map int, kernel string")
+    got = _apply(te, kernels, marks, found[SVM_COST]).join(names, "map")
+    return got.select("row_id", "kernel", "label", (F.col("margin") > 0).cast("double").alias("prediction"))
 
 
 @register("svm_grid")
-def svm_grid(spark, sf, every=1):
-    """The SVM grid L.SVM_GRID by ten stratified folds of the training rows: 63
-    points, of which each ``every``-th is fitted.  Gamma is a setting of the RBF
-    kernel only; each kernel's features are made once."""
-    d = features(spark, sf)
-    n = d.filter(F.col("split") == "train").count()
-    points = _points(L.SVM_GRID, every)
-    rows = {}
-
-    def setting(p):
-        return p["kernel"], p["gamma"] if p["kernel"] == "rbf" else None, float(p["C"])
+def svm_grid(spark, sf, grid=L.SVM_GRID, folds=L.CV_FOLDS):
+    """The grid of kernel machines by ten stratified folds of the training
+    rows: 63 points.  All kernels and folds are fitted in the same rounds, the
+    costs in ascending order, each from the solution of the one before."""
+    tr = _svm_folds(features(spark, sf).filter(F.col("split") == "train"), folds)
+    return _svm_scores(tr, grid, folds)
+
+
+def _svm_scores(tr, grid, folds):
+    spark = tr.sparkSession
+    kernels = _kernels(grid)
+    held, names, found, _ = _machines(tr, kernels, folds, grid["C"])
+    at = {(k.kind, k.gamma): i for i, k in enumerate(kernels)}
+    scores = {(c, r["map"]): r["score"] for c, w in found.items()
+              for r in SV.fold_accuracy(held, w, names).groupBy("map").agg(F.avg(F.col("correct") / F.col("n")).alias("score")).collect()}
+    rows = [("SVM", json.dumps(p, sort_keys=True), scores.get((p["C"], at[p["kernel"], 1.0 if p["kernel"] == "linear" else p["gamma"]])))
+            for p in _points(grid)]
+    return spark.createDataFrame(rows, "model string, params string, mean_score double")
 
-    def fit(kernel, gamma, c):
-        if (kernel, gamma) not in rows:
-            rows[kernel, gamma] = _folded(_kernel_features(d, kernel, gamma).filter(F.col("split") == "train"))
-        return CL.linear_svm(c, n), rows[kernel, gamma]
 
-    return _grid(spark, "SVM", points, setting, fit)
+def _svm_probability(tr, te, kernels, cost):
+    """(map, row_id, label, p1): test rows by the machines of all training rows,
+    each on a logistic curve over margins of held-out folds."""
+    held, names, found, marks = _machines(tr, kernels, L.CV_FOLDS, [cost])
+    out_of_fold = cut_lineage(SV.margins(held, found[cost], names, "own"))
+    curves = [(i, *SV.platt(out_of_fold.where(F.col("map") == i))) for i in range(len(kernels))]
+    curves = tr.sparkSession.createDataFrame([(i, float(a), float(b)) for i, a, b in curves], "map int, a double, b double")
+    got = _apply(te, kernels, marks, found[cost]).join(curves, "map")
+    return got.select("map", "row_id", "label", (1 / (1 + F.exp(-(F.col("a") * F.col("margin") + F.col("b"))))).alias("p1"))
 
 
 @register("svm_probability")
 def svm_probability(spark, sf):
-    d = features(spark, sf)
-    _, p = _svm_pred(d, "rbf")
-    p = CL.margin_vector(p)
-    cal = CL.platt().fit(p.filter(F.col("split") == "train"))
-    out = cal.transform(p.filter(F.col("split") == "test"))
-    return out.select("row_id", CL.prob1().alias("p1"))
+    """Probabilities of the test rows by each of the three kernels."""
+    tr, te = _svm_split(features(spark, sf))
+    kernels = [SV.Kernel(k, SVM_GAMMA if k != "linear" else 1.0) for k in L.SVM_GRID["kernel"]]
+    names = spark.createDataFrame([(i, k.kind) for i, k in enumerate(kernels)], "map int, kernel string")
+    return _svm_probability(tr, te, kernels, SVM_COST).join(names, "map").select("kernel", "row_id", "p1")
+
+
+def _best(scores):
+    """The parameters that a grid's table puts first."""
+    return json.loads(best_of(scores).first()["params"])
+
+
+def _tuned(spark, d):
+    """The best parameters of each grid, searched on the training rows."""
+    train = d.filter(F.col("split") == "train")
+    rf_rows, n_features = _fold_bins(train, L.RF_GRID_FOLDS)
+    gbt_rows, _ = _fold_bins(train, L.CV_FOLDS)
+    return (_best(_rf_scores(rf_rows, n_features, L.RF_GRID_EN, L.RF_GRID_FOLDS)), _best(_gbt_scores(gbt_rows, L.GBT_GRID, L.CV_FOLDS)),
+            _best(_svm_scores(_svm_folds(train, L.CV_FOLDS), L.SVM_GRID, L.CV_FOLDS)))
+
+
+def _forest_of(rows, n_features, p, fold, weights):
+    return TR.forest(rows, p["trees"], weights[fold], n_features, p["features"], p["criterion"], p["depth"], p["leaf"], fold, L.SEEDS["boosted"])
+
+
+def _kernel_of(p):
+    return SV.Kernel(p["kernel"], 1.0 if p["kernel"] == "linear" else p["gamma"])
 
 
 @register("model_comparison")
 def model_comparison(spark, sf):
-    """Refit each classifier on the training split; the points of its ROC
-    curve on the test split, and its area, one row per point."""
+    """The tuned classifiers of the three grids, refitted on the training rows:
+    the points of their ROC curves on the test rows and the areas below, one
+    row per point."""
     d = features(spark, sf)
-    tr, te = d.filter(F.col("split") == "train"), d.filter(F.col("split") == "test")
-    scored_sets = []
-    rf_m = CL.rf(trees=10, depth=5, weight_col="weight").fit(_weighted_train(d))
-    scored_sets.append(("RandomForestClassifier", rf_m.transform(te).select("row_id", "label", CL.prob1().alias("score"))))
-    gb_m = CL.gbt().fit(tr)
-    scored_sets.append(("GBTClassifier", gb_m.transform(te).select("row_id", "label", CL.prob1().alias("score"))))
-    _, p = _svm_pred(d, "rbf")
-    p = CL.margin_vector(p)
-    cal = CL.platt().fit(p.filter(F.col("split") == "train"))
-    scored_sets.append(("SVC", cal.transform(p.filter(F.col("split") == "test")).select("row_id", "label", CL.prob1().alias("score"))))
+    rf_p, gbt_p, svm_p = _tuned(spark, d)
+    both, n_features = _bins(d, ["row_id", "label", "split"])
+    tr, te = both.filter("split = 'train'").withColumn("fold", F.lit(0)), both.filter("split = 'test'")
+    forest = _forest_of(tr, n_features, rf_p, -1, TR.balanced(tr, 0))
+    forest = [TR.cut(t, rf_p["split"]) for t in TR.grow(tr, forest, TR.bootstrap_sums(forest, "row_id", "label"))]
+    boosted = TR.boosted_fit(tr, TR.Boosted(gbt_p["depth"], gbt_p["rate"]), gbt_p["trees"])
+    folded, arrays = _svm_split(d)
+    keep = ["row_id", "label"]
+    scored = {"RandomForestClassifier": TR.forest_predict(te, forest, keep), "GBTClassifier": TR.boosted_predict(te, boosted, gbt_p["rate"], keep),
+              "SVC": _svm_probability(folded, arrays, [_kernel_of(svm_p)], svm_p["C"])}
     out = None
-    for name, s in scored_sets:
-        s = s.withColumn("label", F.col("label").cast("int"))
+    for name, s in scored.items():
+        s = cut_lineage(s.select("row_id", F.col("label").cast("int").alias("label"), F.col("p1").alias("score")))
         auc = float(CL.roc_auc(s).first()[0])  # one number per classifier
         curve = CL.roc_curve(s).select(F.lit(name).alias("classifier"), "threshold", "fpr", "tpr", F.lit(auc).alias("auc"))
         out = curve if out is None else out.unionByName(curve)
     return out
 
 
+#: Mean and deviation of fold scores, over a table ``scores`` (the operator's SQL form).
+FOLD_SUMMARY_SQL = ("SELECT model, fold, score, avg(score) OVER (PARTITION BY model) AS mean, "
+                    "stddev_pop(score) OVER (PARTITION BY model) AS std FROM scores")
+
+
+def fold_summary(scores):
+    """Each fold's score with the mean and population deviation of its model."""
+    summ = scores.groupBy("model").agg(F.avg("score").alias("mean"), F.stddev_pop("score").alias("std"))
+    return scores.join(summ, "model")
+
+
 @register("cv_scores")
 def cv_scores(spark, sf, folds=L.CV_FOLDS):
-    """Accuracy per fold for each of the three models over stratified folds,
-    with mean and population deviation per model."""
+    """Accuracy per stratified fold of all event rows for the tuned classifier
+    of each grid, with mean and population deviation per model."""
     d = features(spark, sf)
-    rows, x = _folded(d, folds), _folded(_kernel_features(d, "rbf", 0.1), folds)
-    names = ["RF", "XGB", "SVM"]
-    scores = _fold_scores([(CL.rf(trees=10, depth=5, weight_col="weight"), rows), (CL.gbt(), rows),
-                           (CL.linear_svm(1000.0, d.count()), x)], folds)
-    rows = [(m, f, v) for m, per in zip(names, scores) for f, v in enumerate(per)]
-    t = spark.createDataFrame(rows, "model string, fold int, score double")
-    summ = t.groupBy("model").agg(F.avg("score").alias("mean"), F.stddev_pop("score").alias("std"))
-    return t.join(summ, "model")
+    rf_p, gbt_p, svm_p = _tuned(spark, d)
+    rows, n_features = _fold_bins(d, folds)
+    weights = TR.balanced(rows, folds)
+    forests = [_forest_of(rows, n_features, rf_p, f, weights) for f in range(folds)]
+    trees = [t for g in forests for t in g]
+    TR.grow(rows, trees, TR.bootstrap_sums(trees, "row_id", "label"))
+    share = F.col("correct") / F.col("n")
+    rf = (TR.forest_scores(rows, forests, [rf_p["trees"]], [rf_p["depth"]], [rf_p["split"]])
+          .select(F.lit("RF").alias("model"), "fold", share.alias("score")))
+    # model i holds out fold i
+    gbt = (TR.boosted_scores(rows, [TR.Boosted(gbt_p["depth"], gbt_p["rate"], f) for f in range(folds)], [gbt_p["trees"]])
+           .select(F.lit("XGB").alias("model"), F.col("model").alias("fold"), share.alias("score")))
+    held, names, found, _ = _machines(_svm_folds(d, folds), [_kernel_of(svm_p)], folds, [svm_p["C"]])
+    svm = SV.fold_accuracy(held, found[svm_p["C"]], names).select(F.lit("SVM").alias("model"), "fold", share.alias("score"))
+    return fold_summary(cut_lineage(rf.unionByName(gbt).unionByName(svm)))
 
 
 @register("score_text_model")
 def score_text_model(spark, sf):
-    """Tokenizer + mean word vector + classifier as one fitted Pipeline that
-    scores raw post text."""
-    from pyspark.ml import Pipeline
-    ev = events(spark, sf).withColumn("label", F.col("label").cast("double"))
-    lab = TB.labelled(spark, sf, text_work=True).select("row_id", "text").join(ev.select("row_id", "label"), "row_id")
-    vec = vectors(spark, sf)
-    stages = [VX.CleanTokenizer("text", "toks"), VX.MeanEmbedding(vec, DIM, inputCol="toks", outputCol="features"),
+    """Tokenizer, mean word vector and classifier as one pipeline, fitted on the
+    training rows, stored, loaded again, and applied to the raw text of all
+    labelled posts."""
+    from pyspark.ml import Pipeline, PipelineModel
+    ev = CL.split_train_test(events(spark, sf).withColumn("label", F.col("label").cast("double")), 0.3, SEED)
+    train = ev.filter(F.col("split") == "train").select("row_id", "label")
+    posts = TB.labelled(spark, sf, text_work=True).select("row_id", "text")
+    stages = [VX.CleanTokenizer("text", "toks"), VX.MeanEmbedding(vectors(spark, sf), DIM, inputCol="toks", outputCol="features"),
               CL.rf(trees=10, depth=5, weight_col="weight")]
-    lab = CL.with_weights(lab, "label", "weight")
-    model = Pipeline(stages=stages).fit(lab)
-    raw = TB.labelled(spark, sf, text_work=True).select("row_id", "text")  # raw text in, predictions out
-    return model.transform(raw).select("row_id", "prediction")
+    p = scratch_path(spark, "score_text")
+    Pipeline(stages=stages).fit(CL.with_weights(posts.join(train, "row_id"), "label", "weight")).write().save(p)
+    return PipelineModel.load(p).transform(posts).select("row_id", "prediction")

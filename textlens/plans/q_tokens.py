@@ -71,13 +71,31 @@ def with_ctes(body, view="tweets", extra=()):
     return "WITH " + ", ".join(ctes) + " " + body
 
 
+def sql_osa(a, b):
+    """The optimal string alignment distance up to 2 (else 9): plain edits, or
+    one swap whose two sides are one edit or swap apart in all.  (Distances of
+    at most 1 are alike with and without the rule that no letter is edited
+    twice, so the sides may use the unrestricted function.)"""
+    side = (f"damerau_levenshtein(substr({a}, 1, x.i - 1), substr({b}, 1, x.j - 1)) + "
+            f"damerau_levenshtein(substr({a}, x.i + 2), substr({b}, x.j + 2))")
+    places = (f"list_filter(flatten(list_transform(range(1, length({a})), lambda i: [{{'i': i, 'j': i - 1}}, {{'i': i, 'j': i}}, {{'i': i, 'j': i + 1}}])), "
+              f"lambda x: x.j >= 1 AND x.j < length({b}) AND substr({a}, x.i, 1) = substr({b}, x.j + 1, 1) AND substr({a}, x.i + 1, 1) = substr({b}, x.j, 1))")
+    swapped = f"coalesce(list_min(list_transform({places}, lambda x: 1 + {side})), 9)"
+    return (f"(CASE WHEN damerau_levenshtein({a}, {b}) > 2 THEN 9 WHEN levenshtein({a}, {b}) <= 1 THEN levenshtein({a}, {b}) "
+            f"ELSE least(levenshtein({a}, {b}), {swapped}) END)")
+
+
+def sql_spell_pairs(name, toks, dictionary):
+    """CTE ``name``(tok, term, freq, dist) by exhaustive search."""
+    return (f"{name} AS (SELECT * FROM (SELECT t.tok, d.term, d.freq, {sql_osa('t.tok', 'd.term')} AS dist FROM {toks} t, {dictionary} d "
+            f"WHERE abs(length(t.tok) - length(d.term)) <= 2) WHERE dist <= 2)")
+
+
 def sql_spell_best(name, toks, dictionary):
-    """CTE ``name``(tok, best, dist) by exhaustive Levenshtein search."""
-    return (f"{name} AS (SELECT t.tok, coalesce(b.best, t.tok) AS best, b.dist FROM {toks} t LEFT JOIN ("
-            f"SELECT t.tok, arg_min(d.term, (levenshtein(t.tok, d.term), -d.freq, d.term)) AS best, "
-            f"min(levenshtein(t.tok, d.term)) AS dist FROM {toks} t, {dictionary} d "
-            f"WHERE abs(length(t.tok) - length(d.term)) <= 2 AND levenshtein(t.tok, d.term) <= 2 "
-            f"GROUP BY t.tok) b ON t.tok = b.tok)")
+    """CTEs ending in ``name``(tok, best, dist)."""
+    return (sql_spell_pairs(f"{name}_p", toks, dictionary)
+            + f", {name} AS (SELECT t.tok, coalesce(b.best, t.tok) AS best, b.dist FROM {toks} t LEFT JOIN ("
+            f"SELECT tok, arg_min(term, (dist, -freq, term)) AS best, min(dist) AS dist FROM {name}_p GROUP BY tok) b ON t.tok = b.tok)")
 
 
 def sql_pos_tag(t="tok"):
@@ -177,9 +195,8 @@ _LO_TOKS = f"lo_toks AS (SELECT DISTINCT unnest(toks) AS tok FROM ct WHERE lang
 
 
 @register("spell_candidates", with_ctes(
-    "SELECT t.tok, CAST(count(*) AS BIGINT) AS n_candidates, CAST(min(levenshtein(t.tok, d.term)) AS BIGINT) AS best_dist "
-    "FROM en_toks t, en_dict d WHERE abs(length(t.tok) - length(d.term)) <= 2 AND levenshtein(t.tok, d.term) <= 2 "
-    "GROUP BY t.tok", extra=[_EN_TOKS]))
+    "SELECT tok, CAST(count(*) AS BIGINT) AS n_candidates, CAST(min(dist) AS BIGINT) AS best_dist FROM sp GROUP BY tok",
+    extra=[_EN_TOKS, sql_spell_pairs("sp", "en_toks", "en_dict")]))
 def spell_candidates(spark, sf):
     c = corpus(spark, sf)
     _, en_dict, _ = models(spark, sf, c)
@@ -299,11 +316,26 @@ def tok_split_prefix(spark, sf):
     return out.select("row_id", F.array_join("split", " ").alias("t"))
 
 
-@register("lang_model")
+def _lang_model_sql():
+    """The model and its scores: what every token sums up to in each language."""
+    grams = ("flatten([" + ", ".join(f"list_transform(range(1, greatest(length(w) - {n - 1}, 1) + 1), lambda i: substr(w, i, {n}))"
+                                     for n in range(1, G.GRAM + 1)) + "])")
+    return [f"lg AS (SELECT tok, lang, {grams} AS g FROM (SELECT tok, lang, '<' || tok || '>' AS w FROM token_lang))",
+            "seen AS (SELECT gram, lang, count(*) AS n FROM (SELECT lang, unnest(g) AS gram FROM lg) GROUP BY gram, lang)",
+            "known AS (SELECT count(DISTINCT gram) AS v FROM seen)",
+            "floors AS (SELECT lang, -ln(sum(n) + any_value(v)) AS floor FROM seen, known GROUP BY lang)",
+            "langs AS (SELECT lang, ln(count(*) / (SELECT count(*) FROM token_lang)) AS prior FROM token_lang GROUP BY lang)",
+            "met AS (SELECT e.tok, s.lang, sum(ln(s.n + 1)) AS more FROM (SELECT tok, unnest(g) AS gram FROM lg) e JOIN seen s ON e.gram = s.gram "
+            "GROUP BY e.tok, s.lang)",
+            "scored AS (SELECT t.tok, f.lang, round(p.prior + len(t.g) * f.floor + coalesce(m.more, 0), 6) AS score FROM lg t, floors f "
+            "JOIN langs p ON p.lang = f.lang LEFT JOIN met m ON m.tok = t.tok AND m.lang = f.lang)"]
+
+
+@register("lang_model", with_ctes(
+    "SELECT t.tok, t.lang, b.lang_pred FROM token_lang t JOIN (SELECT tok, arg_min(lang, (-score, lang)) AS lang_pred FROM scored "
+    "GROUP BY tok) b ON t.tok = b.tok", extra=_lang_model_sql()))
 def lang_model(spark, sf):
-    """Character n-gram naive Bayes trained on the corpus token-language
-    table; predicts a language for every distinct token (rows-only)."""
-    c = corpus(spark, sf)
-    table = cut_lineage(G.token_language_table(c, "toks"))
-    model = G.language_model(table)
-    return model.transform(table).select("tok", "lang", "lang_pred")
+    """A character n-gram model learned from the corpus token-language table;
+    its language for every distinct token by summed log-likelihoods."""
+    table = cut_lineage(G.token_language_table(corpus(spark, sf), "toks"))
+    return table.join(G.language_of(table, G.language_model(table)), "tok").select("tok", "lang", "lang_pred")

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from .. import lexicons as L
 from ..functions import text as T
 from ..functions import tokens as K
+from ..operators import topic_models as TM
 from ..operators import topics as TP
 from ..session import cut_lineage, scratch_path
 from ..sources import files as FS
@@ -27,13 +28,17 @@ R6 = 6
 
 
 def topic_corpus(spark, sf):
-    t = TB.texts(spark, sf, "en")
-    c = S.basic(T.clean_preprocess("text"))
+    return cut_lineage(TB.texts(spark, sf, "en").select("row_id", topic_tokens("text").alias("toks")))
+
+
+def topic_tokens(text):
+    """The tokens of a post as the topic models see them."""
+    c = S.basic(T.clean_preprocess(text))
     c = K.tok_stopwords(c, LEX)
     c = K.tok_mask_terms(c)
     c = K.tok_stopwords_extra(c, LEX)
     c = T.txt_mask_phrases(c, LEX.stations)
-    return cut_lineage(t.select("row_id", K.tok_split_ws(c).alias("toks")))
+    return K.tok_split_ws(c)
 
 
 def topic_corpus_sql():
@@ -157,60 +162,60 @@ def bag_of_words(spark, sf):
 
 
 def _features(spark, sf):
+    """Bags of words, dictionary and texts of the topic corpus, stored."""
     c, _, f = _dict(spark, sf)
-    vocab = TP.vocab_list(f)
-    feats = TP.vectorizer(vocab, "toks").transform(c).cache()
-    return feats, vocab, c
+    f = cut_lineage(f.select("id", "term"))
+    return TM.bags_of(c, "toks", f), f, c
+
+
+BASIC = TM.Setting(4, passes=L.LDA_BASIC["passes"], seed=L.LDA_BASIC["seed"])
+TUNED = TM.Setting(L.LDA_TUNED_EN["k"], L.LDA_TUNED_EN["alpha"], L.LDA_TUNED_EN["eta"], L.LDA_TUNED_EN["passes"],
+                   L.LDA_TUNED_EN["chunk"], L.LDA_TUNED_EN["seed"])
+
+
+def _fit(spark, sf, setting):
+    """A fitted model with the bags and the dictionary it was fitted on."""
+    bags, f, _ = _features(spark, sf)
+    models = TM.fit(bags, [setting], f.count())
+    return TM.TopicModel.of(models, 0, setting, f), models, bags, f
 
 
-def _fit(spark, sf, k, alpha="symmetric", eta="symmetric", passes=L.LDA_BASIC["passes"], chunk=None, seed=L.LDA_BASIC["seed"]):
-    feats, vocab, c = _features(spark, sf)
-    n = feats.count()
-    model = TP.lda_estimator(k, n, passes=passes, chunk=chunk, alpha=alpha, eta=eta, seed=seed).fit(feats)
-    return model, feats, vocab, c
+def _terms(models, f, n):
+    return TM.top_terms(models, f, n).select("topic", "rank", "term", "weight")
 
 
 @register("lda_fit")
 def lda_fit(spark, sf):
     """Basic model (k=4) -> top 10 terms per topic."""
-    model, _, vocab, _ = _fit(spark, sf, 4)
-    return TP.top_terms(model, vocab, 10)
-
-
-def _tuned(spark, sf):
-    p = L.LDA_TUNED_EN
-    return _fit(spark, sf, p["k"], alpha=p["alpha"], eta=p["eta"], passes=p["passes"],
-                chunk=p["chunk"], seed=p["seed"])
+    _, models, _, f = _fit(spark, sf, BASIC)
+    return _terms(models, f, 10)
 
 
 @register("lda_fit_tuned")
 def lda_fit_tuned(spark, sf):
     """Tuned model: each document's topic distribution sums to one."""
-    model, feats, _, _ = _tuned(spark, sf)
-    pred = model.transform(feats)
-    d = TP.topic_distribution(pred)
-    return d.select("row_id", F.size("LDAtotal").alias("n_topics"),
-                    F.round(F.aggregate("LDAtotal", F.lit(0.0), lambda a, x: a + x["prob"]), 6).alias("total"))
+    model, _, bags, _ = _fit(spark, sf, TUNED)
+    return model.infer(bags).select("row_id", F.size("shares").alias("n_topics"),
+                                    F.round(F.aggregate("shares", F.lit(0.0), lambda a, x: a + x), 6).alias("total"))
 
 
 @register("lda_perplexity")
 def lda_perplexity(spark, sf):
-    model, feats, _, _ = _tuned(spark, sf)
-    lp = TP.log_perplexity(model, feats)
-    return feats.limit(1).select(F.lit(model.getK()).alias("k"), F.lit(lp).alias("log_perplexity"))
+    model, _, bags, _ = _fit(spark, sf, TUNED)
+    return spark.createDataFrame([(model.setting.k, model.log_perplexity(bags))], "k int, log_perplexity double")
 
 
 @register("topic_top_terms")
 def topic_top_terms(spark, sf):
-    model, _, vocab, _ = _tuned(spark, sf)
-    return TP.top_terms(model, vocab, L.TOPIC_TERMS_N)
+    _, models, _, f = _fit(spark, sf, TUNED)
+    return _terms(models, f, L.TOPIC_TERMS_N)
 
 
 @register("sink_topic_terms")
 def sink_topic_terms(spark, sf):
-    model, _, vocab, _ = _tuned(spark, sf)
+    _, models, _, f = _fit(spark, sf, TUNED)
     p = scratch_path(spark, "topic_terms")
-    FS.write_csv(TP.top_terms(model, vocab, L.TOPIC_TERMS_N), p)
+    FS.write_csv(_terms(models, f, L.TOPIC_TERMS_N), p)
     from pyspark.sql.types import _parse_datatype_string
     return FS.read_csv(spark, p, _parse_datatype_string("topic int, rank int, term string, weight double"))
 
@@ -219,95 +224,97 @@ def sink_topic_terms(spark, sf):
 def model_store(spark, sf):
     """Save and reload the tuned model; the reloaded model gives the same
     topic distributions (max absolute difference per document)."""
-    from pyspark.ml.clustering import LocalLDAModel
-    model, feats, _, _ = _tuned(spark, sf)
+    model, _, bags, _ = _fit(spark, sf, TUNED)
     p = scratch_path(spark, "lda_model")
-    FS.save_model(model, p)
-    back = FS.load_model(LocalLDAModel, p)
-    from pyspark.ml.functions import vector_to_array
-    a = model.transform(feats).select("row_id", vector_to_array("topicDistribution").alias("a"))
-    b = back.transform(feats).select("row_id", vector_to_array("topicDistribution").alias("b"))
-    j = a.join(b, "row_id")
-    return j.select("row_id", F.array_max(F.zip_with("a", "b", lambda x, y: F.abs(x - y))).alias("max_diff"))
+    model.save(spark, p)
+    a = model.infer(bags).withColumnRenamed("shares", "a")
+    b = TM.TopicModel.load(spark, p).infer(bags).withColumnRenamed("shares", "b")
+    return a.join(b, "row_id").select("row_id", F.array_max(F.zip_with("a", "b", lambda x, y: F.abs(x - y))).alias("max_diff"))
+
+
+def _inferred(spark, sf):
+    """Topic shares of separately cleaned posts: the labelled posts, cleaned for
+    topics and merged by the model's own phrases."""
+    c = topic_corpus(spark, sf)
+    phrases = cut_lineage(TP.phrase_fit(c, "toks"))
+    c = cut_lineage(TP.phrase_apply(c, "toks", phrases))
+    d = TP.dictionary_build(c, "toks")
+    f = cut_lineage(TP.dictionary_filter(d, c.count()).select("id", "term"))
+    model = TM.TopicModel.of(TM.fit(TM.bags_of(c, "toks", f), [TUNED], f.count()), 0, TUNED, f)
+    posts = TB.labelled(spark, sf, text_work=True).select("row_id", topic_tokens("text").alias("toks"))
+    posts = cut_lineage(TP.phrase_apply(cut_lineage(posts), "toks", phrases))
+    return model, model.infer(TM.bags_of(posts, "toks", f))
 
 
 @register("topic_infer")
 def topic_infer(spark, sf):
-    model, feats, _, _ = _tuned(spark, sf)
-    d = TP.topic_distribution(model.transform(feats))
-    best = F.array_max(F.transform("LDAtotal", lambda x: F.struct(x["prob"], x["topic"])))
-    return d.select("row_id", F.to_json("LDAtotal").alias("LDAtotal"), best["topic"].alias("top_topic"))
+    """The topics of the labelled posts by the model of the topic corpus."""
+    _, got = _inferred(spark, sf)
+    total = F.transform("shares", lambda p, i: F.struct(i.alias("topic"), p.alias("prob")))
+    best = F.array_max(F.transform("shares", lambda p, i: F.struct(p.alias("prob"), i.alias("topic"))))
+    return got.select("row_id", F.to_json(total).alias("LDAtotal"), best["topic"].alias("top_topic"))
 
 
 @register("topic_columns")
 def topic_columns(spark, sf):
-    model, feats, _, _ = _tuned(spark, sf)
-    return TP.topic_columns(model.transform(feats), model.getK())
-
-
-def _coherence_of(model, vocab, c, window=L.COHERENCE_WINDOW, topn=L.COHERENCE_TOPN):
-    topics = TP.topics_from_model(model, vocab, topn)
-    return TP.coherence_cv(c, "toks", topics, window)
+    """topic1..topicK columns of the labelled posts, by topic number."""
+    model, got = _inferred(spark, sf)
+    return got.select("row_id", *[F.col("shares")[i].alias(f"topic{i + 1}") for i in range(model.setting.k)])
 
 
 @register("lda_curve")
 def lda_curve(spark, sf, limit: int = 10):
-    """Coherence for k = 1..limit-1; k=1 scores the single frequency-ranked
-    topic (Spark's LDA needs k >= 2)."""
-    from concurrent.futures import ThreadPoolExecutor
-    feats, vocab, c = _features(spark, sf)
-    n = feats.count()
-
-    def run(k):
-        if k == 1:
-            f = TP.dictionary_build(c, "toks").orderBy(F.desc("cf"), "term").limit(L.COHERENCE_TOPN)
-            topics = f.select(F.lit(0).alias("topic"), "term")
-        else:
-            m = TP.lda_estimator(k, n, passes=L.LDA_BASIC["passes"], seed=L.LDA_BASIC["seed"]).fit(feats)
-            topics = TP.topics_from_model(m, vocab)
-        return k, float(TP.coherence_cv(c, "toks", topics).agg(F.avg("coherence")).first()[0])
-
-    with ThreadPoolExecutor(4) as pool:  # a single fit leaves most of the cluster idle
-        rows = list(pool.map(run, range(1, limit)))
-    return spark.createDataFrame(rows, "k int, coherence double")
+    """Mean coherence for k = 1..limit-1: the models are fitted in one job and
+    scored from one pass over the texts."""
+    bags, f, c = _features(spark, sf)
+    settings = [TM.Setting(k, passes=L.LDA_BASIC["passes"], seed=L.LDA_BASIC["seed"]) for k in range(1, limit)]
+    models = TM.fit(bags, settings, f.count())
+    return (TM.coherence(models, f, c, "toks").groupBy("model").agg(F.avg("coherence").alias("coherence"))
+            .select((F.col("model") + 1).alias("k"), "coherence"))
+
+
+#: The reference's restarts ask for the library's defaults.
+RESTART_TOPICS, RESTART_TERMS, RESTART_WINDOW = 100, 10, 10
 
 
 @register("lda_restarts")
-def lda_restarts(spark, sf, threshold: float = 0.97, max_tries: int | None = None):
-    """Refit with new seeds until the best topic's coherence (window 10)
-    reaches ``threshold``, or ``max_tries`` fits were made if that is given."""
-    from itertools import count
-    feats, vocab, c = _features(spark, sf)
-    n = feats.count()
+def lda_restarts(spark, sf, threshold: float = 0.97, max_tries: int = 32, together: int = 8):
+    """Models with new seeds until the best topic's coherence (top 10 words,
+    window 10) reaches ``threshold``, at most ``max_tries``: a row per try up to
+    the first that reaches it.  ``together`` tries are fitted in one job and
+    scored from one pass over the texts."""
+    bags, f, c = _features(spark, sf)
+    n = f.count()
     rows = []
-    for i in count() if max_tries is None else range(max_tries):
-        m = TP.lda_estimator(4, n, passes=L.LDA_BASIC["passes"], seed=100 + i).fit(feats)
-        per = _coherence_of(m, vocab, c, window=10).orderBy(F.desc("coherence")).first()
-        rows.append((i, 100 + i, int(per["topic"]), float(per["coherence"])))
-        if per["coherence"] >= threshold:
-            break
-    return spark.createDataFrame(rows, "try int, seed int, best_topic int, best_coherence double")
+    for first in range(0, max_tries, together):
+        seeds = range(first, min(first + together, max_tries))
+        models = TM.fit(bags, [TM.Setting(RESTART_TOPICS, seed=100 + i) for i in seeds], n)
+        best = (TM.coherence(models, f, c, "toks", RESTART_WINDOW, RESTART_TERMS).where("NOT isnan(coherence)").groupBy("model")
+                .agg(F.max(F.struct("coherence", (-F.col("topic")).alias("t"))).alias("b")).orderBy("model").collect())  # a row per try
+        for r in best:
+            i, value = first + r["model"], float(r["b"]["coherence"])
+            rows.append((i, 100 + i, -r["b"]["t"], value, value >= threshold))
+            if value >= threshold:
+                return spark.createDataFrame(rows, RESTARTS)
+    return spark.createDataFrame(rows, RESTARTS)
+
+
+RESTARTS = "try int, seed int, best_topic int, best_coherence double, reached boolean"
 
 
 @register("lda_grid")
-def lda_grid(spark, sf, topics=L.LDA_GRID_TOPICS, alphas=L.LDA_GRID_ALPHA, betas=L.LDA_GRID_BETA,
-             every: int = 1, passes: int = L.LDA_TUNED_EN["passes"]):
-    """The grid of fits over L.LDA_GRID_*: 180 points, of which each
-    ``every``-th is fitted.  Fits run from a thread pool over one cached
-    feature table."""
-    from concurrent.futures import ThreadPoolExecutor
-    feats, vocab, c = _features(spark, sf)
-    n = feats.count()
-    grid = [(k, a, b) for k in topics for a in alphas for b in betas][::every]
-
-    def run(p):
-        k, a, b = p
-        m = TP.lda_estimator(k, n, passes=passes, chunk=L.LDA_TUNED_EN["chunk"], alpha=a, eta=b, seed=L.LDA_TUNED_EN["seed"]).fit(feats)
-        coh = _coherence_of(m, vocab, c).agg(F.avg("coherence")).first()[0]
-        return ("100% Corpus", k, str(a), str(b), float(coh))
-    with ThreadPoolExecutor(max_workers=4) as ex:
-        rows = list(ex.map(run, grid))
-    return spark.createDataFrame(rows, "Validation_Set string, Topics int, Alpha string, Beta string, Coherence double")
+def lda_grid(spark, sf, topics=L.LDA_GRID_TOPICS, alphas=L.LDA_GRID_ALPHA, betas=L.LDA_GRID_BETA):
+    """The grid over L.LDA_GRID_*: 180 models of 50 passes, fitted in one job
+    and scored from one pass over the texts."""
+    from itertools import product
+    bags, f, c = _features(spark, sf)
+    points = list(product(topics, alphas, betas))
+    p = L.LDA_TUNED_EN
+    models = TM.fit(bags, [TM.Setting(k, a, b, p["passes"], p["chunk"], p["seed"]) for k, a, b in points], f.count())
+    mean = TM.coherence(models, f, c, "toks").groupBy("model").agg(F.avg("coherence").alias("Coherence"))
+    names = spark.createDataFrame([(i, "100% Corpus", k, str(a), str(b)) for i, (k, a, b) in enumerate(points)],
+                                  "model int, Validation_Set string, Topics int, Alpha string, Beta string")
+    return names.join(mean, "model", "left").select("Validation_Set", "Topics", "Alpha", "Beta", "Coherence")
 
 
 # ------------------------------------------- coherence on fixed topics ----
@@ -398,3 +405,26 @@ def topic_relevance(spark, sf):
     tf = cnt.groupBy("term").agg(F.sum("n").alias("n"))
     r = TP.topic_relevance(tt, tf, 0.6, L.TOPIC_TERMS_N)
     return r.select("topic", "term", *[F.round(x, R6).alias(x) for x in ("p_wt", "lift", "relevance")], "rank")
+
+
+@register("topic_distances", "WITH " + ", ".join(fixed_sql() + [
+    "p AS (SELECT lang AS topic, term, n / sum(n) OVER (PARTITION BY lang) AS p FROM cnt WHERE lang IS NOT NULL)",
+    "al AS (SELECT x.topic AS a, y.topic AS b, t.term FROM (SELECT DISTINCT topic FROM p) x JOIN (SELECT DISTINCT topic FROM p) y ON x.topic < y.topic, "
+    "(SELECT DISTINCT term FROM p) t)",
+    "both AS (SELECT al.a, al.b, coalesce(x.p, 0) AS pa, coalesce(y.p, 0) AS pb FROM al LEFT JOIN p x ON x.topic = al.a AND x.term = al.term "
+    "LEFT JOIN p y ON y.topic = al.b AND y.term = al.term)"])
+    + f" SELECT a, b, round(sum(CASE WHEN pa > 0 THEN 0.5 * pa * ln(pa / ((pa + pb) / 2)) ELSE 0 END + "
+      f"CASE WHEN pb > 0 THEN 0.5 * pb * ln(pb / ((pa + pb) / 2)) ELSE 0 END), {R6}) AS distance FROM both GROUP BY a, b")
+def topic_distances(spark, sf):
+    """Jensen-Shannon divergences of the languages' term counts."""
+    c = fixed_topic_corpus(spark, sf).where("lang IS NOT NULL")
+    cnt = c.select(F.col("lang").alias("topic"), F.explode("toks").alias("term")).groupBy("topic", "term").agg(F.count(F.lit(1)).alias("weight"))
+    return TP.topic_distances(cut_lineage(cnt)).select("a", "b", F.round("distance", R6).alias("distance"))
+
+
+@register("topic_map")
+def topic_map(spark, sf):
+    """The map of the tuned model's topics: places by classical scaling of their
+    divergences, share of each topic."""
+    _, models, _, f = _fit(spark, sf, TUNED)
+    return TP.topic_map(cut_lineage(_terms(models, f, f.count()).select("topic", "term", "weight")))

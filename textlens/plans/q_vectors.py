@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from .. import lexicons as L
 from ..functions import tokens as K
+from ..operators import relational as R
+from ..operators import skipgram as SG
 from ..operators import vectors as VX
 from ..session import cut_lineage
 from ..sources import tables as TB
@@ -124,32 +126,37 @@ def nearest_terms(spark, sf):
 
 # ------------------------------------------------------ fitted word vectors --
 
-def _w2v(spark, sf, more=0):
-    """A fit at the settings of L.W2V_EN, ``more`` iterations longer."""
-    c = corpus(spark, sf)
-    p = L.W2V_EN
-    est = VX.w2v_estimator(p["size"], p["window"], p["min_count"], p["iters"] + more,
-                           partitions=max(1, spark.sparkContext.defaultParallelism // 2))
-    return est.fit(c), c
+def event_tokens(spark, sf):
+    """Tokens of the event rows: labelled posts about the event, positive
+    sentiment dropped, as the sentiment flow sees them."""
+    lab = TB.labelled(spark, sf, text_work=True)
+    ev = R.filter_event_rows(R.filter_not_label(lab, "sentiment", "positive"), "target", "yes")
+    return cut_lineage(ev.select("row_id", K.tok_words(S.ascii_clean("text")).alias("toks")))
+
+
+def event_vectors(spark, sf, more=0, p=L.W2V_EN):
+    """Word vectors fitted on the event rows at the declared settings; with
+    ``more`` further iterations from the fitted vectors."""
+    rows = event_tokens(spark, sf)
+    settings = dict(size=p["size"], window=p["window"], min_count=p["min_count"], negative=p["negative"], seed=p["seed"])
+    model = SG.fit(rows, "toks", iters=p["iters"], **settings)
+    if more:
+        model = SG.fit(rows, "toks", iters=more, fitted=model, **settings)
+    return model
 
 
 @register("w2v_fit")
 def w2v_fit(spark, sf):
-    from pyspark.ml.functions import vector_to_array
-    model, _ = _w2v(spark, sf)
-    return model.getVectors().select("word", F.size(vector_to_array("vector")).alias("dims"))
+    """The vocabulary of the fitted vectors with their dimensions."""
+    return event_vectors(spark, sf).select("word", F.size("vector").alias("dims"))
 
 
 @register("w2v_continue")
 def w2v_continue(spark, sf):
-    """No warm start in Spark: the continued model is one fit whose
-    iteration count is the sum."""
-    model, _ = _w2v(spark, sf, more=L.W2V_CONTINUE_EPOCHS)
-    return model.getVectors().select("word")
+    """A fit that goes on for ten iterations from the fitted vectors."""
+    return event_vectors(spark, sf, more=L.W2V_CONTINUE_EPOCHS).select("word", F.size("vector").alias("dims"))
 
 
 @register("w2v_vectors")
 def w2v_vectors(spark, sf):
-    from pyspark.ml.functions import vector_to_array
-    model, _ = _w2v(spark, sf)
-    return model.getVectors().select("word", vector_to_array("vector").alias("vector"))
+    return event_vectors(spark, sf).select("word", F.transform("vector", lambda x: x.cast("double")).alias("vector"))

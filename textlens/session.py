@@ -86,3 +86,26 @@ def cut_lineage(df):
     """Reliable checkpoint to the shared folder (survives executor loss)."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def store(df, name: str, partition: str | None = None, plain: bool = False):
+    """Write ``df`` as Parquet to the shared folder and read it back: lineage is
+    cut, and ``drop_stored`` can delete the files once nothing reads them.
+    ``plain`` files are neither compressed nor coded by dictionary, for columns
+    of numbers that neither makes smaller."""
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    writer = df.write.partitionBy(partition) if partition else df.write
+    if plain:
+        writer = writer.option("compression", "uncompressed").option("parquet.enable.dictionary", "false")
+    writer.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def drop_stored(df) -> None:
+    """Delete the files of a table that ``store`` returned."""
+    sc = df.sparkSession.sparkContext
+    path = sc._jvm.org.apache.hadoop.fs.Path(df.stored_at)
+    path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
