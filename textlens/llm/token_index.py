@@ -22,6 +22,7 @@ their text.
 
 from __future__ import annotations
 
+import gc
 import re
 import uuid
 import zlib
@@ -79,6 +80,7 @@ def write_shards(docs: DataFrame, path: str, id_col: str = "doc_id", vocabulary:
         system, folder = file_system(path)
         system.create_dir(folder, recursive=True)
         draft, offset, last, number, out = f"{folder}/.{shard_name(shard)}.{uuid.uuid4().hex}", 0, None, 0, None
+        gc.disable()  # millions of short-lived lists without cycles
         try:
             for whole in batches:
                 for batch in slices(whole, "text"):
@@ -105,6 +107,7 @@ def write_shards(docs: DataFrame, path: str, id_col: str = "doc_id", vocabulary:
                 out = None
                 system.move(draft, f"{folder}/{shard_name(shard)}")
         finally:
+            gc.enable()
             if out is not None:
                 out.close()
                 system.delete_file(draft)
