@@ -18,12 +18,14 @@ import numpy as np
 import regex
 
 VOCABULARY = "byte_bpe_50k.json"
-#: Parts whose ids a process keeps.
-CACHE = 1_000_000
+#: Parts, and pieces of parts, whose ids a process keeps.
+CACHE, PIECE_CACHE = 800_000, 400_000
 #: The pattern of the byte-level pre-tokenizer (fixed values).
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-_PARTS = re.compile(r" (?=\S)")
+_PARTS, _LOOSE = re.compile(r" (?=\S)"), re.compile(r" (?!\S)")
 _PLAIN = re.compile(" ?[A-Za-z]+")
+#: A word of plain letters and the signs after it (no apostrophe): two pieces.
+_WORD_AND_SIGNS = re.compile(r"( ?[A-Za-z]+)([!-&(-/:-@\[-`{-~]*)")
 _LATIN = re.compile("[\\x00-\\x1b\\x20-\\x84\\x86-\\u024f]*")
 
 
@@ -40,6 +42,25 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
+class Pieces(dict):
+    """A piece that the file's pattern cuts -> its ids (little-endian, 16 bits)."""
+
+    def __init__(self, model):
+        super().__init__()
+        self.model = model
+        self.letters = byte_letters()
+
+    def __missing__(self, piece: str) -> bytes:
+        if _PLAIN.fullmatch(piece):
+            spelled = piece.replace(" ", "Ġ")
+        else:
+            spelled = piece.encode().decode("latin-1").translate(self.letters)
+        found = np.asarray([t.id for t in self.model.tokenize(spelled)], "<u2").tobytes()
+        if len(self) < PIECE_CACHE and len(piece) < 64:
+            self[piece] = found
+        return found
+
+
 class Encoder(dict):
     """part of a text -> its ids as bytes (little-endian, 16 bits each)."""
 
@@ -50,19 +71,18 @@ class Encoder(dict):
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids of this vocabulary need more than 16 bits")
-        self.model = self.tokenizer.model
-        self.letters = byte_letters()
+        self.pieces = Pieces(self.tokenizer.model)
         self.cut = regex.compile(PIECES)
 
     def __missing__(self, part: str) -> bytes:
-        if _PLAIN.fullmatch(part):
-            ids = [t.id for t in self.model.tokenize(part.replace(" ", "Ġ"))]
+        plain = _WORD_AND_SIGNS.fullmatch(part)
+        if plain:
+            word, signs = plain.groups()
+            found = self.pieces[word] + self.pieces[signs] if signs else self.pieces[word]
         elif _LATIN.fullmatch(part):
-            ids = [t.id for piece in self.cut.findall(part)
-                   for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))]
+            found = b"".join([self.pieces[x] for x in self.cut.findall(part)])
         else:
-            ids = self.tokenizer.encode(part, add_special_tokens=False).ids
-        found = np.asarray(ids, "<u2").tobytes()
+            found = np.asarray(self.tokenizer.encode(part, add_special_tokens=False).ids, "<u2").tobytes()
         if len(self) < CACHE and len(part) < 64:
             self[part] = found
         return found
@@ -72,7 +92,8 @@ class Encoder(dict):
             return b""
         if any(a in text for a in self.added):  # the library cuts such texts at these strings first
             return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
-        first, *rest = _PARTS.split(text)
+        # where no blank is followed by white space, every blank is such a cut
+        first, *rest = _PARTS.split(text) if _LOOSE.search(text) else text.split(" ")
         return self[first] + b"".join([self[" " + x] for x in rest])
 
 
