@@ -43,6 +43,11 @@ def test_swapped_letters_are_one_edit(spark):
     assert got == {"teh": ("the", 1), "hte": ("the", 1)}
 
 
+def test_grams_of_a_token(spark):
+    got = spark.createDataFrame([("ab",), ("",)], "tok string").select(G.grams(F.col("tok"))).collect()
+    assert [r[0] for r in got] == [["<", "a", "b", ">", "<a", "ab", "b>", "<ab", "ab>"], ["<", ">", "<>", "<>"]]
+
+
 def test_language_model_labels_unseen_tokens(spark):
     rng = random.Random(8)
     rows = [("".join(rng.choice("aeiou" if i % 2 else "xzkqw") for _ in range(5)) + str(i), "vowels" if i % 2 else "others") for i in range(120)]
@@ -104,7 +109,6 @@ def test_language_model_learns_scripts(spark):
     rows = [(w, "en") for w in ["the", "there", "this", "that", "then", "they", "other", "weather"]] + \
            [(w, "fr") for w in ["eau", "beaux", "château", "gâteau", "oiseau", "peau", "bureau", "niveau"]]
     table = spark.createDataFrame(rows, "tok string, lang string")
-    m = G.language_model(table, min_df=1)
     test = spark.createDataFrame([("these",), ("rideau",)], "tok string")
-    got = {r["tok"]: r["lang_pred"] for r in m.transform(test).collect()}
+    got = {r["tok"]: r["lang_pred"] for r in G.language_of(test, G.language_model(table)).collect()}
     assert got == {"these": "en", "rideau": "fr"}

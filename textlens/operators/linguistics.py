@@ -384,8 +384,11 @@ GRAM = 3
 def grams(tok: Column, longest: int = GRAM) -> Column:
     """All character n-grams of 1 to ``longest`` letters of <token>, with repeats."""
     w = F.concat(F.lit("<"), tok, F.lit(">"))
-    return F.concat(*[F.transform(F.sequence(F.lit(1), F.greatest(F.length(w) - (n - 1), F.lit(1))), lambda i, n=n: F.substring(w, i, n))
-                      for n in range(1, longest + 1)])
+
+    def of(n):
+        return F.transform(F.sequence(F.lit(1), F.greatest(F.length(w) - (n - 1), F.lit(1))), lambda i: F.substring(w, i, n))
+
+    return F.concat(*[of(n) for n in range(1, longest + 1)])
 
 
 def language_model(lang_table: DataFrame, longest: int = GRAM) -> tuple[DataFrame, DataFrame]:

@@ -15,8 +15,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import lexicons as L
+from .linguistics import sized_for_join
 
 EPSILON = 1e-12
+#: Phrases up to which their table is broadcast (two words each).
+PHRASE_BROADCAST_ROWS = 500_000
 #: More top words than this are joined as a table.
 LITERAL_TERMS = 500
 
@@ -59,12 +62,15 @@ def phrase_apply(df: DataFrame, tokens: str, phrases: DataFrame, key: str = "row
     (``a b c`` with phrases a_b and b_c gives ``a_b c``) in the column
     ``tokens``; ``phrases`` has columns a, b; ``key`` names a row.
 
-    Adjacent pairs meet the phrases in a join, so neither side needs a bound.
+    Adjacent pairs meet the phrases in a join, so neither side needs a bound;
+    up to PHRASE_BROADCAST_ROWS phrases, by a count, are broadcast, and pairs
+    that are none go before any exchange.
     In a run of hits at consecutive places the first, third, ... merge; the
     text is then put together from the slices between the merged places."""
+    found, _ = sized_for_join(phrases.select("a", "b"), PHRASE_BROADCAST_ROWS)
     pairs = df.select(key, F.posexplode(adjacent_pairs(F.col(tokens))).alias("at", "p"))
     hits = (pairs.select(key, "at", F.col("p.a").alias("a"), F.col("p.b").alias("b"))
-            .join(phrases.select("a", "b"), ["a", "b"]).select(key, "at"))
+            .join(found, ["a", "b"]).select(key, "at"))
     run = F.col("at") - F.row_number().over(Window.partitionBy(key).orderBy("at"))
     turn = F.row_number().over(Window.partitionBy(key, "run").orderBy("at"))
     merged = (hits.withColumn("run", run).withColumn("turn", turn).where(F.col("turn") % 2 == 1)

@@ -411,10 +411,10 @@ def topic_relevance(spark, sf):
     "p AS (SELECT lang AS topic, term, n / sum(n) OVER (PARTITION BY lang) AS p FROM cnt WHERE lang IS NOT NULL)",
     "al AS (SELECT x.topic AS a, y.topic AS b, t.term FROM (SELECT DISTINCT topic FROM p) x JOIN (SELECT DISTINCT topic FROM p) y ON x.topic < y.topic, "
     "(SELECT DISTINCT term FROM p) t)",
-    "both AS (SELECT al.a, al.b, coalesce(x.p, 0) AS pa, coalesce(y.p, 0) AS pb FROM al LEFT JOIN p x ON x.topic = al.a AND x.term = al.term "
+    "pq AS (SELECT al.a, al.b, coalesce(x.p, 0) AS pa, coalesce(y.p, 0) AS pb FROM al LEFT JOIN p x ON x.topic = al.a AND x.term = al.term "
     "LEFT JOIN p y ON y.topic = al.b AND y.term = al.term)"])
     + f" SELECT a, b, round(sum(CASE WHEN pa > 0 THEN 0.5 * pa * ln(pa / ((pa + pb) / 2)) ELSE 0 END + "
-      f"CASE WHEN pb > 0 THEN 0.5 * pb * ln(pb / ((pa + pb) / 2)) ELSE 0 END), {R6}) AS distance FROM both GROUP BY a, b")
+      f"CASE WHEN pb > 0 THEN 0.5 * pb * ln(pb / ((pa + pb) / 2)) ELSE 0 END), {R6}) AS distance FROM pq GROUP BY a, b")
 def topic_distances(spark, sf):
     """Jensen-Shannon divergences of the languages' term counts."""
     c = fixed_topic_corpus(spark, sf).where("lang IS NOT NULL")
