@@ -5,6 +5,7 @@ import itertools
 from pyspark.sql import functions as F
 
 from textlens.operators import linguistics as G
+from textlens.plans import cleaning
 
 
 def _plan(df):
@@ -36,3 +37,35 @@ def test_nearer_words_win_over_frequent_ones(spark):
     terms = spark.createDataFrame([("abce", 5), ("abfg", 90), ("wxba", 6), ("wxcd", 6)], "term string, freq long")
     got = {r["tok"]: (r["best"], r["dist"]) for r in G.spell_best(words, terms).collect() if r["tok"]}
     assert got == {"abcd": ("abce", 1), "wxyz": ("wxba", 2), "q": ("q", None)}
+
+
+def test_tokens_that_stay_need_no_row(spark, monkeypatch):
+    """Three of the five rows change nothing, so two are joined."""
+    counts, sized = [], G.sized_for_join
+
+    def spy(table, max_rows):
+        found = sized(table, max_rows)
+        counts.append(found[1])
+        return found
+    monkeypatch.setattr(G, "sized_for_join", spy)
+    df = spark.createDataFrame([(1, ["a", "b", "c", "d"]), (2, []), (3, None)], "row_id long, toks array<string>")
+    table = spark.createDataFrame([("a", "x"), ("b", "b"), ("c", None), ("d", "y"), ("e", "e")], "tok string, out string")
+    out = G.resolve_tokens(df, "toks", table, "res")
+    assert {r["row_id"]: r["res"] for r in out.collect()} == {1: ["x", "b", "c", "y"], 2: [], 3: []}
+    assert counts == [2]
+    split = spark.createDataFrame([("a", ["x", "a"]), ("b", ["b"])], "tok string, out array<string>")
+    got = G.resolve_tokens(df, "toks", split, "res")
+    assert {r["row_id"]: r["res"] for r in got.collect()} == {1: ["x", "a", "b", "c", "d"], 2: [], 3: []}
+
+
+def test_a_token_job_runs_the_work_before_it_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(t):
+        seen.add(1)
+        return t
+    df = spark.createDataFrame([(1, "a b"), (2, "c"), (3, None)], "row_id long, t string").withColumn("t", counted.asNondeterministic()("t"))
+    out = cleaning._token_job(df, "t", lambda toks: toks.distinct().select("tok", F.upper("tok").alias("out")), None)
+    assert {r["row_id"]: r["t"] for r in out.collect()} == {1: "A B", 2: "C", 3: ""}
+    assert seen.value == 3

@@ -310,7 +310,7 @@ def tok_split_prefix(spark, sf):
     learned from the unprefixed corpus."""
     c = corpus(spark, sf)
     lang = G.token_language_table(c, "toks")
-    n = TB.noisy(spark, sf).select("row_id", K.tok_words(S.ascii_clean("text")).alias("toks"))
+    n = cut_lineage(TB.noisy(spark, sf).select("row_id", K.tok_words(S.ascii_clean("text")).alias("toks")))
     table = G.split_prefix_table(n.select(F.explode("toks").alias("tok")), lang, LEX.special_words())
     out = G.resolve_tokens(n, "toks", table, "split")
     return out.select("row_id", F.array_join("split", " ").alias("t"))
