@@ -46,6 +46,33 @@ def test_doc_mean_in_vocabulary_only(spark):
     assert got == {1: [1.0, 3.0], 2: [0.0, 0.0]}
 
 
+def test_doc_means_by_groups(spark, monkeypatch):
+    """Documents of many groups, keys and words that come twice, keys and texts
+    that are null: the same means; no vector travels for each token."""
+    import numpy as np
+    from pyspark.sql import functions as F
+    monkeypatch.setattr(VX, "GROUP_TOKENS", 40)
+    monkeypatch.setattr(VX, "SLICE", 7)
+    rng = np.random.default_rng(8)
+    words = [f"w{i}" for i in range(30)]
+    vec = [(w, [float(x) for x in rng.normal(size=3)]) for w in words[:20]] + [("w3", [1.0, 2.0, 3.0]), (None, [9.0, 9.0, 9.0])]
+    docs = [(i // 2 if i < 20 else i, [str(w) for w in rng.choice(words, rng.integers(0, 40))]) for i in range(60)]
+    docs += [(None, ["w1"]), (None, None), (777, None), (778, ["w25", None]), (779, ["w2"] * 50)]
+    v = spark.createDataFrame(vec, "word string, vector array<float>")
+    df = spark.createDataFrame(docs, "row_id long, toks array<string>").repartition(4)
+    found = VX.doc_mean_vector(df, "toks", v, 3)
+    want = []
+    for key, _ in docs:
+        mine = [np.float32(x) for k, toks in docs if k is not None and k == key for t in toks or [] if t for w, x in vec if w == t]
+        want.append((-1 if key is None else key, len(mine), *np.round(np.mean(mine, axis=0, dtype=float) if mine else np.zeros(3), 5)))
+    got = [(-1 if r[0] is None else r[0], r[1], *np.round(r[2], 5)) for r in found.collect()]
+    assert sorted(got) == sorted(want)
+    # vectors are dealt by word and group: no step explodes tokens beside their vectors
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" in plan and "Summarizer" not in plan
+    assert found.select(F.sum("n_known")).first()[0] == sum(w[1] for w in want)
+
+
 def test_roc_curve_drops_collinear_points(spark):
     import numpy as np
     rng = np.random.default_rng(3)
