@@ -3,6 +3,7 @@
 import random
 import re
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from textlens.functions import patterns as P
@@ -50,3 +51,24 @@ def test_possessive_takes_one_letter(spark):
 def test_domain_map_keeps_other_tokens(spark):
     got = run(spark, lambda c: K.tok_join(K.tok_map(F.split(c, " "), [("a", "b"), ("c", "d")])), ["a x c", "", None])
     assert got == ["b x d", "", None]
+
+
+def test_rare_patterns_leave_other_texts_alone(spark):
+    """The cleaning chain gives what its steps give one after another; the
+    patterns for rare marks are behind a plain search for them."""
+    from textlens import lexicons as L
+    rng = np.random.default_rng(5)
+    bits = ["<b>", "<", ">", "@x", "#", "ht", "http://a", "tp", "pic.twitter.com/q", "twitter", ".com/z ", "don't", "he's", "'", "'s", "\u00b9", "\u00bd", "7",
+            " ", "\n", "\x85", "word", "snake_case", "caf\u00e9", "\u0130", "{html}", "RT ", "!?", "-", "\U0001f600", "\u4e2d"]
+    texts = [None, "", "plain words only"] + ["".join(rng.choice(bits, rng.integers(1, 12))) for _ in range(600)]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for rt, pairs in ((False, None), (True, L.CONTRACTIONS), (False, [("word", "term")]), (False, [])):
+        c = T.txt_drop_literal(T.txt_lower("t"))
+        c = T.txt_strip_tags(c)
+        c = T.txt_strip_mentions(T.txt_strip_rt(c) if rt else c)
+        c = T.txt_strip_digits(T.txt_half(T.txt_strip_urls(T.txt_strip_hashtags(c))))
+        c = T.txt_strip_punct(T.txt_possessive(T.txt_contractions(c, pairs)))
+        both = df.select("t", T.txt_regex_tokens(c).alias("want"), T.clean_preprocess("t", strip_rt=rt, contraction_pairs=pairs).alias("got"))
+        assert [r for r in both.collect() if r["want"] != r["got"]] == []
+    plan = df.select(T.clean_preprocess("t"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Contains" in plan or "contains" in plan
