@@ -100,3 +100,41 @@ def test_registered_fits_take_the_declared_settings(spark, monkeypatch):
     p = {k: v for k, v in L.W2V_EN.items() if k != "iters"}
     assert [s[2] for s in seen] == [p] * 3
     assert [s[:2] for s in seen] == [(100, False), (100, False), (10, True)]
+
+
+def test_pairs_of_many_blocks_cost_their_bytes():
+    """A task held a piece of its own per text, distance and bucket, some 400 bytes for one pair."""
+    import tracemalloc
+
+    import pyarrow as pa
+    rng = np.random.default_rng(4)
+    n, blocks, window = 20_000, 100, 6
+    codes = (rng.integers(blocks, size=n) << 32) + rng.integers(500, size=n)
+    batch = pa.RecordBatch.from_pydict({"codes": pa.array([codes]), "keeps": pa.array([np.ones(n, np.float32)])})
+    tracemalloc.start()
+    got = pairs = 0
+    for out in SG.dealt_pairs([batch], blocks, window):
+        got, pairs = got + out.num_rows, pairs + len(out.column("words")[0].as_py()) // 4
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert pairs == sum(2 * (n - d) for d in range(1, window + 1)) and got == blocks * blocks
+    assert peak < 100 * pairs
+
+
+def test_held_pairs_are_written_in_between(spark, monkeypatch):
+    """Any bound on the held pairs gives the same pairs."""
+    import pyarrow as pa
+    rng = np.random.default_rng(4)
+    texts = [(rng.integers(3, size=n) << 32) + rng.integers(9, size=n) for n in (0, 1, 7, 30, 400)]
+    batch = pa.RecordBatch.from_pydict({"codes": pa.array(texts), "keeps": pa.array([np.full(len(t), 0.5, np.float32) for t in texts])})
+
+    def all_pairs():
+        out = []
+        for r in (r for b in SG.dealt_pairs([batch], 3, 4) for r in b.to_pylist()):
+            w, c, p = (np.frombuffer(r[x], k).tolist() for x, k in (("words", "<i4"), ("contexts", "<i4"), ("chances", "<f4")))
+            out += [(r["i"], (r["i"] + r["r"]) % 3, *x) for x in zip(w, c, p)]
+        return sorted(out)
+
+    whole = all_pairs()
+    monkeypatch.setattr(SG, "HELD_PAIRS", 20)
+    assert all_pairs() == whole and len(whole) > 3_000
