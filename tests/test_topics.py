@@ -78,3 +78,23 @@ def test_topic_map_keeps_the_distances(spark):
     back = TP.classical_scaling(d)
     assert np.allclose(np.linalg.norm(back[:, None] - back, axis=2), d)
     assert TP.classical_scaling(np.zeros((1, 1))).tolist() == [[0.0, 0.0]]
+
+
+def test_places_of_a_text_do_not_meet_each_other(spark):
+    """Ranges met in pairs per text, the square of its places; long texts over many blocks count the same."""
+    rng = random.Random(3)
+    text = [rng.choice("abcz") for _ in range(900)] + ["z"] * 300 + ["a", "b"] * 40
+    df = spark.createDataFrame([(text,), (None,), ([],), (["a"],)], "toks array<string>")
+    for window in (10, 110):
+        want = {}
+        for t in (text, [], [], ["a"]):
+            for i in range(max(len(t) - window, 0) + 1):
+                w = sorted(set(t[i:i + window]) & {"a", "b", "c"})
+                for x in w:
+                    for y in w:
+                        if x <= y:
+                            want[x, y] = want.get((x, y), 0) + 1
+                want[None, None] = want.get((None, None), 0) + 1
+        counts = TP.window_counts(df, "toks", ["a", "b", "c"], window)
+        assert {(r["a"], r["b"]): r["n"] for r in counts.collect()} == want
+        assert "Join" not in counts._jdf.queryExecution().toString()

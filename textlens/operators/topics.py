@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import lexicons as L
+from ..session import cut_lineage
 from .linguistics import sized_for_join
 
 EPSILON = 1e-12
@@ -143,11 +144,11 @@ def window_counts(texts: DataFrame, tokens: str, topwords, window: int) -> DataF
     windows holding word a (rows a = b), holding both a and b (a < b), and
     the number of windows (a, b NULL).
 
-    A top word at place p is in the windows that start in a range around p;
-    overlapping ranges of one word and text are united, so the windows that
-    hold a word are a sum of lengths, and those that hold two words the sum of
-    the overlaps of their ranges.  All of it is joins and sums; ranges meet
-    within one text only, and only where both words occur."""
+    A top word at place p is in the windows that start in a range around p.
+    The starts of a text are cut into blocks of 64; in a block a word's ranges
+    are the bits of one number, united by ``bit_or``, and two words share the
+    windows whose bits both have.  So a text costs its places and, per block,
+    the pairs of words that occur there."""
     top = sorted(set(topwords))
     rows = texts.select(F.monotonically_increasing_id().alias("_row"), F.col(tokens).alias("_t"))
     size = F.coalesce(F.size("_t"), F.lit(0))
@@ -158,23 +159,20 @@ def window_counts(texts: DataFrame, tokens: str, topwords, window: int) -> DataF
         each = each.where(F.col("w").isin(top))
     else:  # the top words of many models
         each = each.join(texts.sparkSession.createDataFrame([(w,) for w in top], "w string"), "w", "left_semi")
-    places = (each.select("_row", "w", F.greatest(F.col("p") - window + 1, F.lit(0)).alias("lo"), F.least("p", "last").alias("hi"))
-              .repartition("_row"))  # one exchange serves the windows, the union and the join
-    order = Window.partitionBy("_row", "w").orderBy("lo", "hi")
-    opens = F.when(F.col("lo") > F.coalesce(F.max("hi").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(-2)) + 1, 1).otherwise(0)
-    ranges = (places.withColumn("opens", opens)
-              .withColumn("part", F.sum("opens").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-              .groupBy("_row", "w", "part").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")))
-    # windows that hold a word: its ranges; two words: each pair of ranges that overlap
-    one = ranges.groupBy(F.col("w").alias("a")).agg(F.sum(F.col("hi") - F.col("lo") + 1).alias("n")).select("a", F.col("a").alias("b"), "n")
-    x, y = ranges.alias("x"), ranges.alias("y")
-    near = ((F.col("x._row") == F.col("y._row")) & (F.col("x.w") < F.col("y.w"))
-            & (F.col("x.lo") <= F.col("y.hi")) & (F.col("y.lo") <= F.col("x.hi")))
-    two = (x.join(y, near).select(F.col("x.w").alias("a"), F.col("y.w").alias("b"),
-                                  (F.least("x.hi", "y.hi") - F.greatest("x.lo", "y.lo") + 1).alias("n"))
-           .groupBy("a", "b").agg(F.sum("n").alias("n")))
+    places = each.select("_row", "w", F.greatest(F.col("p") - window + 1, F.lit(0)).alias("lo"), F.least("p", "last").alias("hi"))
+    blocks = (places.select("_row", "w", "lo", "hi", F.explode(F.sequence(F.expr("lo div 64"), F.expr("hi div 64"))).alias("block"))
+              .select("_row", "block", "w", F.greatest(F.col("lo") - F.col("block") * 64, F.lit(0)).cast("int").alias("lo"),
+                      F.least(F.col("hi") - F.col("block") * 64, F.lit(63)).cast("int").alias("hi"))
+              .select("_row", "block", "w", F.expr("shiftleft(shiftrightunsigned(-1L, 63 - (hi - lo)), lo)").alias("bits"))
+              .repartition("_row", "block"))  # one exchange serves both groupings
+    words = (blocks.groupBy("_row", "block", "w").agg(F.bit_or("bits").alias("bits"))
+             .groupBy("_row", "block").agg(F.array_sort(F.collect_list(F.struct("w", "bits"))).alias("m")))
+    pairs = (words.select("m", F.posexplode("m").alias("i", "x"))
+             .select("x", F.explode(F.slice("m", F.col("i") + 1, F.size("m"))).alias("y"))
+             .select(F.col("x.w").alias("a"), F.col("y.w").alias("b"), F.bit_count(F.col("x.bits").bitwiseAND(F.col("y.bits"))).alias("n"))
+             .where("n > 0").groupBy("a", "b").agg(F.sum("n").alias("n")))
     nothing = F.lit(None).cast("string")
-    return total.select(nothing.alias("a"), nothing.alias("b"), "n").unionByName(one).unionByName(two)
+    return total.select(nothing.alias("a"), nothing.alias("b"), "n").unionByName(pairs)
 
 
 def coherence_cv(texts: DataFrame, tokens: str, topics: DataFrame, window: int = L.COHERENCE_WINDOW) -> DataFrame:
@@ -185,6 +183,7 @@ def coherence_cv(texts: DataFrame, tokens: str, topics: DataFrame, window: int =
     each word's NPMI vector over its topic's words is compared by cosine
     with the topic's summed vector; the per-topic value is the mean over
     words (Roeder et al. 2015)."""
+    topics = cut_lineage(topics.select("topic", "term"))  # read several times, and may be made from all texts
     tw = [r["term"] for r in topics.select("term").distinct().collect()]
     counts = window_counts(texts, tokens, tw, window).cache()
     total = counts.filter(F.col("a").isNull()).first()["n"]
