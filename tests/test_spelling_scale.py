@@ -69,3 +69,24 @@ def test_a_token_job_runs_the_work_before_it_once(spark):
     out = cleaning._token_job(df, "t", lambda toks: toks.distinct().select("tok", F.upper("tok").alias("out")), None)
     assert {r["row_id"]: r["t"] for r in out.collect()} == {1: "A B", 2: "C", 3: ""}
     assert seen.value == 3
+
+
+def test_words_meet_by_more_than_their_first_syllables(spark, monkeypatch):
+    """Words alike in their first seven letters only are not compared."""
+    toks, terms = ["anthereation", "anthereatoin", "anthere"], ["anthereation", "anthereousle", "anthereingly", "anthered"]
+    words = spark.createDataFrame([(t,) for t in toks], "tok string")
+    known = spark.createDataFrame([(t, 5) for t in terms], "term string, freq long")
+    near = {("anthereation", "anthereation", 0), ("anthereatoin", "anthereation", 1), ("anthere", "anthered", 1)}
+    assert {(r["tok"], r["term"], r["dist"]) for r in G.spell_candidates(words, known).collect()} == near
+    monkeypatch.setattr(G, "osa", lambda *a: F.lit(1))  # every pair that is compared
+    met = {(r["tok"], r["term"]) for r in G._near_pairs(words, known, 2, 7).collect()}
+    assert met == {x[:2] for x in near}
+
+
+def test_long_words_meet_beyond_their_keys(spark):
+    """Words longer than their keys' letters, with edits before, at and after these."""
+    base = "tionthereinganblewhouly"
+    words = ["x" + base, base[1:], base[:11] + base[12] + base[11] + base[13:], base[:-2], base[:-2] + "yl", "xy" + base + "z"]
+    got = {r["tok"]: r["dist"] for r in G.spell_candidates(spark.createDataFrame([(w,) for w in words], "tok string"),
+                                                           spark.createDataFrame([(base, 5)], "term string, freq long")).collect()}
+    assert got == {words[0]: 1, words[1]: 1, words[2]: 1, words[3]: 2, words[4]: 1}
