@@ -55,3 +55,19 @@ def test_stage_parameters_survive(spark, tmp_path):
     assert (back.getInputCol(), back.getOutputCol(), back.uid) == ("body", "words", stage.uid)
     df = spark.createDataFrame([(1, "x")], "row_id long, body string")
     assert back.transform(df).select(F.size("words")).first()[0] == 1
+
+
+def test_a_mean_embedding_keeps_one_copy_of_its_rows(spark):
+    """Rows that are cut off already are not copied again, and a copy that was made for the stage goes."""
+    from pathlib import Path
+
+    from textlens.session import cut_lineage, ensure_checkpoint_dir
+    at = Path(ensure_checkpoint_dir(spark).removeprefix("file:"))
+    vectors = spark.createDataFrame([("train", [1.0, 0.0]), ("late", [0.0, 1.0])], "word string, vector array<double>")
+    df = spark.createDataFrame([(1, ["train", "late"]), (2, ["late", "x"]), (3, None)], "row_id long, toks array<string>")
+    want = {1: [0.5, 0.5], 2: [0.0, 1.0], 3: [0.0, 0.0]}
+    for rows in (df, cut_lineage(df)):
+        before = {p.name for p in at.iterdir()}
+        out = VX.MeanEmbedding(vectors, 2, inputCol="toks", outputCol="features").transform(rows)
+        assert len({p.name for p in at.iterdir()} - before) == 1
+        assert {r["row_id"]: list(r["features"]) for r in out.collect()} == want and rows.count() == 3
